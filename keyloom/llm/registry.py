@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from keyloom.llm import simhash
+from keyloom.llm import simhash, substring
 from keyloom.llm.common import table
 
 
@@ -12,5 +12,9 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), k=4, radius=4)
 
 
-QUERIES = {"op1_simhash": op1_simhash}
+def op8_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.digests(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_simhash": op1_simhash, "op8_substring": op8_substring}
 ORACLES: dict[str, str] = {}
