@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from keyloom.llm import simhash, substring
+from keyloom.llm import bpe, simhash, substring
 from keyloom.llm.common import table
 
 
@@ -16,5 +17,10 @@ def op8_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.digests(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op8_substring": op8_substring}
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = bpe.rank_file(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    return bpe.digests(table(spark, sf_dir, "documents"), lines, public_tokenizers.PATTERN)
+
+
+QUERIES = {"op1_simhash": op1_simhash, "op8_substring": op8_substring, "op10_bpe": op10_bpe}
 ORACLES: dict[str, str] = {}
