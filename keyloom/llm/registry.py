@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from keyloom.llm import bpe, simhash, substring
+from keyloom.llm import bpe, media, mixing, shards, simhash, substring, warc
 from keyloom.llm.common import table
 
 
@@ -13,14 +14,39 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), k=4, radius=4)
 
 
+def op4_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.byte_shards(table(spark, sf_dir, "documents"), shards=16)
+
+
+def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_columns(table(spark, sf_dir, "documents"))
+
+
+#: The tree over documents: English apart from the other languages, then languages, then sources.
+DOMAIN = F.when(F.col("lang") == "en", "english").otherwise("other")
+DOMAIN_WEIGHTS = {"english": 0.6, "other": 0.4}
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    levels = {"domain": DOMAIN, "lang": F.col("lang"), "source": F.col("source")}
+    out = mixing.mixed(docs, levels, [DOMAIN_WEIGHTS, None, None], share=1.0, max_epochs=2)
+    return out.select("doc_id", DOMAIN.alias("domain"), "lang", "source", "n_tokens", "epochs")
+
+
 def op8_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.digests(table(spark, sf_dir, "documents"))
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived(table(spark, sf_dir, "pages"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = bpe.rank_file(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
     return bpe.digests(table(spark, sf_dir, "documents"), lines, public_tokenizers.PATTERN)
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op8_substring": op8_substring, "op10_bpe": op10_bpe}
+_ALL = (op1_simhash, op4_shards, op5_media, op7_mixing, op8_substring, op9_warc, op10_bpe)
+QUERIES = {f.__name__: f for f in _ALL}
 ORACLES: dict[str, str] = {}
