@@ -23,15 +23,18 @@ def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: The tree over documents: English apart from the other languages, then languages, then sources.
-DOMAIN = F.when(F.col("lang") == "en", "english").otherwise("other")
+def domain():
+    return F.when(F.col("lang") == "en", "english").otherwise("other")
+
+
 DOMAIN_WEIGHTS = {"english": 0.6, "other": 0.4}
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    levels = {"domain": DOMAIN, "lang": F.col("lang"), "source": F.col("source")}
+    levels = {"domain": domain(), "lang": F.col("lang"), "source": F.col("source")}
     out = mixing.mixed(docs, levels, [DOMAIN_WEIGHTS, None, None], share=1.0, max_epochs=2)
-    return out.select("doc_id", DOMAIN.alias("domain"), "lang", "source", "n_tokens", "epochs")
+    return out.select("doc_id", domain().alias("domain"), "lang", "source", "n_tokens", "epochs")
 
 
 def op8_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
