@@ -133,3 +133,47 @@ def components(spark: SparkSession, edges: DataFrame, ws: Workspace) -> DataFram
 
 def empty_text(col: str = "text"):
     return F.coalesce(F.col(col), F.lit(""))
+
+
+def dealt_as_grid(rows: DataFrame, hot: int, ws: Workspace) -> DataFrame:
+    """Name the tasks of a self-join: adds ``key``, drops ``top`` and ``same``.
+
+    ``rows(top, same, side, node, ..)``: rows of one ``top`` are compared, all with each other if
+    ``same``, else side 0 with side 1.  A ``top`` of more than ``hot`` rows is cut into parts by a hash
+    of ``node``, and each pair of parts is a task of its own with the two parts as its sides.
+    """
+    many = rows.groupBy("top").agg(F.count("*").alias("n")).where(F.col("n") > hot)
+    many = ws.save(many.select("top", F.ceil(F.col("n") / hot).cast("int").alias("parts")), "hot")
+    if many.isEmpty():
+        return rows.withColumn("key", F.col("top")).drop("same", "top")
+    rows = rows.join(many, "top", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("node", F.lit(7)), F.col("parts")).cast("int"))
+    rows = rows.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    one, two, same = F.col("part"), F.col("x"), F.col("same")
+    rows = rows.withColumn("p", F.when(same, F.least(one, two)).when(F.col("side") == 0, one).otherwise(two))
+    rows = rows.withColumn("q", F.when(same, F.greatest(one, two)).when(F.col("side") == 0, two).otherwise(one))
+    rows = rows.withColumn("side", F.when(same, (one > two).cast("int")).otherwise(F.col("side")))
+    rows = rows.withColumn("key", F.when(F.col("parts") == 1, F.col("top")).otherwise(F.xxhash64("top", "p", "q")))
+    return rows.drop("same", "top", "parts", "part", "x", "p", "q")
+
+
+def by_key(batches, rows: int):
+    """Arrow tables of about ``rows`` rows, from batches sorted by their first column, never cutting a key."""
+    import pyarrow as pa
+
+    held, size = [], 0
+    for b in batches:
+        if b.num_rows:
+            held.append(b)
+            size += b.num_rows
+        if size < rows:
+            continue
+        t = pa.Table.from_batches(held)
+        key = t.column(0).to_numpy()
+        cut = int(np.searchsorted(key, key[-1]))
+        if cut:
+            yield t.slice(0, cut).combine_chunks()
+            held = t.slice(cut).to_batches()
+            size = sum(x.num_rows for x in held)
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()

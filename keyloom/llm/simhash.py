@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import Workspace, components, np_components, small_batches
+from keyloom.llm.common import Workspace, by_key, components, dealt_as_grid, np_components, small_batches
 
 WIDTH, SEED = 64, 42
 #: Fingerprints under one top node above which it is dealt out in parts.
@@ -189,55 +189,19 @@ def links(nodes: DataFrame, ws: Workspace, radius: int = 4, blocks: int = 5, che
         rows = rows.withColumn("other", F.col("own"))
     rows = rows.withColumn("side", (F.col("own") > F.col("other")).cast("int")).withColumn(
         "top", F.shiftleft(F.col("t").cast("long"), 56).bitwiseOR(F.shiftleft(F.least("own", "other"), 28)).bitwiseOR(F.greatest("own", "other")))
-    rows = rows.withColumn("self", F.col("own") == F.col("other")).drop("own", "other", "t")
-    many = ws.save(rows.groupBy("top").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("top", F.ceil(F.col("n") / hot).cast("int").alias("parts")), "hot")
-    if many.isEmpty():
-        rows = rows.withColumn("key", F.col("top")).drop("self", "top")
-    else:
-        rows = rows.join(many, "top", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-        rows = rows.withColumn("part", F.pmod(F.xxhash64("node", F.lit(7)), F.col("parts")).cast("int"))
-        rows = rows.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        one, two = F.col("part"), F.col("x")
-        rows = rows.withColumn("p", F.when(F.col("self"), F.least(one, two)).when(F.col("side") == 0, one).otherwise(two))
-        rows = rows.withColumn("q", F.when(F.col("self"), F.greatest(one, two)).when(F.col("side") == 0, two).otherwise(one))
-        rows = rows.withColumn("side", F.when(F.col("self"), (one > two).cast("int")).otherwise(F.col("side")))
-        rows = rows.withColumn("key", F.when(F.col("parts") == 1, F.col("top")).otherwise(F.xxhash64("top", "p", "q")))
-        rows = rows.drop("self", "top", "parts", "part", "x", "p", "q")
+    rows = rows.withColumn("same", F.col("own") == F.col("other")).drop("own", "other", "t")
+    rows = dealt_as_grid(rows, hot, ws)
     rows = rows.select("key", "side", "rot", "node", *names).repartition("key").sortWithinPartitions("key", "side")
 
     def run(batches):
-        held: list[pa.RecordBatch] = []
-        size = 0
-
-        def done(parts, last):
-            t = pa.Table.from_batches(parts)
-            key = t.column(0).to_numpy()
-            cut = len(key) if last else int(np.searchsorted(key, key[-1])) if len(key) else 0
-            rest = t.slice(cut).to_batches()
-            t = t.slice(0, cut)
-            if not cut:
-                return None, rest
-            key, side = key[:cut], t.column(1).to_numpy()
+        for t in by_key(batches, TASK_ROWS):
+            key, side = t.column(0).to_numpy(), t.column(1).to_numpy()
             rot, node = t.column(2).to_numpy().view(np.uint64), t.column(3).to_numpy()
             cs = [t.column(4 + n).to_numpy().view(np.uint64) for n in range(checks)]
             order = np.lexsort((rot, side, key))
             key, side, rot, node, cs = key[order], side[order], rot[order], node[order], [c[order] for c in cs]
             i, j = forest(key, side, rot, cs, top, lead, lead_budget, radius, check_bits)
-            return pa.RecordBatch.from_arrays([pa.array(node[i]), pa.array(node[j])], names=["a", "b"]), rest
-
-        for b in batches:
-            if b.num_rows:
-                held.append(b)
-                size += b.num_rows
-            if size >= TASK_ROWS:
-                out, held = done(held, False)
-                size = sum(x.num_rows for x in held)
-                if out is not None and out.num_rows:
-                    yield out
-        if held:
-            out, _ = done(held, True)
-            if out is not None and out.num_rows:
-                yield out
+            yield pa.RecordBatch.from_arrays([pa.array(node[i]), pa.array(node[j])], names=["a", "b"])
 
     small_batches(spark, 10_000)
     out = ws.save(rows.mapInArrow(run, "a long, b long"), "links")

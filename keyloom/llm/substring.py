@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import Workspace, empty_text, small_batches
+from keyloom.llm.common import Workspace, by_key, empty_text, small_batches
 
 WINDOW, K = 20, 10
 BLOOM_BITS = 1 << 28
@@ -239,22 +239,8 @@ def settle(rows: DataFrame) -> DataFrame:
             yield doc[r[at]], p[at], np.diff(np.concatenate((at, [len(r)])))
 
     def run(batches):
-        held, size = [], 0
-        for b in batches:
-            if b.num_rows:
-                held.append(b)
-                size += b.num_rows
-            if size < TASK_ROWS:
-                continue
-            t = pa.Table.from_batches(held)
-            key = t.column(0).to_numpy()
-            cut = int(np.searchsorted(key, key[-1]))
-            if cut:
-                yield from (batch(x) for x in done(t.slice(0, cut).combine_chunks()))
-                held = t.slice(cut).to_batches()
-                size = sum(x.num_rows for x in held)
-        if held:
-            yield from (batch(x) for x in done(pa.Table.from_batches(held).combine_chunks()))
+        for t in by_key(batches, TASK_ROWS):
+            yield from (batch(x) for x in done(t))
 
     def batch(x):
         return pa.RecordBatch.from_arrays([pa.array(x[0]), pa.array(x[1].astype(np.int32)), pa.array(x[2].astype(np.int32))], names=["doc_id", "start", "n"])
