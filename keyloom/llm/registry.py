@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyloom.llm import bpe, media, mixing, shards, simhash, substring, warc
+from keyloom.llm import bpe, lattice, media, mixing, shards, simhash, substring, warc
 from keyloom.llm.common import table
 
 
@@ -22,6 +22,10 @@ def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(table(spark, sf_dir, "documents"))
 
 
+def op6_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.near_duplicates(table(spark, sf_dir, "embeddings"), min_cosine=0.98)
+
+
 #: The tree over documents: English apart from the other languages, then languages, then sources.
 def domain():
     return F.when(F.col("lang") == "en", "english").otherwise("other")
@@ -50,6 +54,6 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), lines, public_tokenizers.PATTERN)
 
 
-_ALL = (op1_simhash, op4_shards, op5_media, op7_mixing, op8_substring, op9_warc, op10_bpe)
+_ALL = (op1_simhash, op4_shards, op5_media, op6_lattice, op7_mixing, op8_substring, op9_warc, op10_bpe)
 QUERIES = {f.__name__: f for f in _ALL}
 ORACLES: dict[str, str] = {}
