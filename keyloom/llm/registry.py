@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyloom.llm import bpe, lattice, media, mixing, shards, simhash, substring, toxicity, warc
+from keyloom.llm import bpe, html, lattice, media, mixing, shards, simhash, substring, toxicity, warc
 from keyloom.llm.common import table
 
 
@@ -18,6 +18,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extracted(table(spark, sf_dir, "pages"))
+
+
 def op4_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.byte_shards(table(spark, sf_dir, "documents"), shards=16)
 
@@ -58,6 +62,6 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), lines, public_tokenizers.PATTERN)
 
 
-_ALL = (op1_simhash, op2_toxicity, op4_shards, op5_media, op6_lattice, op7_mixing, op8_substring, op9_warc, op10_bpe)
+_ALL = (op1_simhash, op2_toxicity, op3_html, op4_shards, op5_media, op6_lattice, op7_mixing, op8_substring, op9_warc, op10_bpe)
 QUERIES = {f.__name__: f for f in _ALL}
 ORACLES: dict[str, str] = {}
