@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from itertools import chain
 
 import pyarrow as pa
 import regex
@@ -24,8 +25,10 @@ from pyspark.sql import functions as F
 
 from keyloom.llm.common import empty_text, small_batches
 
-#: Pieces whose encoding a worker remembers; beyond it starts afresh.
-REMEMBERED = 800_000
+#: Pieces in each of the two generations that a worker remembers.
+REMEMBERED = 500_000
+#: Longer pieces are not remembered.
+LONG_PIECE = 64
 
 
 class Vocabulary:
@@ -34,9 +37,17 @@ class Vocabulary:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.tokens = {i: b for b, i in ranks.items()}
-        self.longest = max(map(len, ranks))
-        self._own: dict[bytes, bool] = {}
+        self._halves: dict[bytes, tuple[bytes, bytes] | None] = {}
+        self._spines: dict[tuple[bytes, int], list[tuple[bytes, int]]] = {}
         self._pairs: dict[tuple[bytes, bytes], bool] = {}
+        #: The tokens that the merges make, read backwards, as a tree; -1 holds the token that ends there.
+        self.ends: dict = {}
+        for token in ranks:
+            if self.stands(token):
+                node = self.ends
+                for byte in reversed(token):
+                    node = node.setdefault(byte, {})
+                node[-1] = token
 
     @classmethod
     def read(cls, lines: bytes) -> Vocabulary:
@@ -53,20 +64,58 @@ class Vocabulary:
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
         return parts
 
+    def halves(self, token: bytes) -> tuple[bytes, bytes] | None:
+        """The two tokens whose merge makes this one; None for one byte or a token that no merges make."""
+        if token not in self._halves:
+            parts, found = [token[i : i + 1] for i in range(len(token))], None
+            while len(parts) > 2:
+                rank, i = min((self.ranks.get(parts[i] + parts[i + 1], 1 << 60), i) for i in range(len(parts) - 1))
+                if rank == 1 << 60:
+                    break
+                parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            if len(parts) == 2:
+                found = parts[0], parts[1]
+            self._halves[token] = found
+        return self._halves[token]
+
     def stands(self, token: bytes) -> bool:
         """Whether the merges make this token of its own bytes."""
-        found = self._own.get(token)
+        return len(token) == 1 or self.halves(token) is not None
+
+    def spine(self, token: bytes, side: int) -> list[tuple[bytes, int]]:
+        """The tokens that stand at one end of this one while it is being merged, each with the rank that ends it."""
+        key = token, side
+        found = self._spines.get(key)
         if found is None:
-            found = self._own[token] = len(self.merged(token)) == 1
+            found, ends = [], 1 << 60
+            while True:
+                found.append((token, ends))
+                if len(token) == 1:
+                    break
+                ends = self.ranks[token]
+                token = self.halves(token)[side]
+            self._spines[key] = found
         return found
 
     def follows(self, left: bytes, right: bytes) -> bool:
-        """Whether the merges keep this pair as it is."""
+        """Whether the merges keep this pair as it is: no merge across its middle ever comes first.
+
+        Of equal ranks the leftmost merge comes first, hence ``<`` on the left side and ``<=`` on the right.
+        """
         found = self._pairs.get((left, right))
         if found is None:
             if len(self._pairs) > 2_000_000:
                 self._pairs.clear()
-            found = self._pairs[left, right] = self.merged(left + right) == [left, right]
+            rank, found = self.ranks.get, True
+            for a, a_ends in self.spine(left, 1):
+                for b, b_ends in self.spine(right, 0):
+                    across = rank(a + b)
+                    if across is not None and across < a_ends and across <= b_ends:
+                        found = False
+                        break
+                if not found:
+                    break
+            self._pairs[left, right] = found
         return found
 
 
@@ -78,24 +127,39 @@ class PrefixTable:
         self.append(raw)
 
     def append(self, more: bytes) -> None:
-        v, last = self.vocabulary, self.last
+        v, last, known = self.vocabulary, self.last, self.vocabulary._pairs.get
         at = len(self.raw)
         raw = self.raw = self.raw + more
-        ranks, longest, follows = v.ranks, v.longest, v.follows
-        for end in range(at + 1, len(raw) + 1):
-            for start in range(max(0, end - longest), end):
-                token = raw[start:end]
-                if token in ranks and v.stands(token) and (not start or follows(last[start - 1], token)):
-                    last.append(token)
-                    break
-            else:
-                raise ValueError("the vocabulary lacks a byte")
+        for end in range(at, len(raw)):
+            node, start = v.ends, end
+            while True:  # along the tokens that end here, from short to long
+                node = node.get(raw[start])
+                if node is None or start < 0:
+                    raise ValueError("the vocabulary lacks a byte")
+                token = node.get(-1)
+                if token is not None:
+                    if not start:
+                        last.append(token)
+                        break
+                    found = known((last[start - 1], token))
+                    if found or found is None and v.follows(last[start - 1], token):
+                        last.append(token)
+                        break
+                start -= 1
 
     def edit(self, at: int, removed: int, put: bytes) -> None:
         """Replace ``removed`` bytes at ``at``; what stands before them is not computed again."""
-        tail = put + self.raw[at + removed :]
-        self.raw, self.last = self.raw[:at], self.last[:at]
-        self.append(tail)
+        self.become(self.raw[:at] + put + self.raw[at + removed :], at)
+
+    def become(self, raw: bytes, same: int | None = None) -> None:
+        """Go over to other bytes, keeping what the common prefix (``same`` bytes, if known) has."""
+        if same is None:
+            old, same, most = self.raw, 0, min(len(raw), len(self.raw))
+            while same < most and raw[same] == old[same]:
+                same += 1
+        self.raw = raw[:same]
+        del self.last[same:]
+        self.append(raw[same:])
 
     def ids(self) -> list[int]:
         out, at = [], len(self.raw)
@@ -112,23 +176,39 @@ class Tokenizer:
     def __init__(self, vocabulary: Vocabulary, pattern: str):
         self.vocabulary, self.pieces = vocabulary, regex.compile(pattern).findall
         self.seen: dict[str, tuple[int, ...]] = {}
-
-    def piece(self, text: str) -> tuple[int, ...]:
-        raw = text.encode()
-        whole = self.vocabulary.ranks.get(raw)
-        ids = (whole,) if whole is not None else tuple(PrefixTable(self.vocabulary, raw).ids())
-        if len(self.seen) >= REMEMBERED:
-            self.seen.clear()
-        if len(text) <= 64:
-            self.seen[text] = ids
-        return ids
+        self.older: dict[str, tuple[int, ...]] = {}
+
+    def learn(self, pieces: set[str]) -> None:
+        """Encode pieces not seen yet, in their order: each keeps what the table of the one before it has of their common prefix."""
+        ranks, table = self.vocabulary.ranks, PrefixTable(self.vocabulary)
+        for raw, text in sorted([(p.encode(), p) for p in pieces]):
+            whole = ranks.get(raw)
+            if whole is None:
+                table.become(raw)
+                self.seen[text] = tuple(table.ids())
+            else:
+                self.seen[text] = (whole,)
+
+    def encode_batch(self, texts: list[str]) -> list[list[int]]:
+        split = [self.pieces(t) for t in texts]
+        seen = self.seen
+        new = {p for p in set().union(*split) if p not in seen}
+        if len(self.seen) + len(new) > REMEMBERED:
+            self.seen, self.older = {}, self.seen
+            new = set().union(*split)
+        if self.older:
+            for p in [p for p in new if p in self.older]:
+                self.seen[p] = self.older[p]
+                new.discard(p)
+        self.learn(new)
+        of = self.seen.__getitem__
+        out = [list(chain.from_iterable(map(of, ps))) for ps in split]
+        for p in [p for p in new if len(p) > LONG_PIECE]:
+            del self.seen[p]
+        return out
 
     def encode(self, text: str) -> list[int]:
-        seen, out = self.seen, []
-        for p in self.pieces(text):
-            ids = seen.get(p)
-            out += self.piece(p) if ids is None else ids
-        return out
+        return self.encode_batch([text])[0]
 
     def decode(self, ids: list[int]) -> bytes:
         tokens = self.vocabulary.tokens
@@ -162,7 +242,7 @@ def encoded(docs: DataFrame, lines: bytes, pattern: str) -> DataFrame:
     def run(batches):
         t = tokenizer(sent.value, pattern)
         for b in batches:
-            ids = [t.encode(x) for x in b.column(1).to_pylist()]
+            ids = t.encode_batch(b.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array([t.decode(x) for x in ids], pa.binary())],
                 names=["doc_id", "n_tokens", "ids", "decoded"])
@@ -182,8 +262,7 @@ def digests(docs: DataFrame, lines: bytes, pattern: str) -> DataFrame:
         names = {i: str(i) for i in t.vocabulary.tokens}
         for b in batches:
             n, one, two = [], [], []
-            for x in b.column(1).to_pylist():
-                ids = t.encode(x)
+            for ids in t.encode_batch(b.column(1).to_pylist()):
                 n.append(len(ids))
                 one.append(hashlib.sha256(",".join([names[i] for i in ids]).encode()).hexdigest())
                 two.append(hashlib.sha256(t.decode(ids)).hexdigest())
