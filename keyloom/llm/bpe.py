@@ -251,6 +251,25 @@ def encoded(docs: DataFrame, lines: bytes, pattern: str) -> DataFrame:
     return docs.select("doc_id", empty_text().alias("text")).mapInArrow(run, f"doc_id {kind}, n_tokens long, ids array<int>, decoded binary")
 
 
+def token_rows(docs: DataFrame, lines: bytes, pattern: str) -> DataFrame:
+    """(doc_id, n_tokens, ids, round_trip): the ids, and whether they decode to the text's bytes."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    sent = spark.sparkContext.broadcast(lines)
+
+    def run(batches):
+        t = tokenizer(sent.value, pattern)
+        for b in batches:
+            texts = b.column(1).to_pylist()
+            ids = t.encode_batch(texts)
+            same = [t.decode(i) == x.encode() for i, x in zip(ids, texts)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(same, pa.bool_())],
+                                             names=["doc_id", "n_tokens", "ids", "round_trip"])
+
+    kind = dict(docs.dtypes)["doc_id"]
+    return docs.select("doc_id", empty_text().alias("text")).mapInArrow(run, f"doc_id {kind}, n_tokens long, ids array<int>, round_trip boolean")
+
+
 def digests(docs: DataFrame, lines: bytes, pattern: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of what ``encoded`` makes."""
     spark = docs.sparkSession
