@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from keyloom.plans import counting  # noqa: F401  (registers its queries)
+from keyloom.plans.base import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
