@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from keyloom.plans import counting, keys  # noqa: F401  (they register their queries)
+from keyloom.plans import counting, flows, keys  # noqa: F401  (they register their queries)
 from keyloom.plans.base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -18,10 +18,14 @@ from keyloom.operators.shared import folder
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events table as a stream with a timestamp in ``at``."""
+    """The events table, a folder or one file, as a stream with a timestamp in ``at``."""
     path = f"{sf_dir}/events.parquet"
     schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).parquet(path).withColumn("at", F.col("ts").cast("timestamp"))
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    rows = spark.readStream.schema(schema)
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory():
+        path, rows = sf_dir, rows.option("pathGlobFilter", "events.parquet")
+    return rows.parquet(path).withColumn("at", F.col("ts").cast("timestamp"))
 
 
 def finished(stream: DataFrame, mode: str = "append") -> DataFrame:
