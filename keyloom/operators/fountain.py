@@ -10,10 +10,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keyloom.functions import hashing
-
 GRID = 1 << 20
 WORD_BYTES = 4
+PRIME = (1 << 31) - 1
+#: The number that stands for the packet itself when its degree is drawn.
+OWN_DRAW = 1_000_003
 
 
 def soliton_cdf(k: Column, blocks: Column) -> Column:
@@ -21,15 +22,23 @@ def soliton_cdf(k: Column, blocks: Column) -> Column:
     return 1 / blocks + 1 - 1 / k
 
 
+def draw(seed: Column, block: Column) -> Column:
+    """A number for a packet and a block; squares modulo a prime, so that near seeds have unlike orders."""
+    u = (seed * 48271 + (block + 1) * 69621) % PRIME
+    v = (u * u + seed) % PRIME
+    return (v * v + block) % PRIME
+
+
 def degree(seed: Column, blocks: Column) -> Column:
     """How many blocks the packet of a seed joins: the least k whose share reaches the seed's draw."""
-    u = hashing.static_random(seed, GRID) / F.lit(float(GRID))
+    u = draw(seed.cast("long"), F.lit(OWN_DRAW).cast("long")) % GRID / F.lit(float(GRID))
     return F.when(u < 1 / blocks, 1).otherwise(F.least(F.ceil(1 / (1 + 1 / blocks - u)), blocks)).cast("int")
 
 
 def block_set(seed: Column, blocks: Column) -> Column:
     """The packet's blocks: those that come first in an order drawn from the seed."""
-    drawn = F.transform(F.sequence(F.lit(0), blocks.cast("int") - 1), lambda b: F.struct(hashing.static_random(seed * 65537 + b, 1 << 30).alias("r"), b.alias("b")))
+    numbers = F.sequence(F.lit(0).cast("long"), blocks.cast("long") - 1)
+    drawn = F.transform(numbers, lambda b: F.struct(draw(seed.cast("long"), b).alias("r"), b.cast("int").alias("b")))
     return F.slice(F.transform(F.array_sort(drawn), lambda x: x["b"]), 1, degree(seed, blocks))
 
 

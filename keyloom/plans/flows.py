@@ -11,7 +11,7 @@ from keyloom.functions import control, ids
 from keyloom.operators import fountain, nearest, overlay, sequences
 from keyloom.operators.shared import folder
 from keyloom.plans.base import micros, query, query_at
-from keyloom.plans.keys import limbs_sql, prefix_sql, random_sql, xor_sql
+from keyloom.plans.keys import limbs_sql, prefix_sql, xor_sql
 from keyloom.sources import files, records
 from keyloom.streaming import pipes
 
@@ -133,14 +133,21 @@ def soliton_cdf(spark, sf_dir: str) -> DataFrame:
     return rows.select("blocks", "k", F.round(fountain.soliton_cdf(F.col("k"), F.col("blocks")), 9).alias("share"))
 
 
-_U = f"({random_sql('seed', str(fountain.GRID))} / {fountain.GRID}.0)"
+def _draw_sql(seed: str, block: str) -> str:
+    u = f"((({seed}) * 48271 + (({block}) + 1) * 69621) % {fountain.PRIME})"
+    v = f"(({u} * {u} + {seed}) % {fountain.PRIME})"
+    return f"(({v} * {v} + ({block})) % {fountain.PRIME})"
+
+
+_U = f"({_draw_sql('seed', f'{fountain.OWN_DRAW}::bigint')} % {fountain.GRID} / {fountain.GRID}.0)"
 _DEGREE = f"(case when {_U} < 1.0 / k then 1 else least(ceil(1 / (1 + 1.0 / k - {_U})), k) end)::int"
+_DRAW = _draw_sql("d.seed", "b.block")
 _PARTS = "(select p_size::bigint as root, row_number() over (partition by p_size order by p_partkey) - 1 as block, p_partkey as value, count(*) over (partition by p_size) as k from part)"
 
 
 @query("part", oracle=f"""with b as {_PARTS}, p as (select root, k, i as chunk_index, root * 1000 + i as seed from (select distinct root, k from b), range(0, 10) r(i)),
     d as (select *, {_DEGREE} as degree from p),
-    c as (select d.*, b.value, row_number() over (partition by d.root, d.chunk_index order by {random_sql('d.seed * 65537 + b.block', str(1 << 30))}, b.block) as place from d join b on b.root = d.root)
+    c as (select d.*, b.value, row_number() over (partition by d.root, d.chunk_index order by {_DRAW}, b.block) as place from d join b on b.root = d.root)
     select root, chunk_index, degree, bit_xor(value) as word from c where place <= degree group by root, chunk_index, degree""")
 def fountain_encode_xor(parts: DataFrame) -> DataFrame:
     """Packets over the part keys of a size, each a XOR of the blocks that its seed names."""
