@@ -214,8 +214,8 @@ def labels(found: list[tuple[str, int, str, str]]) -> list[bool]:
         if landmarks and found[i][2] != "article":
             continue
         near = first[i] if first[i] in ("good", "bad") else near
-    if landmarks and not any(f == "good" for f in first):
-        before = after = ["good"] * n  # an article of short blocks only
+    if not any(f == "good" for f in first):
+        before = after = ["good"] * n  # a text of short blocks only
     out = []
     for i, f in enumerate(first):
         if f == "short":
