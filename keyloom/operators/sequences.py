@@ -14,7 +14,7 @@ def ring_layout(nodes: DataFrame, order: Column) -> DataFrame:
     """Places on a circle in the order of id: ``idx``, ``x``, ``y``.  One row per node comes to one window."""
     w = Window.orderBy(order)
     angle = (F.row_number().over(w) - 1) / F.count("*").over(Window.partitionBy()) * (2 * math.pi)
-    return nodes.select("*", (F.row_number().over(w) - 1).alias("idx"), (F.round(F.cos(angle), 6) + 0.0).alias("x"), (F.round(F.sin(angle), 6) + 0.0).alias("y"))
+    return nodes.select("*", (F.row_number().over(w) - 1).cast("long").alias("idx"), (F.round(F.cos(angle), 6) + 0.0).alias("x"), (F.round(F.sin(angle), 6) + 0.0).alias("y"))
 
 
 def failure_runs(rows: DataFrame, by: list[str], order: list[str], failed: Column, threshold: int) -> DataFrame:

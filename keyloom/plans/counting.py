@@ -190,19 +190,20 @@ _RANK = "row_number() over (partition by o_custkey order by o_totalprice {0}, o_
 @query("orders", oracle=f"select o_custkey, o_orderkey, o_totalprice, r as rank from (select *, {_RANK.format('desc')} as r from orders) where r <= 3")
 def topk_per_group(orders: DataFrame) -> DataFrame:
     w = Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), F.desc("o_orderkey"))
-    return orders.withColumn("rank", F.row_number().over(w)).where("rank <= 3").select("o_custkey", "o_orderkey", "o_totalprice", "rank")
+    return orders.withColumn("rank", F.row_number().over(w)).where("rank <= 3").select("o_custkey", "o_orderkey", "o_totalprice", F.col("rank").cast("long"))
 
 
 @query("orders", oracle=f"select o_custkey, o_orderkey, o_totalprice, r as rank from (select *, {_RANK.format('asc')} as r from orders) where r <= 3")
 def bottomk_per_group(orders: DataFrame) -> DataFrame:
     w = Window.partitionBy("o_custkey").orderBy("o_totalprice", "o_orderkey")
-    return orders.withColumn("rank", F.row_number().over(w)).where("rank <= 3").select("o_custkey", "o_orderkey", "o_totalprice", "rank")
+    return orders.withColumn("rank", F.row_number().over(w)).where("rank <= 3").select("o_custkey", "o_orderkey", "o_totalprice", F.col("rank").cast("long"))
 
 
 @query("orders", oracle=f"select o_custkey, o_totalprice, o_orderkey, case when lo <= 2 then lo end as low_rank, case when hi <= 2 then hi end as high_rank from (select *, {_RANK.format('asc')} as lo, {_RANK.format('desc')} as hi from orders) where lo <= 2 or hi <= 2")
 def both_ends(orders: DataFrame) -> DataFrame:
     """Both ends of a double-ended queue per customer."""
-    return orderstats.both_ends(orders.select("o_custkey", "o_totalprice", "o_orderkey"), ["o_custkey"], ["o_totalprice", "o_orderkey"], 2)
+    ends = orderstats.both_ends(orders.select("o_custkey", "o_totalprice", "o_orderkey"), ["o_custkey"], ["o_totalprice", "o_orderkey"], 2)
+    return ends.withColumns({c: F.col(c).cast("long") for c in ("low_rank", "high_rank")})
 
 
 @query("orders", oracle="""with o as (select o_custkey, o_orderkey, o_totalprice, list(o_totalprice) over (partition by o_custkey order by o_orderdate, o_orderkey rows unbounded preceding) as seen from orders)
@@ -233,4 +234,4 @@ def latest_five(events: DataFrame) -> DataFrame:
 def page_of_rows(parts: DataFrame) -> DataFrame:
     """Skip and take: rows 11 to 30 of a page."""
     rows = parts.orderBy(F.desc("p_size"), "p_partkey").limit(30).select("p_partkey", "p_size")
-    return rows.withColumn("place", F.row_number().over(Window.orderBy(F.desc("p_size"), "p_partkey"))).where("place > 10")
+    return rows.withColumn("place", F.row_number().over(Window.orderBy(F.desc("p_size"), "p_partkey")).cast("long")).where("place > 10")

@@ -43,7 +43,7 @@ def xor_distance_topk(suppliers: DataFrame) -> DataFrame:
     """The ten nearest nodes of one target."""
     target = suppliers.sparkSession.range(1).select(F.lit(0).alias("target"), ids.md5_id(F.lit("target")).alias("node_id"))
     nodes = suppliers.select(F.col("s_suppkey").alias("node"), ids.md5_id(F.col("s_suppkey")).alias("node_id"))
-    return nearest.closest_k(target, nodes, 10).select(F.col("node").alias("s_suppkey"), F.col("distance")[0].alias("d1"), F.col("distance")[3].alias("d4"), "rank")
+    return nearest.closest_k(target, nodes, 10).select(F.col("node").alias("s_suppkey"), F.col("distance")[0].alias("d1"), F.col("distance")[3].alias("d4"), F.col("rank").cast("long"))
 
 
 @query("customer", oracle=f"select c_custkey, {prefix_sql('d')} as bits from (select c_custkey, {xor_sql(limbs_sql('c_custkey'), limbs_sql('0'))} as d from customer)")
@@ -64,7 +64,7 @@ def closest_nodes(nations: DataFrame, suppliers: DataFrame) -> DataFrame:
     """Five nearest nodes of each of a fixed set of targets."""
     targets = nations.select(F.col("n_nationkey").alias("target"), ids.md5_id(F.col("n_nationkey") + 1000000).alias("node_id"))
     nodes = suppliers.select(F.col("s_suppkey").alias("node"), ids.md5_id(F.col("s_suppkey")).alias("node_id"))
-    return nearest.closest_k(targets, nodes, 5).select(F.col("target").alias("n_nationkey"), F.col("node").alias("s_suppkey"), "rank")
+    return nearest.closest_k(targets, nodes, 5).select(F.col("target").alias("n_nationkey"), F.col("node").alias("s_suppkey"), F.col("rank").cast("long"))
 
 
 @query("nation", "supplier", oracle=f"""select n_nationkey, s_suppkey, gap, r as rank from (select *, row_number() over (partition by n_nationkey order by gap, d, s_suppkey) as r from (
@@ -74,7 +74,7 @@ def closest_by_bucket(nations: DataFrame, suppliers: DataFrame) -> DataFrame:
     """The approximate order of one node's own table."""
     targets = nations.select(F.col("n_nationkey").alias("target"), ids.md5_id(F.col("n_nationkey") + 1000000).alias("node_id"), ids.md5_id(F.lit(1)).alias("owner_id"))
     nodes = suppliers.select(F.col("s_suppkey").alias("node"), ids.md5_id(F.col("s_suppkey")).alias("node_id"))
-    return nearest.bucket_order(targets, nodes, 5, 4).select(F.col("target").alias("n_nationkey"), F.col("node").alias("s_suppkey"), "gap", "rank")
+    return nearest.bucket_order(targets, nodes, 5, 4).select(F.col("target").alias("n_nationkey"), F.col("node").alias("s_suppkey"), "gap", F.col("rank").cast("long"))
 
 
 @query("supplier", oracle=f"select s_suppkey, {xor_sql(limbs_sql('s_suppkey'), limbs_sql('7'))} <= {xor_sql(limbs_sql('s_suppkey + 1'), limbs_sql('7'))} as first_closer from supplier")
