@@ -14,9 +14,10 @@ from keyloom.llm import bpe, mixing, registry, simhash, substring, toxicity
 from keyloom.llm.common import Workspace, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: Near duplicates: five-word shingles.  Fingerprints of 64 bits link within 10, and of 192 bits within 29:
-#: for shingle sets of similarity 0.8 a bit differs with probability acos(0.8 * 2 / 1.8) / pi = 0.151.
-SHINGLE, RADIUS, BLOCKS, CHECKS, CHECK_BITS = 5, 10, 4, 2, 29
+#: Near duplicates: five-word shingles.  Three fingerprints of 64 bits; two of them are searched within 9 bits, and
+#: all 192 bits must agree within 32.  For shingle sets of similarity 0.8 a bit differs with probability
+#: acos(0.8 * 2 / 1.8) / pi = 0.151, in 29 of 192 on average; 3 more, as the estimate scatters.
+SHINGLE, RADIUS, BLOCKS, CHECKS, CHECK_BITS, SEARCHED = 5, 9, 5, 2, 32, 2
 #: Share of all tokens that the mix takes; nothing is taken twice.
 MIX_SHARE = 0.9
 
@@ -36,7 +37,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of least doc_id of each group of near duplicates."""
     ws = Workspace(spark, "stage-simhash")
-    found = simhash.near_duplicates(docs, SHINGLE, RADIUS, BLOCKS, CHECKS, CHECK_BITS)
+    found = simhash.near_duplicates(docs, SHINGLE, RADIUS, BLOCKS, CHECKS, CHECK_BITS, SEARCHED)
     return _keep(docs, ws.save(found.where("doc_id <> component_id").select("doc_id").distinct(), "copies"))
 
 

@@ -29,6 +29,8 @@ from keyloom.llm.common import Workspace, by_key, components, dealt_as_grid, np_
 WIDTH, SEED = 64, 42
 #: Fingerprints under one top node above which it is dealt out in parts.
 HOT_NODE = 4096
+#: Fingerprints under one top node, about, where rows must go to several nodes.
+WIDE_NODE = 1 << 16
 #: Node pairs with at most so many leaf pairs are compared at once instead of going deeper.
 LEAF_PAIRS = 256
 CHUNK_PAIRS = 1 << 20
@@ -166,21 +168,26 @@ def forest(key, side, rot, checks, top, lead, lead_budget, budget, check_bits) -
 
 
 def links(nodes: DataFrame, ws: Workspace, radius: int = 4, blocks: int = 5, checks: int = 0, check_bits: int = 0,
-          hot: int = HOT_NODE) -> DataFrame:
-    """Spanning links (a, b) between ``nodes(node, fp, c1..)`` within ``radius`` bits."""
+          searched: int = 1, hot: int | None = None) -> DataFrame:
+    """Spanning links (a, b) between ``nodes(node, fp, c1..)``: some of the first ``searched`` fingerprints within
+    ``radius`` bits, and with ``checks`` all fingerprints together within ``check_bits``."""
     spark = nodes.sparkSession
     starts = [WIDTH * t // blocks for t in range(blocks)]
     lead, lead_budget = min(b - a for a, b in zip(starts, [*starts[1:], WIDTH])), radius // blocks
     # without errors in the leading block its whole width names the task; else few bits, as a row goes to each node in reach
-    top = lead if not lead_budget else min(lead, max(2, (nodes.count() // 8192).bit_length()))
+    top = lead if not lead_budget else min(lead, max(2, (nodes.count() // WIDE_NODE).bit_length()))
+    hot = hot or (HOT_NODE if not lead_budget else 4 * WIDE_NODE)
     masks = [sum(1 << x for x in c) for e in range(lead_budget + 1) for c in combinations(range(top), e)]
-    names = [f"c{n + 1}" for n in range(checks)]
+    words, names = ["fp", *(f"c{n + 1}" for n in range(checks))], [f"o{n + 1}" for n in range(checks)]
 
-    def turned(s):
-        return F.col("fp") if not s else F.shiftleft("fp", s).bitwiseOR(F.shiftrightunsigned("fp", WIDTH - s))
+    def turned(word, s):
+        return F.col(word) if not s else F.shiftleft(word, s).bitwiseOR(F.shiftrightunsigned(word, WIDTH - s))
 
-    tries = F.explode(F.array(*[F.struct(F.lit(t).alias("t"), turned(s).alias("rot")) for t, s in enumerate(starts)]))
-    rows = nodes.select("node", *names, tries.alias("x")).select("node", *names, "x.t", "x.rot")
+    tries = []
+    for k, word in enumerate(words[:searched]):
+        others = [F.col(w).alias(n) for w, n in zip([w for w in words if w != word], names)]
+        tries += [F.struct(F.lit(k * blocks + t).alias("t"), turned(word, s).alias("rot"), *others) for t, s in enumerate(starts)]
+    rows = nodes.select("node", F.explode(F.array(*tries)).alias("x")).select("node", "x.*")
     rows = rows.withColumn("own", F.shiftrightunsigned("rot", WIDTH - top))
     if len(masks) > 1:
         rows = rows.withColumn("mask", F.explode(F.array(*[F.lit(m).cast("long") for m in masks])))
@@ -210,11 +217,12 @@ def links(nodes: DataFrame, ws: Workspace, radius: int = 4, blocks: int = 5, che
 
 
 def near_duplicates(docs: DataFrame, k: int = 4, radius: int = 4, blocks: int = 5, checks: int = 0,
-                    check_bits: int = 0, hot: int = HOT_NODE) -> DataFrame:
+                    check_bits: int = 0, searched: int = 1, hot: int | None = None) -> DataFrame:
     """(doc_id, fingerprint, component_id) for each row of ``docs(doc_id, text)``.
 
     With ``checks`` more fingerprints of other hash bits, a link must also differ in at most
-    ``check_bits`` of all bits together, which keeps unlike texts apart at a wide ``radius``.
+    ``check_bits`` of all bits together, which keeps unlike texts apart at a wide ``radius``; the
+    first ``searched`` of them are searched, each in tries of its own.
     """
     spark = docs.sparkSession
     ws = Workspace(spark, "simhash")
@@ -223,7 +231,7 @@ def near_duplicates(docs: DataFrame, k: int = 4, radius: int = 4, blocks: int =
     sigs = ws.save(signatures(docs, k, checks), "signatures")
     node = F.xxhash64(*names) if checks else F.col("fp")
     nodes = ws.save(sigs.groupBy(*names).agg(F.min("doc_id").alias("first")).withColumn("node", node), "nodes")
-    found = components(spark, links(nodes, ws, radius, blocks, checks, check_bits, hot), ws)
+    found = components(spark, links(nodes, ws, radius, blocks, checks, check_bits, searched, hot), ws)
     member = ws.save(found.join(nodes.select("node", "first"), "node"), "members")
     least = member.groupBy("root").agg(F.min("first").alias("component_id"))
     ids = ws.save(member.join(ws.save(least, "least"), "root").select("node", "component_id"), "ids")
