@@ -7,6 +7,15 @@ from pyspark.sql import functions as F
 
 from keyloom.functions import ids
 
+#: Targets of one call that are sent along to all nodes; more belong to ``owners`` or to several calls.
+MOST_TARGETS = 10_000
+
+
+def _sent(targets: DataFrame) -> DataFrame:
+    if targets.count() > MOST_TARGETS:
+        raise ValueError(f"over {MOST_TARGETS} targets")
+    return F.broadcast(targets)
+
 
 def _prefixes(rows: DataFrame, id_col: str, depth: int) -> DataFrame:
     """One row per row and length 0 .. depth with the id's first bits (its first limb must hold them)."""
@@ -35,7 +44,7 @@ def closest_k(targets: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
 
     Each task keeps its own k best of a target before the exchange.
     """
-    pairs = F.broadcast(targets.select("target", F.col("node_id").alias("_id"))).join(nodes.select("node", F.col("node_id").alias("_node")), how="cross")
+    pairs = _sent(targets.select("target", F.col("node_id").alias("_id"))).join(nodes.select("node", F.col("node_id").alias("_node")), how="cross")
     pairs = pairs.withColumn("distance", ids.xor(F.col("_id"), F.col("_node")))
     w = Window.partitionBy("target").orderBy("distance", "node")
     return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("target", "node", "distance", "rank")
@@ -44,7 +53,7 @@ def closest_k(targets: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
 def bucket_order(targets: DataFrame, nodes: DataFrame, k: int, n: int) -> DataFrame:
     """The approximate order of one routing table: by how far a node's bucket is from the target's, then by distance."""
     own = targets.select("target", F.col("node_id").alias("_id"), F.col("owner_id").alias("_owner"))
-    pairs = F.broadcast(own).join(nodes.select("node", F.col("node_id").alias("_node")), how="cross")
+    pairs = _sent(own).join(nodes.select("node", F.col("node_id").alias("_node")), how="cross")
     middle = ids.prefix_length(ids.xor(F.col("_owner"), F.col("_id")), n)
     bucket = ids.prefix_length(ids.xor(F.col("_owner"), F.col("_node")), n)
     pairs = pairs.withColumn("gap", F.abs(bucket - middle)).withColumn("distance", ids.xor(F.col("_id"), F.col("_node")))
