@@ -135,14 +135,16 @@ def empty_text(col: str = "text"):
     return F.coalesce(F.col(col), F.lit(""))
 
 
-def dealt_as_grid(rows: DataFrame, hot: int, ws: Workspace) -> DataFrame:
+def dealt_as_grid(rows: DataFrame, hot: int, ws: Workspace, counts: DataFrame | None = None) -> DataFrame:
     """Name the tasks of a self-join: adds ``key``, drops ``top`` and ``same``.
 
     ``rows(top, same, side, node, ..)``: rows of one ``top`` are compared, all with each other if
     ``same``, else side 0 with side 1.  A ``top`` of more than ``hot`` rows is cut into parts by a hash
     of ``node``, and each pair of parts is a task of its own with the two parts as its sides.
+    ``counts(top, n)`` may give the numbers of rows, if they are known.
     """
-    many = rows.groupBy("top").agg(F.count("*").alias("n")).where(F.col("n") > hot)
+    counts = rows.groupBy("top").agg(F.count("*").alias("n")) if counts is None else counts
+    many = counts.where(F.col("n") > hot)
     many = ws.save(many.select("top", F.ceil(F.col("n") / hot).cast("int").alias("parts")), "hot")
     if many.isEmpty():
         return rows.withColumn("key", F.col("top")).drop("same", "top")

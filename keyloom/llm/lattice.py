@@ -3,8 +3,9 @@
 Unit vectors are turned by random orthonormal bases; each table takes BLOCKS groups of eight of the new
 coordinates, scaled so that two vectors at the threshold lie REACH apart in a group, and decodes each
 group to its nearest E8 point.  Vectors of one label with equal points meet in a bucket; each vector also
-probes, for each group, the cell behind the nearest wall.  Every pair that meets is verified by its
-cosine in double precision.  A bucket with very many vectors is dealt as a grid of parts.
+probes, for each group, the cell behind the nearest wall.  Only names of cells are dealt out at first; the
+vectors follow to cells where some meet.  Every pair that meets is verified by its cosine in double
+precision.  A bucket with very many vectors is dealt as a grid of parts.
 
 Tasks return spanning links, from which components are built.  The number of links of a vector is then
 counted over all vectors of its component, so it is exact within the component.  Equal vectors are one
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from keyloom.llm.common import Workspace, by_key, components, dealt_as_grid, np_components, small_batches
 
-TABLES, BLOCKS, REACH, SEED = 4, 2, 0.283, 8
+TABLES, BLOCKS, REACH, SEED = 4, 3, 0.283, 8
 HOT_CELL = 2048
 PAIRS = 1 << 15
 TASK_ROWS = 20_000
@@ -156,7 +157,9 @@ def near_duplicates(rows: DataFrame, min_cosine: float = 0.98, tables: int = TAB
     spark = rows.sparkSession
     ws = Workspace(spark, "lattice")
     small_batches(spark, 2048)
-    rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform("embedding", lambda x: x.cast("double") + 0.0).alias("v"), F.col("label").cast("long").alias("label"))
+    # floats stay floats on their way; their cosines are taken in double precision
+    kind = "float" if dict(rows.dtypes)["embedding"] == "array<float>" else "double"
+    rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform("embedding", lambda x: x.cast(kind) + F.lit(0.0).cast(kind)).alias("v"), F.col("label").cast("long").alias("label"))
     fit = F.coalesce(
         F.col("label").isNotNull() & (F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0), F.lit(False))
     good = rows.where(fit).withColumn("node", F.xxhash64("label", "v"))
@@ -169,30 +172,24 @@ def near_duplicates(rows: DataFrame, min_cosine: float = 0.98, tables: int = TAB
             for d in np.unique(length):
                 at = np.flatnonzero(length == d)
                 for key, role, row in cells(unit([vs[i] for i in at]), label[at], min_cosine, tables):
-                    pick = pa.array(at[row])
-                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(role), b.column(2).take(pick), b.column(1).take(pick)], names=["top", "role", "node", "v"])
-
-    placed = classes.select("label", "v", "node").mapInArrow(place, "top long, role int, node long, v array<double>")
-    # a cell that only one vector is in or looks at needs no task
-    placed = dealt_as_grid(placed.withColumn("same", F.lit(True)).withColumn("side", F.lit(0)), hot, ws)
+                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(role == 0), b.column(2).take(pa.array(at[row]))], names=["top", "home", "node"])
+
+    placed = classes.select("label", "v", "node").mapInArrow(place, "top long, home boolean, node long")
+    # a cell that only one vector is in or looks at, or that is nobody's home, needs no task
+    live = ws.save(placed.groupBy("top").agg(F.count("*").alias("n"), F.bool_or("home").alias("h")).where("n > 1 and h").select("top", "n"), "cells")
+    met = ws.save(placed.join(live.select("top"), "top"), "met")
+    placed = met.join(classes.select("node", "v"), "node").withColumn("role", (~F.col("home")).cast("int"))
+    placed = dealt_as_grid(placed.withColumn("same", F.lit(True)).withColumn("side", F.lit(0)), hot, ws, live)
     placed = placed.select("key", "side", "role", "node", "v").repartition("key").sortWithinPartitions("key", "side")
 
     def verify(batches):
         for t in by_key(batches, TASK_ROWS):
             key, side, role, node = (t.column(i).to_numpy() for i in range(4))
-            # only keys with a home and one more row
-            _, where, size = np.unique(key, return_inverse=True, return_counts=True)
-            homes = np.bincount(where, role == 0, len(size))
-            some = np.flatnonzero((size > 1)[where] & (homes > 0)[where])
-            if not len(some):
-                continue
-            vs = vectors(t.column(4).take(pa.array(some)).combine_chunks())
+            vs = vectors(t.column(4))
             dim = np.array([len(x) for x in vs])
-            units = [unit([x])[0] for x in vs]
-            label = np.arange(len(some))
-            node = node[some]
-            for i, j in pairs_within(key[some], side[some], dim, units, min_cosine, role[some]):
-                label = np_components(len(some), i, j, label)
+            label = np.arange(len(key))
+            for i, j in pairs_within(key, side, dim, [unit([x])[0] for x in vs], min_cosine, role):
+                label = np_components(len(key), i, j, label)
             child = np.flatnonzero(node != node[label])
             yield pa.RecordBatch.from_arrays([pa.array(node[child]), pa.array(node[label[child]])], names=["a", "b"])
 
@@ -221,4 +218,4 @@ def near_duplicates(rows: DataFrame, min_cosine: float = 0.98, tables: int = TAB
     known = ws.save(known, "known")
     alone = rows.where(~fit).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     out = good.select("vec_id", "node").join(known, "node").select("vec_id", "n_links", "component_id").unionAll(alone)
-    return out.withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
