@@ -36,27 +36,30 @@ def lookup(asked: DataFrame, table: DataFrame, k: int = CONCURRENCY, until=None)
     the k nearest seen go on.  A lookup ends when a round brings nothing new, when the target itself is found,
     or when ``until`` (a Column over ``node_id`` and ``target_id``) holds for one of its nodes.
     """
-    steps = table.select("owner", "contact", "contact_id")
+    steps = cut(table.select("owner", "contact", "contact_id"))  # asked in every round
     near = Window.partitionBy("lookup").orderBy("d", "node")
+    hit = F.forall("d", lambda x: x == 0)
+    if until is not None:
+        hit = hit | until
+
+    def kept(rows: DataFrame) -> DataFrame:
+        ranked = rows.withColumn("rank", F.row_number().over(near)).where(F.col("rank") <= k).drop("rank")
+        return cut(ranked.withColumn("over", F.max(hit).over(Window.partitionBy("lookup"))))
+
     state = asked.select("lookup", "target_id", F.col("start").alias("node"), F.col("start_id").alias("node_id"), F.lit(0).alias("rounds"), F.lit(False).alias("asked"))
-    state = cut(state.withColumn("d", ids.xor(F.col("node_id"), F.col("target_id"))))
+    state = kept(state.withColumn("d", ids.xor(F.col("node_id"), F.col("target_id"))))
     for n in range(1, MOST_ROUNDS + 1):
-        hit = F.forall("d", lambda x: x == 0)
-        if until is not None:
-            hit = hit | until
-        over = F.max(hit).over(Window.partitionBy("lookup"))
-        marked = state.withColumn("over", over)
-        front = marked.where("not asked and not over")
+        front = state.where("not asked and not over")
+        if front.isEmpty():
+            break
         answers = front.select("lookup", "target_id", F.col("node").alias("owner")).join(steps, "owner")
         answers = answers.withColumn("d", ids.xor(F.col("contact_id"), F.col("target_id")))
         best = F.row_number().over(Window.partitionBy("lookup", "owner").orderBy("d", "contact"))
         answers = answers.withColumn("r", best).where(F.col("r") <= k)
         new = answers.select("lookup", "target_id", F.col("contact").alias("node"), F.col("contact_id").alias("node_id"), F.lit(n).alias("rounds"), F.lit(False).alias("asked"), "d")
-        kept = marked.withColumn("asked", F.col("asked") | ~F.col("over")).drop("over")
-        both = kept.unionByName(new).groupBy("lookup", "target_id", "node", "node_id", "d").agg(F.min("rounds").alias("rounds"), F.max("asked").alias("asked"))
-        state = cut(both.withColumn("rank", F.row_number().over(near)).where(F.col("rank") <= k).drop("rank"))
-        if state.where(~F.col("asked")).isEmpty():
-            break
+        old = state.withColumn("asked", F.col("asked") | ~F.col("over")).drop("over")
+        both = old.unionByName(new).groupBy("lookup", "target_id", "node", "node_id", "d").agg(F.min("rounds").alias("rounds"), F.max("asked").alias("asked"))
+        state = kept(both)
     out = state.withColumn("rank", F.row_number().over(near)).withColumn("rounds", F.max("rounds").over(Window.partitionBy("lookup")))
     return out.select("lookup", "rank", "node", "rounds")
 
