@@ -13,7 +13,7 @@ row per leaf, so their texts are not shuffled while that table is small enough t
 Defined cases: null and empty texts have no tokens, and come with the prefix in which they fall;
 null levels are one group, named ''; a weight of 0 takes nothing; a leaf without tokens takes
 nothing; rows of one doc_id in a leaf are taken together; an empty table gives no rows; other
-columns are kept.
+columns are kept, but for those named like the two that are added.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from keyloom.llm.common import Workspace
 
 WORDS = r"[^\x20\x09-\x0D]+"
 #: Rows in one range of a leaf's hash order, about.
-RANGE_ROWS = 4096
+RANGE_ROWS = 1024
 
 
 def n_words(text: Column) -> Column:
@@ -94,10 +94,12 @@ def mixed(docs: DataFrame, levels: dict[str, Column], weights: list[dict | None]
     plan = budgets(leaves, names, weights, want, max_epochs).withColumn("target", F.floor("target"))
     whole = F.when(F.col("tokens") > 0, F.expr("target div tokens")).otherwise(F.lit(0))
     plan = ws.save(plan.withColumn("whole", whole).select(*names, "whole", (F.col("target") - F.col("whole") * F.col("tokens")).alias("rest")), "plan")
-    drawn = F.xxhash64("doc_id", F.lit(seed), F.col("whole"))
+    def drawn(whole: str) -> Column:
+        return F.xxhash64("doc_id", F.lit(seed), F.col(whole))
+
     part = F.shiftrightunsigned("h", 64 - bits)
     # of a leaf's rows only number, hash and size are dealt out; leaves are few, so the plan is mostly sent along
-    rows = sized.join(plan.where("rest > 0"), names).withColumn("h", drawn).withColumn("part", part)
+    rows = sized.join(plan.where("rest > 0"), names).withColumn("h", drawn("whole")).withColumn("part", part)
     sums = rows.groupBy(*names, "part").agg(F.sum("tokens").alias("sum"), F.first("rest").alias("rest"))
     run = Window.partitionBy(*names).orderBy("part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     cut = sums.withColumn("upto", F.sum("sum").over(run)).where("upto > rest").groupBy(*names).agg(F.min(F.struct("part", (F.col("upto") - F.col("sum")).alias("before"))).alias("x"))
@@ -107,9 +109,10 @@ def mixed(docs: DataFrame, levels: dict[str, Column], weights: list[dict | None]
     inside = inside.withColumn("upto", F.col("before") + F.sum("tokens").over(upto)).where("upto <= rest")
     last = inside.groupBy(*names).agg(F.max(F.struct("h", "doc_id")).alias("last"))
     plan = plan.join(cut, names, "left").join(last, names, "left")
-    plan = ws.save(plan.select(*names, "whole", "rest", F.col("part").alias("_part"), F.col("last.h").alias("_h"), F.col("last.doc_id").alias("_id")), "cuts")
-    out = marked.join(plan, names).withColumn("_own", drawn)
+    plan = ws.save(plan.select(*names, F.col("whole").alias("_whole"), F.col("rest").alias("_rest"), F.col("part").alias("_part"), F.col("last.h").alias("_h"), F.col("last.doc_id").alias("_id")), "cuts")
+    out = marked.join(plan, names).withColumn("_own", drawn("_whole"))
     own = F.shiftrightunsigned("_own", 64 - bits)
     inside = (own < F.col("_part")) | (own == F.col("_part")) & (F.struct(F.col("_own").alias("h"), F.col("doc_id").alias("i")) <= F.struct(F.col("_h").alias("h"), F.col("_id").alias("i")))
-    taken = F.when((F.col("rest") > 0) & F.coalesce(inside, F.lit(False)), 1).otherwise(0)
-    return out.select(*[docs[c] for c in docs.columns], tokens.alias("n_tokens"), (F.col("whole") + taken).cast("int").alias("epochs"))
+    taken = F.when((F.col("_rest") > 0) & F.coalesce(inside, F.lit(False)), 1).otherwise(0)
+    old = [F.col(f"`{c}`") for c in docs.columns if c not in ("n_tokens", "epochs")]
+    return out.select(*old, tokens.alias("n_tokens"), (F.col("_whole") + taken).cast("int").alias("epochs"))

@@ -341,6 +341,8 @@ def test_mixing_edges(spark):
     out = mixing.mixed(df, {"lang": F.col("lang")}, [None], share=1.0)
     assert {r.doc_id: r.epochs for r in out.collect()} == {0: 1, 1: 1, 2: 1, 5: 1} and set(df.columns) < set(out.columns)
     assert mixing.mixed(df.limit(0), {"lang": F.col("lang")}, [None]).count() == 0
+    clash = df.selectExpr("doc_id", "text", "lang", "1 as whole", "2 as rest", "3 as h", "4 as part", "5 as n_tokens", "6 as epochs", "7 as tokens", "8 as budget", "9 as target")
+    assert sorted((r.doc_id, r.epochs, r.whole) for r in mixing.mixed(clash, {"lang": F.col("lang")}, [None], share=1.0).collect()) == [(0, 1, 1), (1, 1, 1), (2, 1, 1), (5, 1, 1), (5, 1, 1)]
     one, two = (sorted((r.doc_id, r.epochs) for r in mixing.mixed(docs_of(spark, ["w"] * 100), {"lang": F.col("lang")}, [None], share=0.5, seed=s).collect()) for s in (1, 2))
     assert sum(e for _, e in one) == sum(e for _, e in two) == 50 and one != two
 
