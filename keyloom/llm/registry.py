@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyloom.llm import bpe, html, lattice, media, mixing, shards, simhash, substring, toxicity, warc
+from keyloom.llm import bpe, html, lattice, media, mixing, oracles, shards, simhash, substring, toxicity, warc
 from keyloom.llm.common import table
 
 
@@ -64,4 +64,4 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _ALL = (op1_simhash, op2_toxicity, op3_html, op4_shards, op5_media, op6_lattice, op7_mixing, op8_substring, op9_warc, op10_bpe)
 QUERIES = {f.__name__: f for f in _ALL}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op3_html": oracles.HTML, "op6_lattice": oracles.LATTICE, "op8_substring": oracles.SUBSTRING, "op9_warc": oracles.WARC}
