@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes each result as Parquet on
 the shared folder and reads it again for the next stage.  All but the last return the columns of ``documents``.
+
+Defined cases, for every stage: an empty table gives an empty table; null texts count as empty; other columns than those
+of ``documents`` are left out; rows of one doc_id are one document and go or stay together; rows without a doc_id are
+never dropped as toxic or as a copy; very long texts are read whole.
 """
 
 from __future__ import annotations
@@ -28,21 +32,28 @@ def _keep(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a toxicity score under the threshold."""
+    """Documents with a toxicity score under the threshold.  Empty texts are scored like others; without labels of both
+    kinds nothing is dropped."""
     ws = Workspace(spark, "stage-toxicity")
     scores = toxicity.scored(docs, table(spark, sf_dir, "labels"))
     return _keep(docs, ws.save(scores.where("predicted = 1").select("doc_id").distinct(), "rejected"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least doc_id of each group of near duplicates."""
+    """The document of least doc_id of each group of near duplicates.  Empty texts are one group; a row repeated in all
+    its columns stays once."""
     ws = Workspace(spark, "stage-simhash")
+    twice = ws.save(docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 and doc_id is not null").select("doc_id"), "repeated-ids")
+    if not twice.isEmpty():
+        again = docs.join(twice, "doc_id", "left_semi").select(*COLUMNS).dropDuplicates()
+        docs = ws.save(_keep(docs, twice).unionByName(again), "documents")
     found = simhash.near_duplicates(docs, SHINGLE, RADIUS, BLOCKS, CHECKS, CHECK_BITS, SEARCHED)
     return _keep(docs, ws.save(found.where("doc_id <> component_id").select("doc_id").distinct(), "copies"))
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without passages of 20 words and more that stand earlier; untouched where there are none."""
+    """Texts without passages of 20 words and more that stand earlier; untouched where there are none.  A document whose
+    text goes altogether stays with an empty text; a null text becomes an empty one."""
     out = substring.deduplicated(docs, keep=["lang", "source", "n_chars"])
     changed = F.col("kept_text").isNotNull()
     return out.select("doc_id", F.coalesce("kept_text", "text").alias("text"), "lang", "source",
@@ -50,13 +61,14 @@ def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A share of the tokens, dealt to domains, languages and sources by weight; each document at most once."""
+    """A share of the tokens, dealt to domains, languages and sources by weight; each document at most once.  Null languages
+    and sources are groups of their own; texts without words come along with the prefix of their source."""
     levels = {"domain": registry.domain(), "lang": F.col("lang"), "source": F.col("source")}
     return mixing.mixed(docs, levels, [registry.DOMAIN_WEIGHTS, None, None], share=MIX_SHARE, max_epochs=1).where("epochs > 0").select(*COLUMNS)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, n_tokens, ids, round_trip): the token ids, and whether they decode to the text."""
+    """(doc_id, n_tokens, ids, round_trip): the token ids, and whether they decode to the text.  Empty texts have no ids."""
     lines = bpe.rank_file(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
     return bpe.token_rows(docs, lines, public_tokenizers.PATTERN)
 

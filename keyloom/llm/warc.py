@@ -44,17 +44,25 @@ def page_of(rid: str):
     return int(n) if n else None
 
 
-def record(page_id, url, payload: bytes, refers_to, kind: str) -> bytes:
-    digest = base64.b32encode(hashlib.sha1(payload).digest()).decode()
-    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
-    body = http if kind == "revisit" else http + payload
+def record(page_id, url, payload, refers_to, kind: str):
+    """The gzipped pieces of one record; the payload is any buffer and is never copied whole."""
+    sha, view = hashlib.sha1(), memoryview(payload)
+    parts = [view[i : i + CHUNK] for i in range(0, len(view), CHUNK)]
+    for part in parts:
+        sha.update(part)
+    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(view)}\r\n\r\n".encode()
+    size = len(http) + (0 if kind == "revisit" else len(view))
     uri = "" if url is None else quote(url, safe="!#$%&'()*+,/:;=?@[]~-._")
     head = [f"WARC-Type: {kind}", f"WARC-Record-ID: {record_id(page_id)}", "WARC-Date: 2024-01-01T00:00:00Z", f"WARC-Target-URI: {uri}",
-            f"WARC-Payload-Digest: sha1:{digest}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(body)}"]
+            f"WARC-Payload-Digest: sha1:{base64.b32encode(sha.digest()).decode()}", "Content-Type: application/http; msgtype=response", f"Content-Length: {size}"]
     if kind == "revisit":
         head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {record_id(refers_to)}"]
     z = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
-    return z.compress("\r\n".join(["WARC/1.1", *head, "", ""]).encode()) + z.compress(body) + z.compress(b"\r\n\r\n") + z.flush()
+    yield z.compress("\r\n".join(["WARC/1.1", *head, "", ""]).encode() + http)
+    if kind != "revisit":
+        for part in parts:
+            yield z.compress(part)
+    yield z.compress(b"\r\n\r\n") + z.flush()
 
 
 def with_roles(pages: DataFrame, ws: Workspace) -> DataFrame:
@@ -76,10 +84,11 @@ def write(pages: DataFrame, folder: str, ws: Workspace) -> DataFrame:
     def run(batches):
         out, n, uri = None, 0, f"{folder}/part-{TaskContext.get().partitionId():06d}.warc.gz"
         for b in batches:
-            for page_id, url, payload, refers_to in zip(*(b.column(i).to_pylist() for i in range(4))):
+            for page_id, url, refers_to, payload in zip(*(b.column(i).to_pylist() for i in (0, 1, 3)), b.column(2)):
                 out = out or Output(uri)
                 kind = "response" if refers_to is None else "revisit"
-                out.write(record(page_id, url, payload, refers_to, kind))
+                for piece in record(page_id, url, payload.as_buffer(), refers_to, kind):
+                    out.write(piece)
                 n += 1
         if out:
             out.close()

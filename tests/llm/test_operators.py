@@ -504,6 +504,14 @@ def test_pipeline_stages_in_odd_cases(spark, data, odd_texts):
             assert out.count() <= docs.count()
 
 
+def test_repeated_rows_stay_once(spark, data):
+    import corpus_pipeline as c
+
+    df = docs_of(spark, [(1, "some text of few words"), (1, "some text of few words"), (2, "another text with other words in it"), (3, "some text of few words"), (None, "x"), (None, "x")]).select(*c.COLUMNS)
+    out = c.drop_near_duplicates(spark, df, data).collect()
+    assert sorted(str(r.doc_id) for r in out) == ["1", "2", "None", "None"]
+
+
 def test_pipeline_catches_planted_cases(spark, data):
     import corpus_pipeline as c
 
