@@ -34,7 +34,6 @@ def shared_root(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = "file://" + os.path.join(tempfile.gettempdir(), "keyloom-shared")
-        spark.conf.set("spark.checkpoint.dir", root)
     if "://" not in root and not root.startswith("file:"):
         root = spark._jvm.org.apache.hadoop.fs.Path(root).getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(
             spark._jvm.org.apache.hadoop.fs.Path(root)).toString()
