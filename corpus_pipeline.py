@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keyloom.llm import bpe, mixing, registry, simhash, substring, toxicity
-from keyloom.llm.common import Workspace, table
+from keyloom.llm.common import Workspace, spread, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Near duplicates: five-word shingles.  Three fingerprints of 64 bits; two of them are searched within 9 bits, and
@@ -86,7 +86,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     ws = Workspace(spark, "pipeline")
-    docs = table(spark, sf_dir, "documents").select(*COLUMNS)
+    docs = spread(table(spark, sf_dir, "documents").select(*COLUMNS))
     for name, stage in STAGES:
         docs = ws.save(stage(spark, docs, sf_dir), name.replace(" ", "-"))
     return docs

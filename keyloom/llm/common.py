@@ -19,6 +19,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores, where a scan has at most half as many partitions (few files of one row group each).
+
+    For work that takes much longer than moving the rows; a scan of many partitions is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 2 * df.rdd.getNumPartitions() <= cores else df
+
+
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     """Bound what a Python worker gets at once (a setting of the session, not of the data)."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

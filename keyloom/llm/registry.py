@@ -7,19 +7,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keyloom.llm import bpe, html, lattice, media, mixing, oracles, shards, simhash, substring, toxicity, warc
-from keyloom.llm.common import table
+from keyloom.llm.common import spread, table
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.near_duplicates(table(spark, sf_dir, "documents"), k=4, radius=4)
+    return simhash.near_duplicates(spread(table(spark, sf_dir, "documents")), k=4, radius=4)
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return toxicity.scored(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "labels"))
 
 
 def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html.extracted(table(spark, sf_dir, "pages"))
+    return html.extracted(spread(table(spark, sf_dir, "pages")))
 
 
 def op4_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,7 +27,7 @@ def op4_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.media_columns(table(spark, sf_dir, "documents"))
+    return media.media_columns(spread(table(spark, sf_dir, "documents")))
 
 
 def op6_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,16 +50,16 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring.digests(table(spark, sf_dir, "documents"))
+    return substring.digests(spread(table(spark, sf_dir, "documents")))
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.archived(table(spark, sf_dir, "pages"))
+    return warc.archived(spread(table(spark, sf_dir, "pages")))
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = bpe.rank_file(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
-    return bpe.digests(table(spark, sf_dir, "documents"), lines, public_tokenizers.PATTERN)
+    return bpe.digests(spread(table(spark, sf_dir, "documents")), lines, public_tokenizers.PATTERN)
 
 
 _ALL = (op1_simhash, op2_toxicity, op3_html, op4_shards, op5_media, op6_lattice, op7_mixing, op8_substring, op9_warc, op10_bpe)

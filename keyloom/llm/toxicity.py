@@ -165,7 +165,7 @@ def featured(docs: DataFrame, sent, extra: list[str], out) -> DataFrame:
     return docs.select("doc_id", "text", *extra).mapInArrow(run, out[0])
 
 
-def regression(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple:
+def regression(x: np.ndarray, y: np.ndarray, ridge: float = 5.0) -> tuple:
     """(means, scales, weights with the constant last) of a logistic regression, by Newton's method."""
     mean, scale = x.mean(0), x.std(0) + 1e-9
     z = np.hstack([(x - mean) / scale, np.ones((len(x), 1))])

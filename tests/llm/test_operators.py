@@ -14,7 +14,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from keyloom.llm import bpe, html, lattice, media, mixing, registry, shards, simhash, substring, toxicity, warc
-from keyloom.llm.common import Workspace, components, np_components, table
+from keyloom.llm.common import Workspace, components, np_components, spread, table
 
 LINES = bpe.rank_file(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, node string, fp int, h double, key string, top int, start int, h2 int"
@@ -41,6 +41,11 @@ def odd_texts():
             "again " * 200, "ünïcode ß 日本 " * 30, " ".join(words(rng, 20000)), (7, "seven twice"), (None, " ".join(base)), (None, "alone")]
 
 
+def test_spread_only_where_partitions_are_few(spark):
+    few, many = spark.range(10).coalesce(1), spark.range(0, 10, 1, 7)
+    assert spread(few).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism and spread(many) is many
+
+
 # ---- components ----
 
 def test_components_of_any_shape(spark):
