@@ -10,11 +10,21 @@ from pyspark.sql import functions as F
 from keyloom.functions import control
 
 
-def ring_layout(nodes: DataFrame, order: Column) -> DataFrame:
-    """Places on a circle in the order of id: ``idx``, ``x``, ``y``.  One row per node comes to one window."""
-    w = Window.orderBy(order)
-    angle = (F.row_number().over(w) - 1) / F.count("*").over(Window.partitionBy()) * (2 * math.pi)
-    return nodes.select("*", (F.row_number().over(w) - 1).cast("long").alias("idx"), (F.round(F.cos(angle), 6) + 0.0).alias("x"), (F.round(F.sin(angle), 6) + 0.0).alias("y"))
+def ring_layout(nodes: DataFrame, digest: Column) -> DataFrame:
+    """Places on a circle in the order of a hex digest: ``idx``, ``x``, ``y``.
+
+    The digest's first two digits cut the order into 256 even ranges; what stands before a range comes from
+    counts, so no task orders all nodes.
+    """
+    marked = nodes.withColumn("_digest", digest).withColumn("_part", F.substring("_digest", 1, 2))
+    counts = marked.groupBy("_part").agg(F.count("*").alias("_n"))
+    everything = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"), F.sum("_n").over(everything).alias("_all"))  # 256 rows at most
+    own = F.row_number().over(Window.partitionBy("_part").orderBy("_digest"))
+    placed = marked.join(F.broadcast(counts), "_part").withColumn("idx", (F.col("_before") + own - 1).cast("long"))
+    angle = F.col("idx") / F.col("_all") * (2 * math.pi)
+    return placed.select(*[F.col(f"`{c}`") for c in nodes.columns], "idx", (F.round(F.cos(angle), 6) + 0.0).alias("x"), (F.round(F.sin(angle), 6) + 0.0).alias("y"))
 
 
 def failure_runs(rows: DataFrame, by: list[str], order: list[str], failed: Column, threshold: int) -> DataFrame:
