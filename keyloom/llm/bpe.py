@@ -16,6 +16,8 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import sys
+import types
 from itertools import chain
 
 import pyarrow as pa
@@ -215,14 +217,17 @@ class Tokenizer:
         return b"".join([tokens[i] for i in ids])
 
 
-_TOKENIZERS: dict = {}
-
-
 def tokenizer(lines: bytes, pattern: str) -> Tokenizer:
+    """The tokenizer of a rank file; a Python worker keeps one from task to task, with what it has seen.
+
+    It is kept under a module of its own: this one is sent anew with each task.
+    """
+    kept = sys.modules.setdefault("_keyloom_kept", types.ModuleType("_keyloom_kept")).__dict__.setdefault("tokenizers", {})
     key = (hashlib.sha256(lines).digest(), pattern)
-    if key not in _TOKENIZERS:
-        _TOKENIZERS[key] = Tokenizer(Vocabulary.read(lines), pattern)
-    return _TOKENIZERS[key]
+    if key not in kept:
+        kept.clear()
+        kept[key] = Tokenizer(Vocabulary.read(lines), pattern)
+    return kept[key]
 
 
 def rank_file(path: str) -> bytes:
