@@ -20,8 +20,10 @@ from keyloom.llm.common import Workspace, spread, table
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Near duplicates: five-word shingles.  Three fingerprints of 64 bits; two of them are searched within 9 bits, and
 #: all 192 bits must agree within 32.  For shingle sets of similarity 0.8 a bit differs with probability
-#: acos(0.8 * 2 / 1.8) / pi = 0.151, in 29 of 192 on average; 3 more, as the estimate scatters.
+#: acos(0.8 * 2 / 1.8) / pi = 0.151, in 29 of 192 on average; 3 more, as the estimate scatters.  These pairs
+#: and those of min-hash bands are candidates; a link needs SIMILARITY of the whole shingle sets.
 SHINGLE, RADIUS, BLOCKS, CHECKS, CHECK_BITS, SEARCHED = 5, 9, 5, 2, 32, 2
+SIMILARITY = 0.8
 #: Share of all tokens that the mix takes; nothing is taken twice.
 MIX_SHARE = 0.9
 
@@ -47,7 +49,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     if not twice.isEmpty():
         again = docs.join(twice, "doc_id", "left_semi").select(*COLUMNS).dropDuplicates()
         docs = ws.save(_keep(docs, twice).unionByName(again), "documents")
-    found = simhash.near_duplicates(docs, SHINGLE, RADIUS, BLOCKS, CHECKS, CHECK_BITS, SEARCHED)
+    found = simhash.near_duplicates(docs, SHINGLE, RADIUS, BLOCKS, CHECKS, CHECK_BITS, SEARCHED, least=SIMILARITY)
     return _keep(docs, ws.save(found.where("doc_id <> component_id").select("doc_id").distinct(), "copies"))
 
 

@@ -8,6 +8,10 @@ block) or the whole budget is exceeded.  The top of a trie is dealt out as tasks
 pair of top nodes within budget; a node with very many fingerprints is dealt as a grid of parts.
 A task returns a spanning forest of the links it found, never all pairs of a group.
 
+Exact links.  With ``least``, links of fingerprints are candidates only.  Bands of min-hashes of the same
+shingles add the pairs that bits miss near the threshold; then all pairs within a group of candidates are
+compared by their whole shingle sets, and those of at least that Jaccard similarity stay.
+
 Defined cases: null and empty texts have fingerprint 0 and link like any other; texts shorter than
 one shingle are hashed whole; repeated rows give repeated results; an empty table gives no rows;
 other columns of the input are ignored; a null doc_id never becomes a component's id unless the
@@ -35,6 +39,10 @@ WIDE_NODE = 1 << 16
 LEAF_PAIRS = 256
 CHUNK_PAIRS = 1 << 20
 TASK_ROWS = 200_000
+#: Min-hashes: a band of five is equal for 0.8 ** 5 of the pairs of similarity 0.8, one of 16 bands for 0.998 of them.
+BANDS, BAND_ROWS = 16, 5
+#: Texts of one group of candidates above which it is dealt out in parts; texts compared at once; shingles counted at once.
+HOT_GROUP, SET_ROWS, SET_COLUMNS = 1024, 256, 8192
 
 
 def shingle_hashes(text: bytes, k: int) -> np.ndarray:
@@ -69,6 +77,100 @@ def remixed(h: np.ndarray, salt: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def band_keys(hashes: np.ndarray) -> list[int]:
+    """A key for each band of min-hashes; texts with an equal key are candidates."""
+    if not len(hashes):
+        return [0]
+    least = np.array([remixed(hashes, 101 + n).min() for n in range(BANDS * BAND_ROWS)], np.uint64).reshape(BANDS, BAND_ROWS)
+    return [xxhash.xxh64_intdigest(row.tobytes(), n) for n, row in enumerate(least)]
+
+
+def alike(sets: list[np.ndarray], others: list[np.ndarray], least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of all pairs of a set and another whose Jaccard similarity is at least ``least``; two empty sets are alike."""
+    def laid(x):
+        return np.repeat(np.arange(len(x)), [len(s) for s in x]), np.concatenate(x) if x else np.empty(0, np.uint64)
+
+    (r1, h1), (r2, h2) = laid(sets), laid(others)
+    both = np.intersect1d(h1, h2)
+    shared = np.zeros((len(sets), len(others)))
+    for at in range(0, len(both), SET_COLUMNS):
+        part = both[at : at + SET_COLUMNS]
+        m = []
+        for n, r, h in ((len(sets), r1, h1), (len(others), r2, h2)):
+            c = np.minimum(np.searchsorted(part, h), len(part) - 1)
+            ok = part[c] == h
+            x = np.zeros((n, len(part)), np.float32)
+            x[r[ok], c[ok]] = 1
+            m.append(x)
+        shared += m[0] @ m[1].T
+    every = np.array([len(s) for s in sets])[:, None] + np.array([len(s) for s in others])[None, :] - shared
+    return np.nonzero(shared >= least * every - 1e-9)
+
+
+def exact_forest(key, side, sets: list[np.ndarray], least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning links (positions) of the alike pairs of the tasks in these rows: sorted by (key, side)."""
+    n = len(key)
+    label = np.arange(n)
+    new = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    for lo, hi in zip(new, [*new[1:], n]):
+        mid = lo + int(np.count_nonzero(side[lo:hi] == 0))
+        own = mid in (lo, hi)
+        for a in range(lo, hi if own else mid, SET_ROWS):
+            a2 = min(a + SET_ROWS, hi if own else mid)
+            for b in range(a if own else mid, hi, SET_ROWS):
+                i, j = alike(sets[a:a2], sets[b : min(b + SET_ROWS, hi)], least)
+                label = np_components(n, i + a, j + b, label)
+    child = np.flatnonzero(label != np.arange(n))
+    return child, label[child]
+
+
+def whole_signatures(docs: DataFrame, k: int, checks: int) -> DataFrame:
+    """(doc_id, text, row, node, bands, fp, c1..): as ``signatures``; ``node`` names the set of shingles."""
+    names = ["fp", *(f"c{n + 1}" for n in range(checks))]
+
+    def run(batches):
+        for b in batches:
+            out, node, bands = [[] for _ in names], [], []
+            for text in b.column(1).cast(pa.binary()).to_pylist():
+                h = shingle_hashes(text or b"", k)
+                for n, to in enumerate(out):
+                    to.append(majority(remixed(h, n) if n else h))
+                h = np.unique(h)
+                node.append(xxhash.xxh64_intdigest(h.tobytes(), SEED))
+                bands.append(np.array(band_keys(h), np.uint64).view(np.int64))
+            cols = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (node, *out)]
+            yield pa.RecordBatch.from_arrays([*b.columns, cols[0], pa.array(bands, pa.list_(pa.int64())), *cols[1:]], names=["doc_id", "text", "row", "node", "bands", *names])
+
+    schema = f"doc_id {dict(docs.dtypes)['doc_id']}, text string, row long, node long, bands array<long>, " + ", ".join(f"{n} long" for n in names)
+    return docs.select("doc_id", F.col("text").cast("string").alias("text"), F.monotonically_increasing_id().alias("row")).mapInArrow(run, schema)
+
+
+def band_links(nodes: DataFrame, ws: Workspace) -> DataFrame:
+    """Links (a, b) of each node to the least one that has an equal band key."""
+    keys = ws.save(nodes.select("node", F.explode("bands").alias("key")), "bands")
+    least = keys.groupBy("key").agg(F.min("node").alias("b"), F.max("node").alias("most")).where("b < most").select("key", "b")
+    return keys.join(ws.save(least, "least-of-band"), "key").where("node <> b").select(F.col("node").alias("a"), "b").distinct()
+
+
+def exact_links(groups: DataFrame, k: int, least: float, ws: Workspace, hot: int | None = None) -> DataFrame:
+    """Spanning links (a, b) of the pairs within ``groups(root, node, text)`` whose shingle sets are ``least`` alike."""
+    spark = groups.sparkSession
+    rows = groups.select(F.col("root").alias("top"), F.lit(True).alias("same"), F.lit(0).alias("side"), "node", "text")
+    counts = rows.groupBy("top").agg(F.count("*").alias("n"))
+    rows = dealt_as_grid(rows, hot or HOT_GROUP, ws, counts)
+    rows = rows.select("key", "side", "node", "text").repartition("key").sortWithinPartitions("key", "side")
+
+    def run(batches):
+        for t in by_key(batches, 2 * HOT_GROUP):
+            key, side, node = (t.column(n).to_numpy() for n in range(3))
+            sets = [np.unique(shingle_hashes(x or b"", k)) for x in t.column(3).cast(pa.binary()).to_pylist()]
+            i, j = exact_forest(key, side, sets, least)
+            yield pa.RecordBatch.from_arrays([pa.array(node[i]), pa.array(node[j])], names=["a", "b"])
+
+    small_batches(spark)
+    return ws.save(rows.mapInArrow(run, "a long, b long"), "exact-links")
+
+
 def signatures(docs: DataFrame, k: int = 4, checks: int = 0) -> DataFrame:
     """(doc_id, fp, c1..): the fingerprint, and ``checks`` more of other hash bits."""
     names = ["fp", *(f"c{n + 1}" for n in range(checks))]
@@ -217,24 +319,36 @@ def links(nodes: DataFrame, ws: Workspace, radius: int = 4, blocks: int = 5, che
 
 
 def near_duplicates(docs: DataFrame, k: int = 4, radius: int = 4, blocks: int = 5, checks: int = 0,
-                    check_bits: int = 0, searched: int = 1, hot: int | None = None) -> DataFrame:
+                    check_bits: int = 0, searched: int = 1, hot: int | None = None, least: float | None = None) -> DataFrame:
     """(doc_id, fingerprint, component_id) for each row of ``docs(doc_id, text)``.
 
     With ``checks`` more fingerprints of other hash bits, a link must also differ in at most
     ``check_bits`` of all bits together, which keeps unlike texts apart at a wide ``radius``; the
     first ``searched`` of them are searched, each in tries of its own.
+
+    With ``least``, a link must have that Jaccard similarity of the sets of shingles.
     """
     spark = docs.sparkSession
     ws = Workspace(spark, "simhash")
     small_batches(spark)
     names = ["fp", *(f"c{n + 1}" for n in range(checks))]
-    sigs = ws.save(signatures(docs, k, checks), "signatures")
-    node = F.xxhash64(*names) if checks else F.col("fp")
-    nodes = ws.save(sigs.groupBy(*names).agg(F.min("doc_id").alias("first")).withColumn("node", node), "nodes")
-    found = components(spark, links(nodes, ws, radius, blocks, checks, check_bits, searched, hot), ws)
+    if least is None:
+        sigs = ws.save(signatures(docs, k, checks), "signatures")
+        node = F.xxhash64(*names) if checks else F.col("fp")
+        nodes = ws.save(sigs.groupBy(*names).agg(F.min("doc_id").alias("first")).withColumn("node", node), "nodes")
+        found = components(spark, links(nodes, ws, radius, blocks, checks, check_bits, searched, hot), ws)
+    else:
+        sigs, node = ws.save(whole_signatures(docs, k, checks), "signatures"), F.col("node")
+        one = sigs.groupBy("node").agg(F.min("doc_id").alias("first"), F.min("row").alias("row"), F.min_by(F.struct("bands", *names), "row").alias("x"))
+        nodes = ws.save(one.select("node", "first", "row", "x.*"), "nodes")
+        near = links(nodes.select("node", *names), ws, radius, blocks, checks, check_bits, searched, hot)
+        near = near.unionByName(band_links(nodes, ws))
+        groups = ws.save(components(spark, near, ws).join(nodes.select("node", "row"), "node"), "groups")
+        texts = ws.save(groups.join(sigs.select("row", "text"), "row").select("root", "node", "text"), "candidates")
+        found = components(spark, exact_links(texts, k, least, ws, hot), ws)
     member = ws.save(found.join(nodes.select("node", "first"), "node"), "members")
-    least = member.groupBy("root").agg(F.min("first").alias("component_id"))
-    ids = ws.save(member.join(ws.save(least, "least"), "root").select("node", "component_id"), "ids")
+    lowest = member.groupBy("root").agg(F.min("first").alias("component_id"))
+    ids = ws.save(member.join(ws.save(lowest, "least"), "root").select("node", "component_id"), "ids")
     of = ws.save(nodes.join(ids, "node", "left").select("node", F.coalesce("component_id", "first").alias("component_id")), "classes")
     return sigs.withColumn("node", node).join(of, "node").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

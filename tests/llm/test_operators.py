@@ -116,6 +116,28 @@ def test_simhash_on_dense_groups(spark):
 
 # ---- 2 ----
 
+@pytest.mark.parametrize("hot", [None, 5])
+def test_near_duplicates_are_exact_around_the_threshold(spark, hot):
+    """Pairs of similarity 0.75 to 0.85, and stars whose copies differ from one another."""
+    import corpus_pipeline as c
+
+    rng, texts = random.Random(11), [None, "", "one two", "One  two"]
+    for n in range(150):
+        base = words(rng, rng.choice([60, 104, 304]), 10**6)
+        more = list(base)
+        cut = round(len(base) * (1 / (0.75 + 0.1 * n / 149) - 1))
+        texts += [" ".join(base), " ".join(more + words(rng, cut, 10**6))]
+    star = words(rng, 100, 10**6)
+    texts += [" ".join(star[:k] + [f"x{k}"] + star[k + 1 :] + [f"y{k}"]) for k in range(0, 100, 5)]
+    sets = [set(simhash.shingle_hashes((t or "").encode(), 5).tolist()) for t in texts]
+    near = [(i, j) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) - 1e-9]
+    want = np_components(len(texts), [i for i, _ in near], [j for _, j in near]).tolist()
+    assert 50 < len([i for i, x in enumerate(want) if i != x]) < 160
+    found = simhash.near_duplicates(docs_of(spark, texts), c.SHINGLE, c.RADIUS, c.BLOCKS, c.CHECKS, c.CHECK_BITS, c.SEARCHED, hot, c.SIMILARITY)
+    got = {r.doc_id: r.component_id for r in found.collect()}
+    assert [got[i] for i in range(len(texts))] == want
+
+
 def toxic_corpus(spark, n=600):
     rng = random.Random(2)
     rows, labels = [], []
