@@ -10,8 +10,8 @@ makes a probability of them.
 
 Counts come from all labelled rows outside the held-out remainder.  The regression is fitted on at most
 ``FIT_ROWS`` of the labelled rows of one remainder, scored by models of the others.  The models travel as
-one table of SLOTS hashed entries, a fixed size; where two n-grams fall into one slot the more frequent
-stays, and the other is treated as not seen.
+one sorted table of the 64-bit hashes of all n-grams and contexts, none left out; it grows with the different
+n-grams of the labelled rows, 16 bytes each.
 
 Defined cases: null and empty texts score as texts without words; without labelled rows of both classes
 every score is 0; several labels of one doc_id: toxic if any is; null labels are ignored; repeated rows give
@@ -31,7 +31,6 @@ from pyspark.sql import functions as F
 from keyloom.llm.common import Workspace, empty_text, small_batches
 
 ORDER, DISCOUNT, BACK = 6, 0.75, 3
-SLOTS = 1 << 22
 FIT_ROWS = 20_000
 HELD_OUT, FIT_ON = 2, 1
 THRESHOLD = 0.3
@@ -73,7 +72,7 @@ def word_counts(rows: DataFrame) -> DataFrame:
 
 
 def ratios(words: DataFrame, ws: Workspace) -> DataFrame:
-    """(h, n, full, fit): the log ratio of each n-gram and (for letters not seen after it) of each context."""
+    """(h, full, fit): the log ratio of each n-gram and (for letters not seen after it) of each context."""
     s = F.concat(F.lit("^"), "word", F.lit("$"))
     at = F.explode(F.sequence(F.lit(1), F.length("s") - 1)).alias("at")
     grams = words.select(s.alias("s"), "t", "o", "ft", "fo").select("s", "t", "o", "ft", "fo", at)
@@ -101,17 +100,17 @@ def ratios(words: DataFrame, ws: Workspace) -> DataFrame:
         return F.when(F.col(f"n_{x}") > 0, DISCOUNT * F.col(f"k_{x}") / F.col(f"n_{x}")).otherwise(1.0)
 
     seen = grams.withColumn("short", short).join(contexts, "ctx").join(shared, ["short", "c"]).select(
-        F.xxhash64(F.concat("ctx", F.lit("\0"), "c")).alias("h"), (F.col("t") + F.col("o")).alias("n"),
+        F.xxhash64(F.concat("ctx", F.lit("\0"), "c")).alias("h"),
         F.log(own("t") / own("o")).alias("full"), F.log(own("ft") / own("fo")).alias("fit"))
-    other = contexts.select(F.xxhash64("ctx").alias("h"), (F.col("n_t") + F.col("n_o")).alias("n"), F.log(saved("t") / saved("o")).alias("full"), F.log(saved("ft") / saved("fo")).alias("fit"))
+    other = contexts.select(F.xxhash64("ctx").alias("h"), F.log(saved("t") / saved("o")).alias("full"), F.log(saved("ft") / saved("fo")).alias("fit"))
     return seen.unionAll(other)
 
 
 class Model:
-    """Slots with a tag of 16 bits and the log ratio."""
+    """Sorted hashes and their log ratios."""
 
-    def __init__(self, tags: np.ndarray, values: np.ndarray, fit: tuple | None = None):
-        self.tags, self.values, self.fit = tags, values, fit
+    def __init__(self, keys: np.ndarray, values: np.ndarray, fit: tuple | None = None):
+        self.keys, self.values, self.fit = keys, values, fit
 
     def words(self, words: list[str]) -> list[float]:
         """The log ratio of each word."""
@@ -124,8 +123,8 @@ class Model:
                 keys.append(h(ctx, 42))
             ends.append(len(keys) // 2)
         k = np.array(keys, np.uint64)
-        at = (k & np.uint64(SLOTS - 1)).astype(np.int64)
-        hit = self.tags[at] == (k >> np.uint64(48)).astype(np.uint16)
+        at = np.minimum(np.searchsorted(self.keys, k), len(self.keys) - 1)
+        hit = self.keys[at] == k
         v = np.where(hit, self.values[at], 0.0)
         one = np.where(hit[0::2], v[0::2], v[1::2])
         total = np.concatenate(([0.0], np.cumsum(one)))
@@ -187,23 +186,20 @@ def probability(x: np.ndarray, fit: tuple) -> np.ndarray:
 
 
 def trained(docs: DataFrame, labels: DataFrame, ws: Workspace):
-    """(tags, values, fit) of the full model; None without rows of both classes."""
+    """(keys, values, fit) of the full model; None without rows of both classes."""
     spark = docs.sparkSession
     rows = with_labels(docs, labels, ws)
     words = ws.save(word_counts(rows), "words")
-    entries = ratios(words, ws)
-    slot = F.pmod("h", F.lit(SLOTS)).cast("int")
-    top = entries.groupBy(slot.alias("slot")).agg(F.max(F.struct("n", "h", "full", "fit")).alias("x")).select("slot", F.shiftrightunsigned("x.h", 48).cast("int").alias("tag"), "x.full", "x.fit")
-    t = top.toArrow()  # at most SLOTS rows
+    t = ratios(words, ws).toArrow()
     if not t.num_rows:
         return None
-    at = t.column(0).to_numpy()
-    tags, full, fit = np.zeros(SLOTS, np.uint16), np.zeros(SLOTS, np.float32), np.zeros(SLOTS, np.float32)
-    tags[at], full[at], fit[at] = (t.column(i).to_numpy() for i in (1, 2, 3))
+    keys = t.column(0).to_numpy().view(np.uint64)
+    order = np.argsort(keys)
+    keys, full, fit = keys[order], *(t.column(i).to_numpy()[order].astype(np.float32) for i in (1, 2))
     sample = rows.where(F.col("rest") == FIT_ON)
     n = ws.save(sample.select("doc_id"), "sample").count()
     sample = sample.where(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, -(-n // FIT_ROWS)))) == 0)
-    sent = spark.sparkContext.broadcast((tags, fit))
+    sent = spark.sparkContext.broadcast((keys, fit))
 
     def out(b, x, _):
         return pa.RecordBatch.from_arrays([b.column(2), *(pa.array(c) for c in x.T)], names=["toxic", *(f"f{i}" for i in range(N_FEATURES))])
@@ -213,7 +209,7 @@ def trained(docs: DataFrame, labels: DataFrame, ws: Workspace):
     y = got.column(0).to_numpy().astype(float) if got.num_rows else np.zeros(0)
     if not 0 < y.sum() < len(y):
         return None
-    return tags, full, regression(x, y)
+    return keys, full, regression(x, y)
 
 
 def scored(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

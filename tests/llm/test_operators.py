@@ -169,6 +169,30 @@ def test_toxicity_does_not_read_held_out_labels(spark):
     assert a == b
 
 
+def test_toxicity_keeps_every_ngram(spark):
+    """Words of many different n-grams score as the sum of all their log ratios."""
+    rng = random.Random(8)
+    known = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=9)) for _ in range(4000)]
+    docs = docs_of(spark, [" ".join(known[10 * i : 10 * i + 10]) for i in range(400)])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(400)], "doc_id long, toxic int")
+    ws = Workspace(spark, "t")
+    counted = toxicity.word_counts(toxicity.with_labels(docs, labels, ws))
+    value = {r.h & (1 << 64) - 1: r.full for r in toxicity.ratios(counted, ws).collect()}
+    assert len(value) > 30_000
+
+    def brute(word):
+        s, total = f"^{word}$", 0.0
+        for i in range(1, len(s)):
+            ctx = s[max(0, i - toxicity.ORDER + 1) : i]
+            h = [toxicity.xxhash.xxh64_intdigest(x, 42) for x in (f"{ctx}\0{s[i]}", ctx)]
+            total += value.get(h[0], value.get(h[1], 0.0))
+        return total
+
+    asked = known + [w[:5] + "zz" + w[5:] for w in known[:500]]
+    got = toxicity.Model(*toxicity.trained(docs, labels, ws)).words(asked)
+    assert np.allclose(got, [brute(w) for w in asked], atol=1e-4)
+
+
 def test_toxicity_edges(spark):
     docs, labels = toxic_corpus(spark, 100)
     extra = docs.unionByName(docs_of(spark, [(900, None), (901, ""), (None, "wretched"), (902, "x " * 30000)]))
