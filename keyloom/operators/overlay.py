@@ -13,20 +13,40 @@ CONCURRENCY = 5
 MOST_ROUNDS = 32
 
 
-def edges(nodes: DataFrame, depth: int = 16, size: int = BUCKET) -> DataFrame:
+def _first_bits(n):
+    """The first ``n`` (a Column, at least 1) bits of ``node_id``: whole limbs, then what is left of the next."""
+    whole = ((n - 1) / ids.LIMB).cast("int")
+    rest = F.call_function("shiftright", F.element_at("node_id", whole + 1), ids.LIMB - (n - ids.LIMB * whole))
+    return F.slice("node_id", F.lit(1), whole), rest
+
+
+def levels(nodes: DataFrame) -> int:
+    """How many buckets from the first on can hold a contact, rounded up to bytes: no two different ids share more bits."""
+    first = nodes.select(F.size("node_id").alias("n")).first()
+    if first is None:
+        return 1
+    bits = ids.LIMB * first.n
+    rows = nodes.select("node_id").distinct().withColumn("b", F.explode(F.sequence(F.lit(8), F.lit(bits), F.lit(8))))
+    head, rest = _first_bits(F.col("b"))
+    shared = rows.groupBy("b", head.alias("head"), rest.alias("rest")).agg(F.count("*").alias("n")).where("n > 1")
+    return min((shared.agg(F.max("b")).first()[0] or 0) + 8, bits)
+
+
+def edges(nodes: DataFrame, size: int = BUCKET) -> DataFrame:
     """(owner, owner_id, contact, contact_id, bucket) for ``nodes(node, node_id, added)``.
 
     Bucket b of an owner holds nodes that share exactly its first b bits: the first ``size`` to arrive.
+    There are as many as the longest prefix that two nodes share asks for, over all limbs.
     They are picked once per prefix and joined by prefix, so no two nodes are compared.
     """
-    level = nodes.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(depth - 1))))
-    side = F.expr(f"shiftright(element_at(node_id, 1), {ids.LIMB} - 1 - b)")  # the first b + 1 bits
-    level = level.withColumn("side", side)
-    first = F.row_number().over(Window.partitionBy("b", "side").orderBy("added", "node"))
+    level = nodes.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(levels(nodes) - 1))))
+    head, side = _first_bits(F.col("b") + 1)
+    level = level.withColumn("head", head).withColumn("side", side)
+    first = F.row_number().over(Window.partitionBy("b", "head", "side").orderBy("added", "node"))
     members = level.withColumn("r", first).where(F.col("r") <= size).select(
-        "b", "side", F.col("node").alias("contact"), F.col("node_id").alias("contact_id"))
-    owners = level.select(F.col("node").alias("owner"), F.col("node_id").alias("owner_id"), "b", F.col("side").bitwiseXOR(F.lit(1).cast("long")).alias("side"))
-    return owners.join(members, ["b", "side"]).select("owner", "owner_id", "contact", "contact_id", F.col("b").alias("bucket"))
+        "b", "head", "side", F.col("node").alias("contact"), F.col("node_id").alias("contact_id"))
+    owners = level.select(F.col("node").alias("owner"), F.col("node_id").alias("owner_id"), "b", "head", F.col("side").bitwiseXOR(F.lit(1).cast("long")).alias("side"))
+    return owners.join(members, ["b", "head", "side"]).select("owner", "owner_id", "contact", "contact_id", F.col("b").alias("bucket"))
 
 
 def lookup(asked: DataFrame, table: DataFrame, k: int = CONCURRENCY, until=None) -> DataFrame:

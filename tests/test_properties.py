@@ -113,6 +113,17 @@ def test_lookups_find_existing_nodes(spark, n):
     assert got == {i: i for i in range(n)}
 
 
+def test_edges_hold_every_prefix_length(spark):
+    """Ids that share up to 127 bits: each bucket is there, as by brute force."""
+    base = int.from_bytes(b"sixteen bytes id", "big")
+    values = [base, *(base ^ (1 << (127 - b)) for b in (0, 3, 15, 16, 17, 31, 32, 33, 63, 64, 95, 96, 126, 127)), 5, 6]
+    rows = [(i, [v >> s & 0xFFFFFFFF for s in (96, 64, 32, 0)], i) for i, v in enumerate(values)]
+    nodes = spark.createDataFrame(rows, "node long, node_id array<long>, added long")
+    got = {(r.owner, r.contact, r.bucket) for r in overlay.edges(nodes).collect()}
+    want = {(i, j, 128 - (a ^ b).bit_length()) for i, a in enumerate(values) for j, b in enumerate(values) if i != j}
+    assert got == want
+
+
 def test_lookup_without_nodes(spark):
     none = spark.createDataFrame([], "node long, node_id array<long>, added long")
     asked = spark.createDataFrame([], "lookup long, target_id array<long>, start long, start_id array<long>")
