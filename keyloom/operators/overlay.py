@@ -49,6 +49,20 @@ def edges(nodes: DataFrame, size: int = BUCKET) -> DataFrame:
     return owners.join(members, ["b", "head", "side"]).select("owner", "owner_id", "contact", "contact_id", F.col("b").alias("bucket"))
 
 
+def _steps(table: DataFrame, k: int, most: int) -> DataFrame:
+    """(owner, b, contacts): among which the owner's k nearest to a target are that shares b bits with it.
+
+    Nearest are the contacts in bucket b, then those in longer buckets, then shorter ones one by one; whole
+    buckets are taken until there are k.
+    """
+    buckets = table.groupBy("owner", F.col("bucket").alias("j")).agg(F.collect_list(F.struct("contact", "contact_id")).alias("c"))
+    rows = buckets.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(most + 1))))
+    far = F.when(F.col("j") >= F.col("b"), (F.col("j") > F.col("b")).cast("int")).otherwise(1 + F.col("b") - F.col("j"))
+    before = F.sum(F.size("c")).over(Window.partitionBy("owner", "b").orderBy("far").rangeBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("far", far).withColumn("before", F.coalesce(before, F.lit(0)))
+    return rows.where(F.col("before") < k).groupBy("owner", "b").agg(F.flatten(F.collect_list("c")).alias("contacts"))
+
+
 def lookup(asked: DataFrame, table: DataFrame, k: int = CONCURRENCY, until=None) -> DataFrame:
     """(lookup, rank, node, rounds) for ``asked(lookup, target_id, start, start_id)`` over ``edges``.
 
@@ -56,7 +70,9 @@ def lookup(asked: DataFrame, table: DataFrame, k: int = CONCURRENCY, until=None)
     the k nearest seen go on.  A lookup ends when a round brings nothing new, when the target itself is found,
     or when ``until`` (a Column over ``node_id`` and ``target_id``) holds for one of its nodes.
     """
-    steps = cut(table.select("owner", "contact", "contact_id"))  # asked in every round
+    table = cut(table.select("owner", "contact", "contact_id", "bucket"))
+    most = table.agg(F.max("bucket")).first()[0] or 0
+    steps = cut(_steps(table, k, most))  # asked in every round
     near = Window.partitionBy("lookup").orderBy("d", "node")
     hit = F.forall("d", lambda x: x == 0)
     if until is not None:
@@ -72,11 +88,11 @@ def lookup(asked: DataFrame, table: DataFrame, k: int = CONCURRENCY, until=None)
         front = state.where("not asked and not over")
         if front.isEmpty():
             break
-        answers = front.select("lookup", "target_id", F.col("node").alias("owner")).join(steps, "owner")
-        answers = answers.withColumn("d", ids.xor(F.col("contact_id"), F.col("target_id")))
-        best = F.row_number().over(Window.partitionBy("lookup", "owner").orderBy("d", "contact"))
-        answers = answers.withColumn("r", best).where(F.col("r") <= k)
-        new = answers.select("lookup", "target_id", F.col("contact").alias("node"), F.col("contact_id").alias("node_id"), F.lit(n).alias("rounds"), F.lit(False).alias("asked"), "d")
+        shared = F.least(ids.prefix_length(F.col("d"), ids.FULL_LIMBS), F.lit(most + 1))
+        answers = front.select("lookup", "target_id", F.col("node").alias("owner"), shared.alias("b")).join(steps, ["owner", "b"])
+        far = F.transform("contacts", lambda c: F.struct(ids.xor(c["contact_id"], F.col("target_id")).alias("d"), c["contact"].alias("node"), c["contact_id"].alias("node_id")))
+        answers = answers.select("lookup", "target_id", F.explode(F.slice(F.array_sort(far), 1, k)).alias("x"))
+        new = answers.select("lookup", "target_id", "x.node", "x.node_id", F.lit(n).alias("rounds"), F.lit(False).alias("asked"), "x.d")
         old = state.withColumn("asked", F.col("asked") | ~F.col("over")).drop("over")
         both = old.unionByName(new).groupBy("lookup", "target_id", "node", "node_id", "d").agg(F.min("rounds").alias("rounds"), F.max("asked").alias("asked"))
         state = kept(both)

@@ -212,9 +212,9 @@ def bucket_histogram(suppliers: DataFrame) -> DataFrame:
 
 
 def _asked(orders: DataFrame, nodes: DataFrame) -> DataFrame:
-    """A lookup for every fiftieth order key, from a node drawn by the key."""
+    """A lookup for every order key, from a node drawn by the customer's key."""
     n, low = nodes.agg(F.count("*"), F.min("node")).first()
-    keys = orders.where("o_orderkey % 50 = 0").select(F.col("o_orderkey").alias("lookup"), ids.md5_id(F.col("o_orderkey")).alias("target_id"), (F.pmod("o_custkey", F.lit(n)) + low).alias("start"))
+    keys = orders.select(F.col("o_orderkey").alias("lookup"), ids.md5_id(F.col("o_orderkey")).alias("target_id"), (F.pmod("o_custkey", F.lit(n)) + low).alias("start"))
     return keys.join(nodes.select(F.col("node").alias("start"), F.col("node_id").alias("start_id")), "start")
 
 

@@ -124,6 +124,47 @@ def test_edges_hold_every_prefix_length(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("k", [1, 5, 30])
+def test_steps_hold_the_nearest_contacts(spark, k):
+    """The contacts that a lookup looks at hold an owner's k nearest, for any target."""
+    rng = random.Random(k)
+    values = [rng.getrandbits(128) for _ in range(60)]
+    near = [values[0] ^ (1 << n) for n in (5, 40, 90, 100)]
+    rows = [(i, [v >> s & 0xFFFFFFFF for s in (96, 64, 32, 0)], i) for i, v in enumerate(values + near)]
+    table = overlay.edges(spark.createDataFrame(rows, "node long, node_id array<long>, added long"))
+    owned = {}
+    for r in table.collect():
+        owned.setdefault(r.owner, []).append(r.contact)
+    most = table.agg(F.max("bucket")).first()[0]
+    steps = {(r.owner, r.b): {c.contact for c in r.contacts} for r in overlay._steps(table, k, most).collect()}
+    ids_of = values + near
+    for owner, contacts in owned.items():
+        for target in [rng.getrandbits(128), ids_of[owner] ^ rng.getrandbits(rng.randrange(1, 128)), ids_of[owner] ^ 1]:
+            b = min(128 - (ids_of[owner] ^ target).bit_length(), most + 1)
+            best = sorted(contacts, key=lambda c: ids_of[c] ^ target)[:k]
+            assert set(best) <= steps[owner, b]
+
+
+@pytest.mark.parametrize("name", ["iterative_lookup_hops", "iterative_lookup_nearest", "lookup_until_near", "churn_experiment"])
+def test_every_order_is_looked_up(spark, data, name):
+    """All order keys, and where the lookup runs to its end the nearest supplier by brute force."""
+    import hashlib
+
+    from keyloom.plans import catalogue
+
+    orders = [r[0] for r in spark.read.parquet(f"{data}/orders.parquet").select("o_orderkey").collect()]
+    got = catalogue.QUERIES[name](spark, data).collect()
+    if name == "churn_experiment":
+        assert {r.dead_share: r.lookups for r in got}[0.0] == len(orders)
+        return
+    assert {r.lookup for r in got} == set(orders)
+    if name == "lookup_until_near":
+        return
+    nodes = {r[0]: int(hashlib.md5(str(r[0]).encode()).hexdigest(), 16) for r in spark.read.parquet(f"{data}/supplier.parquet").select("s_suppkey").collect()}
+    first = {r.lookup: r.node for r in got if name == "iterative_lookup_nearest" or r["rank"] == 1}
+    assert first == {o: min(nodes, key=lambda s: nodes[s] ^ int(hashlib.md5(str(o).encode()).hexdigest(), 16)) for o in orders}
+
+
 def test_lookup_without_nodes(spark):
     none = spark.createDataFrame([], "node long, node_id array<long>, added long")
     asked = spark.createDataFrame([], "lookup long, target_id array<long>, start long, start_id array<long>")
