@@ -400,30 +400,65 @@ def test_mixing_edges(spark):
 
 # ---- 8 ----
 
+def text_key(t):
+    """The 64 bits that order the texts of one doc_id, signed."""
+    return (simhash.xxhash.xxh64_intdigest(t, 42) + (1 << 63)) % (1 << 64) - (1 << 63)
+
+
 def brute_substring(rows, window=20):
-    seen, out = {}, {}
-    for i, t in sorted(((i, t or "") for i, t in rows if i is not None)):
+    """Sorted results of the rows with a doc_id; repeated rows are one document, other texts of a doc_id documents of their own."""
+    seen, found = {}, {}
+    rows = [(i, text_key(t or ""), t or "") for i, t in rows if i is not None]
+    for i, key, t in sorted(set(rows)):
         w = t.encode().split()
         gone = set()
         for p in range(len(w) - window + 1):
-            key = tuple(w[p : p + window])
-            if key in seen and seen[key] < (i, p):
+            if seen.setdefault(tuple(w[p : p + window]), (i, key, p)) != (i, key, p):
                 gone |= set(range(p, p + window))
-            seen.setdefault(key, (i, p))
         kept = b" ".join(x for k, x in enumerate(w) if k not in gone)
-        out[i] = (len(w), len(gone), hashlib.sha256(kept).hexdigest())
-    return out
+        found[i, key] = (i, len(w), len(gone), hashlib.sha256(kept).hexdigest())
+    return sorted(found[i, key] for i, key, _ in rows)
+
+
+def substring_rows(df):
+    return sorted(tuple(r) for r in substring.digests(df).collect() if r.doc_id is not None)
 
 
-def test_substring_matches_brute_force(spark, odd_texts):
-    texts = [t for t in odd_texts if not isinstance(t, tuple)]
-    df = docs_of(spark, [*texts, (None, texts[7])])
-    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring.digests(df).collect()}
-    want = brute_substring([(r.doc_id, r.text) for r in df.collect()])
-    assert {k: v for k, v in got.items() if k is not None} == want and got[None][1] == 0
+@pytest.mark.parametrize("hot", [4096, 1])
+def test_substring_matches_brute_force(spark, odd_texts, monkeypatch, hot):
+    monkeypatch.setattr(substring, "HOT_ANCHOR", hot)
+    t = " ".join(f"t{i}" for i in range(45))
+    u = " ".join(f"u{i}" for i in range(45))
+    again = [(100, t), (101, "z " + t), (101, u), (102, t), (102, t), (103, u + " " + t + " " + u), (103, "a " + t), (103, "b " + t)]
+    df = docs_of(spark, [*odd_texts, *again])
+    assert substring_rows(df) == brute_substring([(r.doc_id, r.text) for r in df.collect()])
+    assert all(r.n_removed == 0 for r in substring.digests(df).collect() if r.doc_id is None)
     assert substring.digests(df.limit(0)).count() == 0
 
 
+def test_substring_keeps_the_other_text_of_an_id(spark):
+    t, u = (" ".join(f"{c}{i}" for i in range(45)) for c in "tu")
+    got = sorted((r.doc_id, r.n_words, r.n_removed) for r in substring.digests(docs_of(spark, [(1, t), (2, t), (2, u)])).collect())
+    assert got == [(1, 45, 0), (2, 45, 0), (2, 45, 45)]
+    got = sorted((r.doc_id, r.n_words, r.n_removed) for r in substring.digests(docs_of(spark, [(1, t), (2, "z " + t), (2, u)])).collect())
+    assert got == [(1, 45, 0), (2, 45, 0), (2, 46, 45)]
+
+
+def test_substring_one_phrase_in_many_contexts(spark, monkeypatch):
+    """A frequent phrase is dealt out by windows: no task gets all its places, and the result is the same."""
+    rng = random.Random(12)
+    phrase = " ".join(f"p{i}" for i in range(14))
+    texts = [" ".join(words(rng, 12, 3) + [phrase] + words(rng, 12, 3)) for _ in range(1500)]
+    df = docs_of(spark, texts)
+    want = brute_substring(list(enumerate(texts)))
+    assert sum(r[2] for r in want) > 10_000 and substring_rows(df) == want
+    sizes = []
+    settle = substring.settle
+    monkeypatch.setattr(substring, "settle", lambda rows, w, k: (sizes.append(rows.where("words is not null").groupBy("h").count().agg(F.max("count")).first()[0]), settle(rows, w, k))[1])
+    monkeypatch.setattr(substring, "HOT_ANCHOR", 50)
+    assert substring_rows(df) == want and (sizes[0] or 0) <= 50
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_substring_on_small_alphabets(spark, seed):
     """Few words, so that windows repeat in every way."""
@@ -431,8 +466,7 @@ def test_substring_on_small_alphabets(spark, seed):
     parts = [[rng.choice("abcde") for _ in range(rng.randrange(15, 45))] for _ in range(6)]
     texts = [" ".join(x for _ in range(rng.randrange(1, 6)) for x in rng.choice(parts)) for _ in range(40)]
     df = docs_of(spark, texts)
-    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring.digests(df).collect()}
-    assert got == brute_substring(list(enumerate(texts)))
+    assert substring_rows(df) == brute_substring(list(enumerate(texts)))
 
 
 def test_substring_without_bloom(spark, odd_texts, monkeypatch):
