@@ -1,19 +1,31 @@
 """Main text of web pages by two-pass block rules.
 
 A page is cut into blocks at block-level tags.  What stands in menus, headers, footers, sidebars,
-notices, adverts, forms, scripts, styles or reader comments is boilerplate by its place.  Pass one decides
-each other block by itself: by its place in the article, if the page marks one, else by link density, length
-and stop-word density.  Blocks too short to tell, and those that are only nearly good, stay open.  Pass two
-gives an open block the label of its nearest decided neighbours.
+notices, adverts, forms, scripts, styles or reader comments is boilerplate by its place, and so is what
+stands outside the article, if the page marks one.  Pass one decides each other block by itself:
+
+* mostly links: bad; inside a marked article open, as it may be a list of sources;
+* short: open;
+* stop-word density high: good if the block is long, else open;
+* stop-word density low: bad, where other blocks of the page show that its language is known; else open.
+  Inside a marked article a long block of few links is never bad for its words alone, but open.
+
+Pass two gives an open block the label of its nearest decided neighbours before and after it.  Where they
+differ, a heading goes with the text after it, another short block with the nearer one, a longer one with the good one.
+
+Pages are read by a scanner that goes over each character a bounded number of times.
 
 Defined cases: a null or empty page has the empty text; unclosed and misnested tags are taken as browsers
-do in the main cases; an unclosed comment, script or style hides what follows it; a very long page is read
-whole; repeated rows give repeated results; an empty table gives no rows; other columns are ignored.
+do in the main cases; an unclosed comment, script or style hides what follows it; a quote that is never closed
+is a character like others; a very long page is read whole; a page of which no block is good, by words nobody
+lists or by short blocks only, is its own article, but for links; repeated rows give repeated results; an empty
+table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html import unescape
 
 import pyarrow as pa
@@ -22,9 +34,12 @@ from pyspark.sql import functions as F
 
 from keyloom.llm.common import small_batches
 
-LENGTH_LOW, LENGTH_HIGH = 70, 200
-STOP_LOW, STOP_HIGH = 0.30, 0.32
+LENGTH_LOW, LENGTH_HIGH = 70, 140
+#: Shares of words that are stop words; the lists below are short, so running text has about a fifth and more.
+STOP_LOW, STOP_HIGH = 0.08, 0.16
 LINKS_MOST = 0.2
+#: A block with at least this share of its characters in links is a link and nothing else.
+LINKS_ONLY = 0.8
 #: A run of at least so many blocks that are nothing but links is a menu, even in an article.
 MENU_RUN = 3
 
@@ -60,13 +75,11 @@ alert outbrain taboola""".split())
 NOT_MEANT = frozenset("has no with without".split())
 KEEPERS = frozenset("html body main article".split())
 
-_RAW = "script|style|noscript|template|textarea|title|svg|iframe|object|math|head"
-_token = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    rf"|<({_RAW})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>(?:.*?</\1\s*>|(?=.*?<body\b)|.*\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)>"
-    r"|<[!?][^>]*>"
-    r"|([^<]+|<)", re.S | re.I)
+# Elements whose content is not markup of the page.
+RAW = frozenset("script style noscript template textarea title svg iframe object math head".split())
+_name = re.compile(r"[a-zA-Z][^\s/>]*")
+_stop = re.compile("[>\"']")
+_body = re.compile(r"<body\b", re.I)
 _attribute = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 _names = re.compile(r"[^\s_-]+")
 _camel = re.compile(r"(?<=[a-z])(?=[A-Z])")
@@ -92,10 +105,88 @@ def unwanted(name: str, attributes: str) -> bool:
     return False
 
 
+class Scanner:
+    """Markup in order: ("text", text), ("open", name, attributes) and ("close", name)."""
+
+    def __init__(self, page: str):
+        self.page = page
+        bodies = [m.start() for m in _body.finditer(page)]
+        self.last_body = bodies[-1] if bodies else -1
+        self.absent: set[str] = set()  # closing tags and quotes that don't occur any more from here on
+        self.plain = False  # whether quotes no longer hide the end of a tag
+
+    def find(self, what: str, at: int) -> int:
+        """Where ``what`` is next; a search that failed once is not made again."""
+        if what in self.absent:
+            return -1
+        found = self.page.find(what, at)
+        if found < 0:
+            self.absent.add(what)
+        return found
+
+    def tag_end(self, at: int) -> int:
+        """Where the tag that is open at ``at`` has its ``>``; -1 if nowhere."""
+        here = at
+        while not self.plain:
+            m = _stop.search(self.page, here)
+            if m is None:
+                self.plain = True
+            elif m[0] == ">":
+                return m.start()
+            else:
+                closed = self.find(m[0], m.end())
+                here = closed + 1 if closed >= 0 else m.end()
+        return self.find(">", at)
+
+    def after_raw(self, name: str, at: int) -> int:
+        """Where the page goes on after the content of a raw element that begins at ``at``."""
+        if name not in self.absent:
+            m = re.compile(rf"</{re.escape(name)}\b[^>]*>?", re.I).search(self.page, at)
+            if m:
+                return m.end()
+            self.absent.add(name)
+        return at if self.last_body >= at else len(self.page)
+
+    def __iter__(self):
+        page, at, n = self.page, 0, len(self.page)
+        while at < n:
+            begin = page.find("<", at)
+            if begin < 0:
+                yield "text", page[at:]
+                return
+            if begin > at:
+                yield "text", page[at:begin]
+            if page.startswith("<!--", begin):
+                end = self.find("-->", begin + 4)
+                at = n if end < 0 else end + 3
+                continue
+            if page.startswith(("<!", "<?"), begin):
+                end = self.find(">", begin)
+                if end >= 0:
+                    at = end + 1
+                    continue
+            closing = page.startswith("/", begin + 1)
+            m = _name.match(page, begin + 1 + closing)
+            end = self.tag_end(m.end()) if m else -1
+            if end < 0:
+                yield "text", "<"
+                at = begin + 1
+                continue
+            at, name = end + 1, m[0].lower()
+            if closing:
+                yield "close", name
+                continue
+            if name in RAW:
+                at = self.after_raw(name, at)
+            else:
+                yield "open", name, page[m.end() : end]
+
+
 def blocks(page: str) -> list[tuple[str, int, str, str]]:
     """(text, characters in links, place, tag) of each block that has text; place: drop, article or open."""
     out: list[tuple[str, int, str, str]] = []
     stack: list[tuple[str, bool, bool]] = []  # name, unwanted, landmark: here or further out
+    depth: Counter = Counter()  # how often a name is on the stack
     text: list[str] = []
     links = link = 0
     tag = ""
@@ -113,119 +204,133 @@ def blocks(page: str) -> list[tuple[str, int, str, str]]:
             text.clear()
         links = 0
 
-    for m in _token.finditer(page):
-        raw = m[5]
-        if raw is not None:
-            text.append(raw)
+    for kind, *what in Scanner(page):
+        name = what[0]
+        if kind == "text":
+            text.append(name)
             if link:
-                links += len(raw)
-            continue
-        name = m[3]
-        if name is None:
-            continue
-        name = name.lower()
-        if m[2]:
+                links += len(name)
+        elif kind == "close":
             if name == "a":
                 link = 0
             if name in BLOCKS:
                 end()
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    if name not in BLOCKS:
-                        end()
-                    del stack[i:]
-                    break
+            if depth[name]:
+                if name not in BLOCKS:
+                    end()
+                shut = ""
+                while shut != name:
+                    shut = stack.pop()[0]
+                    depth[shut] -= 1
             if name in HEADINGS:
                 tag = ""
-            continue
-        if name == "br":
+        elif name == "br":
             text.append(" ")
-            continue
-        if name in VOID:
+        elif name in VOID:
             if name == "hr":
                 end()
-            continue
-        if name == "a":
-            link = 1
-        if name in BLOCKS:
-            end()
-            link = 0 if name != "a" else link
-            tag = name
-            if stack and stack[-1][0] == "p":  # a block ends an open paragraph
-                stack.pop()
-            if name in ("li", "td", "th", "tr", "dd", "dt", "option") and stack and stack[-1][0] == name:
-                stack.pop()
-        bad = unwanted(name, m[4])
-        if name == "header" and stack and stack[-1][2] and not stack[-1][1]:
-            bad = False  # the head of the article itself
-        if name in BLOCKS and name not in HEADINGS or bad:
-            if name not in BLOCKS:
+        else:
+            attributes = what[1]
+            if name == "a":
+                link = 1
+            if name in BLOCKS:
                 end()
-            if not m[4].endswith("/") or name in BLOCKS:
-                above = stack[-1] if stack else ("", False, False)
-                stack.append((name, above[1] or bad, above[2] or name in LANDMARKS or 'role="main"' in m[4]))
+                link = 0 if name != "a" else link
+                tag = name
+                if stack and stack[-1][0] == "p":  # a block ends an open paragraph
+                    depth[stack.pop()[0]] -= 1
+                if name in ("li", "td", "th", "tr", "dd", "dt", "option") and stack and stack[-1][0] == name:
+                    depth[stack.pop()[0]] -= 1
+            bad = unwanted(name, attributes)
+            if name == "header" and stack and stack[-1][2] and not stack[-1][1]:
+                bad = False  # the head of the article itself
+            if name in BLOCKS and name not in HEADINGS or bad:
+                if name not in BLOCKS:
+                    end()
+                if not attributes.endswith("/") or name in BLOCKS:
+                    above = stack[-1] if stack else ("", False, False)
+                    stack.append((name, above[1] or bad, above[2] or name in LANDMARKS or 'role="main"' in attributes))
+                    depth[name] += 1
     end()
     return out
 
 
-def first_pass(block: tuple[str, int, str, str], landmarks: bool) -> str:
-    """good, bad, near or short."""
-    text, links, place, _ = block
-    if place == "drop":
-        return "bad"
-    if landmarks:
-        return "bad" if place != "article" else "short" if len(text) < LENGTH_LOW else "good"
-    density = links / max(1, len(text))
-    if density > LINKS_MOST or "©" in text:
-        return "bad"
-    if len(text) < LENGTH_LOW:
-        return "bad" if links else "short"
+def stop_density(text: str) -> float:
     words = _word.findall(text.lower())
-    stop = sum(w in STOP_WORDS for w in words) / max(1, len(words))
-    if stop >= STOP_HIGH:
-        return "good" if len(text) > LENGTH_HIGH else "near"
-    return "near" if stop >= STOP_LOW else "bad"
+    return sum(w in STOP_WORDS for w in words) / max(1, len(words))
+
+
+def first_pass(found: list[tuple[str, int, str, str]], landmarks: bool) -> list[str]:
+    """good, bad or, for open ones, links, near or short, of each block."""
+    out, sparse = [], []
+    for i, (text, links, place, _) in enumerate(found):
+        inside = place == "article"
+        if place == "drop" or landmarks and not inside:
+            out.append("bad")
+        elif links > LINKS_MOST * len(text):
+            out.append("links" if inside else "bad")
+        elif len(text) < LENGTH_LOW:
+            out.append("bad" if not inside and (links or "\u00a9" in text) else "short")
+        else:
+            stop = stop_density(text)
+            out.append("good" if stop >= STOP_HIGH and len(text) >= LENGTH_HIGH else "near")
+            if stop < STOP_LOW and not inside:
+                sparse.append(i)
+    if "good" in out:  # the page's language is one of those listed
+        for i in sparse:
+            out[i] = "bad"
+    return out
+
+
+def nearest(first: list[str], found: list[tuple[str, int, str, str]], landmarks: bool) -> list[tuple[int, str]]:
+    """(distance, label) of the nearest decided block before each; (0, "") where there is none.  What is boilerplate by
+    its place is not asked, as it says nothing of the text around it."""
+    out, at, near = [], 0, ""
+    for i, (label, block) in enumerate(zip(first, found)):
+        out.append((i - at if near else 0, near))
+        if label in ("good", "bad") and block[2] == ("article" if landmarks else "open"):
+            at, near = i, label
+    return out
+
+
+def runs_of_links(found: list[tuple[str, int, str, str]], first: list[str]) -> set[int]:
+    """Blocks of runs of at least MENU_RUN that are links and nothing else."""
+    out: set[int] = set()
+    run: list[int] = []
+    for i, (text, links, _, _) in enumerate(found):
+        run = [*run, i] if first[i] == "links" and links > LINKS_ONLY * len(text) else []
+        if len(run) == MENU_RUN:
+            out.update(run)
+        elif len(run) > MENU_RUN:
+            out.add(i)
+            run = run[-MENU_RUN - 1 :]
+    return out
 
 
 def labels(found: list[tuple[str, int, str, str]]) -> list[bool]:
     """Whether each block belongs to the main text."""
     landmarks = any(b[2] == "article" for b in found)
-    first = [first_pass(b, landmarks) for b in found]
-    if landmarks:  # runs of links inside the article
-        i = 0
-        while i < len(found):
-            j = i
-            while j < len(found) and found[j][2] == "article" and found[j][1] > 0.8 * len(found[j][0]):
-                j += 1
-            if j - i >= MENU_RUN:
-                first[i:j] = ["bad"] * (j - i)
-            i = max(j, i + 1)
-    n = len(found)
-    before, after = [""] * n, [""] * n  # the nearest decided neighbours' labels
-    near = "bad"
-    for i in range(n):
-        before[i] = near
-        if landmarks and found[i][2] != "article":
-            continue
-        near = first[i] if first[i] in ("good", "bad") else near
-    near = "bad"
-    for i in range(n - 1, -1, -1):
-        after[i] = near
-        if landmarks and found[i][2] != "article":
-            continue
-        near = first[i] if first[i] in ("good", "bad") else near
-    if not any(f == "good" for f in first):
-        before = after = ["good"] * n  # a text of short blocks only
+    first = first_pass(found, landmarks)
+    before, after = nearest(first, found, landmarks), nearest(first[::-1], found[::-1], landmarks)[::-1]
+    menus = runs_of_links(found, first)
+    alone = "good" not in first  # nothing is sure: what is not bad is the article
     out = []
-    for i, f in enumerate(first):
-        if f == "short":
-            # inside a marked article one good neighbour is enough; elsewhere a heading needs the text after it
-            wanted = before[i] == "good" or after[i] == "good" if landmarks else (after[i] == "good" if found[i][3] in HEADINGS else before[i] == after[i] == "good")
-            out.append(wanted)
-        elif f == "near":
-            out.append(before[i] == "good" or after[i] == "good" or before[i] == after[i] == "bad" and n == 1)
+    for i, label in enumerate(first):
+        (gap, one), (far, two) = before[i], after[i]
+        if label in ("good", "bad"):
+            out.append(label == "good")
+        elif i in menus:
+            out.append(one == two == "good")  # between parts of the text
+        elif alone:
+            out.append(True)
+        elif not one or not two or one == two:
+            out.append("good" in (one, two))
+        elif landmarks or label == "near":
+            out.append(True)
+        elif found[i][3] in HEADINGS:
+            out.append(two == "good")
         else:
-            out.append(f == "good")
+            out.append((one if gap <= far else two) == "good")
     return out
 
 

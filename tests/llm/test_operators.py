@@ -226,6 +226,53 @@ def test_main_text(page, text):
     assert html.main_text(page) == text
 
 
+def without_landmarks(page):
+    for name in ("article", "main"):
+        page = page.replace(f"<{name}>", "<div>").replace(f"</{name}>", "</div>")
+    return page
+
+
+def test_densities_find_the_article(spark, data):
+    """Pages whose article is not marked: blocks are told by densities and neighbours alone."""
+    right = wanted = given = 0
+    for r in table(spark, data, "pages").collect():
+        a, b = (Counter(html.main_text(p).split("\n\n")) for p in (r.html or "", without_landmarks(r.html or "")))
+        right, wanted, given = right + sum((a & b).values()), wanted + sum(a.values()), given + sum(b.values())
+    assert right >= 0.95 * wanted and right >= 0.95 * given
+
+
+PROSE = "zorv quel bramt ostik plum vaner dolt misk orben talv skerm unt prok valdi mern " * 4
+PAGES = [
+    # stop words tell text from lists of names, where no place is marked
+    (f"<div><p>{LONG}<p>{PROSE}<p>{LONG}</div>", [LONG, LONG]),
+    # a language whose words nobody lists: long blocks of few links are the text
+    (f"<div><p>{PROSE}<p>{PROSE}x<p><a href=x>{PROSE}</a></div>", [PROSE, PROSE + "x"]),
+    (f"<article><p>{PROSE}<p>short<p>{LONG}</article>", [PROSE, "short", LONG]),
+    # short blocks go with the nearer neighbour
+    (f"<div><p>{LONG}<p>near<p>also<p>far<p><a href=x>{PROSE}</a><p>beyond<p><a href=x>{PROSE}</a></div>", [LONG, "near", "also"]),
+    # a list of sources between text stays, a menu at the edge goes
+    (f"<article><p>{LONG}<ul><li><a href=x>one</a><li><a href=y>two</a><li><a href=z>three</a></ul><p>{LONG}</article>", [LONG, "one", "two", "three", LONG]),
+    (f"<article><p>{LONG}<p>see <a href=x>this source here</a></article>", [LONG, "see this source here"]),
+    ("<p title='x > y' data=\"<div>\">a</p><p x='>b</p>", ["a", "b"]),
+]
+
+
+@pytest.mark.parametrize("page, texts", PAGES)
+def test_block_rules(page, texts):
+    assert html.main_text(page) == "\n\n".join(t.strip() for t in texts)
+
+
+@pytest.mark.parametrize("piece", ["<a \"", "<p a='", "<script>", "<!--", "<a ", "<div>", "</div>", "<a \"'", "<style><body>", "<", "<!", "&#", "<p a=\"x\" ", "<li><b>"])
+def test_scanning_is_linear(piece):
+    """Unclosed quotes, tags and scripts cost no more than other characters."""
+    import time
+
+    for tail in ("", ">", "\">", "'>\"", "</a>text"):
+        start = time.process_time()
+        html.main_text(piece * (400_000 // len(piece)) + tail)
+        assert time.process_time() - start < 6
+
+
 def test_extraction_of_rows(spark):
     df = spark.createDataFrame([(1, "u", "<article>a</article>", "x", 9), (1, "u", "<article>a</article>", "x", 9), (None, None, None, "y", 9)], "page_id long, url string, html string, text string, n_chars int")
     assert sorted(map(tuple, html.extracted(df).collect()), key=str) == [(1, "u", "a", 1), (1, "u", "a", 1), (None, None, "", 0)]
