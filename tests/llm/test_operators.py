@@ -169,28 +169,77 @@ def test_toxicity_does_not_read_held_out_labels(spark):
     assert a == b
 
 
-def test_toxicity_keeps_every_ngram(spark):
-    """Words of many different n-grams score as the sum of all their log ratios."""
+def brute_kneser_ney(texts, toxic):
+    """{letters: log ratio} of every n-gram and context, by plain recursion over counts of both classes."""
+    order, d = toxicity.ORDER, toxicity.DISCOUNT
+    own, inside = [Counter(), Counter()], set()
+    for text, bad in zip(texts, toxic):
+        for w in toxicity._words((text or "").lower()):
+            s = f"^{w}$"
+            own[not bad].update(s[max(0, i - order + 1) : i + 1] for i in range(1, len(s)))
+            inside |= {s[i:j] for i in range(len(s)) for j in range(i + 2, min(len(s), i + order) + 1)}
+    count = Counter(y[1:] for y in inside)
+
+    def shared(g):
+        if not g:
+            return 1 / len([x for x in count if len(x) == 1])
+        after = [n for h, n in count.items() if len(h) == len(g) and h[:-1] == g[:-1]]
+        return (count[g] - d) / sum(after) + d * len(after) / sum(after) * shared(g[1:])
+
+    def saved(counts, ctx):
+        after = [n for h, n in counts.items() if h[:-1] == ctx]
+        return (sum(after), d * len(after) / sum(after)) if after else (0, 1.0)
+
+    out = {}
+    for g in set(own[0]) | set(own[1]):
+        p = []
+        for counts in own:
+            n, left = saved(counts, g[:-1])
+            p.append((max(counts[g] - d, 0) / n if n else 0) + left * shared(g[1:]))
+        out[g, 0] = np.log(p[0] / p[1])
+        out[g[:-1], 1] = np.log(saved(own[0], g[:-1])[1] / saved(own[1], g[:-1])[1])
+    return out
+
+
+def test_toxicity_model_matches_brute_force(spark):
+    """Every probability of the table, and the scores of words seen, half seen and not seen."""
     rng = random.Random(8)
-    known = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=9)) for _ in range(4000)]
-    docs = docs_of(spark, [" ".join(known[10 * i : 10 * i + 10]) for i in range(400)])
-    labels = spark.createDataFrame([(i, i % 2) for i in range(400)], "doc_id long, toxic int")
+    texts = ["".join(rng.choices("aab cdé", k=rng.randrange(5, 60))) for _ in range(60)] + [None, "", "!?"]
+    docs = docs_of(spark, texts)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(len(texts))], "doc_id long, toxic int")
     ws = Workspace(spark, "t")
-    counted = toxicity.word_counts(toxicity.with_labels(docs, labels, ws))
-    value = {r.h & (1 << 64) - 1: r.full for r in toxicity.ratios(counted, ws).collect()}
-    assert len(value) > 30_000
-
-    def brute(word):
-        s, total = f"^{word}$", 0.0
-        for i in range(1, len(s)):
-            ctx = s[max(0, i - toxicity.ORDER + 1) : i]
-            h = [toxicity.xxhash.xxh64_intdigest(x, 42) for x in (f"{ctx}\0{s[i]}", ctx)]
-            total += value.get(h[0], value.get(h[1], 0.0))
-        return total
-
-    asked = known + [w[:5] + "zz" + w[5:] for w in known[:500]]
-    got = toxicity.Model(*toxicity.trained(docs, labels, ws)).words(asked)
-    assert np.allclose(got, [brute(w) for w in asked], atol=1e-4)
+    rows = toxicity.with_labels(docs, labels, ws)
+    learnt = [(r.text, r.toxic) for r in rows.collect()]
+    want = brute_kneser_ney([t for t, _ in learnt], [x for _, x in learnt])
+    got = {np.int64(r.h).view(np.uint64): r.full for r in toxicity.ratios(toxicity.gram_counts(rows), ws).collect()}
+    value = {}
+    for (g, context), v in want.items():
+        n, ctx, _ = toxicity.hashes(toxicity.codes(" " * toxicity.ORDER + g + "a" * context))
+        value[(ctx if context else n)[-1]] = v
+    assert set(got) == set(value) and all(abs(got[h] - v) < 1e-4 for h, v in value.items())
+
+    keys = np.array(sorted(got), np.uint64)
+    model = toxicity.Sent(keys, np.array([got[h] for h in keys], np.float32))
+    asked = [*(t or "" for t, _ in learnt), "ab ab zz", "zzzzzz aab", "c" * 30]
+    for text, scores in zip(asked, toxicity.word_scores([toxicity.stream(t) for t in asked], model)):
+        sums = []
+        for w in toxicity._words(text.lower()):
+            s = f"^{w}$"
+            contexts = [(s[max(0, i - toxicity.PAD) : i], s[i]) for i in range(1, len(s))]
+            sums.append(sum(want.get((ctx + c, 0), want.get((ctx, 1), 0.0)) for ctx, c in contexts))
+        assert np.allclose(scores, sums, atol=1e-3)
+
+
+def test_toxicity_is_the_same_however_the_model_travels(spark, monkeypatch):
+    docs, labels = toxic_corpus(spark, 200)
+    docs = docs.unionByName(docs_of(spark, [(900, None), (901, "x " * 3000)]))
+    want = sorted(tuple(r) for r in toxicity.scored(docs, labels).collect())
+    monkeypatch.setattr(toxicity, "SENT_GRAMS", 10)
+    assert sorted(tuple(r) for r in toxicity.scored(docs, labels).collect()) == want
+    monkeypatch.setattr(toxicity, "PIECE", 50)
+    monkeypatch.setattr(toxicity, "COUNTED", 100)
+    monkeypatch.setattr(toxicity.Stored, "stretch", 1000)
+    assert sorted(tuple(r) for r in toxicity.scored(docs, labels).collect()) == want
 
 
 def test_toxicity_edges(spark):
