@@ -1,4 +1,4 @@
-"""Sequential folds over arrays: the quality controller and the throttle."""
+"""Sequential folds over arrays: the quality controller."""
 
 from __future__ import annotations
 
@@ -13,9 +13,3 @@ def quality(deltas: Column, start: int, cap: int) -> Column:
         return F.least(F.greatest(q + move, F.lit(0)), F.lit(cap + 1))
 
     return F.aggregate(deltas, F.lit(start), step)
-
-
-def accepted(times: Column, gap: Column | int) -> Column:
-    """Of ascending times those more than ``gap`` after the last accepted one."""
-    start = F.slice(times, 1, 0)
-    return F.aggregate(times, start, lambda kept, t: F.when((F.size(kept) == 0) | (t - F.element_at(kept, -1) > gap), F.array_append(kept, t)).otherwise(kept))

@@ -54,3 +54,12 @@ def lfsr32(seed: Column, steps: Column) -> Column:
 def positions(item_hash: Column, k: int, size: int) -> Column:
     """The k positions of an item in a filter of ``size`` cells: seeds item_hash + 1 .. item_hash + k."""
     return F.array(*[static_random(item_hash + i, size) for i in range(1, k + 1)])
+
+
+def iterated_positions(item_hash: Column, k: int, size: int) -> Column:
+    """The k positions by the scaling variant: each position is the seed of the next."""
+    out, seed = [], item_hash
+    for _ in range(k):
+        seed = scaled_random(seed, size)
+        out.append(seed)
+    return F.array(*out)

@@ -101,3 +101,25 @@ def with_prefix(base: Column, noise: Column, bits: Column, n: int) -> Column:
         mask = F.call_function("shiftleft", low, F.lit(LIMB) - keep) - 1
         out.append(base[i].bitwiseAND(F.bitwise_not(mask)).bitwiseOR(noise[i].bitwiseAND(mask)))
     return F.array(*out)
+
+
+def advanced(octets: Column, by: Column, n: int) -> Column:
+    """The id ``by`` places on, as an array of ``n`` limbs: ordinary addition with carry, modulo the id's width."""
+    out, carry = [], by.cast("long")
+    for i in range(n - 1, -1, -1):
+        total = octets[i] + carry
+        out.append(total.bitwiseAND(F.lit(0xFFFFFFFF).cast("long")))
+        carry = F.shiftright(total, LIMB)
+    return F.array(*out[::-1])
+
+
+def chunk_key(root: Column, index: Column, n: int = 4) -> Column:
+    """The key of a chunk: the digest of its root's id advanced by the index (MD5 for four limbs, else SHA-512)."""
+    at = advanced(root, index, n)
+    digits = F.concat(*[F.lpad(F.lower(F.hex(at[i])), 8, "0") for i in range(n)])
+    return limbs(F.md5(F.unhex(digits)), 4) if n == 4 else hashed(F.unhex(digits))
+
+
+def random_id(seed: Column, n: int = 4) -> Column:
+    """An id drawn from a seed, the same at every run; unlike seeds have unlike ids."""
+    return limbs(F.concat(*[F.md5(F.concat(seed.cast("string"), F.lit(f"/{i}")).cast("binary")) for i in range(-(-n // 4))]), n)

@@ -75,43 +75,77 @@ def encode(objects: DataFrame, packets: DataFrame, block_size: int) -> DataFrame
     return sets.join(words, ["root", "chunk_index"])
 
 
-def decode(packets: DataFrame, block_size: int) -> DataFrame:
-    """(root, complete, solved, data) by peeling: a packet with one open block gives it, and is XORed out of the others."""
-
-    def peel(table: pa.Table) -> pa.Table:
-        rows = sorted(zip(table.column("chunk_index").to_pylist(), table.column("blocks").to_pylist(), table.column("words").to_pylist()))
-        blocks, n_bytes = table.column("block_count")[0].as_py(), table.column("n_bytes")[0].as_py()
-        solved: dict[int, list[int]] = {}
-        open_: list[tuple[set, list]] = []
-        holders: dict[int, list] = {}
-        ready = []
-        for _, own, words in rows:
-            packet = (set(own), list(words))
-            open_.append(packet)
-            for b in own:
-                holders.setdefault(b, []).append(packet)
-            if len(own) == 1:
-                ready.append(packet)
-        while ready and len(solved) < blocks:
+class Peeler:
+    """Takes packets one by one: a packet with one open block gives it, and is XORed out of the others."""
+
+    def __init__(self, blocks: int):
+        self.blocks = blocks
+        self.solved: dict[int, list[int]] = {}
+        self.holders: dict[int, list[tuple[set, list]]] = {}
+
+    def add(self, names: list[int], words: list[int]) -> bool:
+        """Whether all blocks are known now."""
+        own, left = set(names), list(words)
+        for b in names:
+            if b in self.solved:
+                own.discard(b)
+                left = [x ^ y for x, y in zip(left, self.solved[b])]
+        packet = (own, left)
+        for b in own:
+            self.holders.setdefault(b, []).append(packet)
+        ready = [packet]
+        while ready:
             own, words = ready.pop()
             if len(own) != 1:
                 continue
             b = next(iter(own))
-            if b not in solved:
-                solved[b] = list(words)
-                for other in holders[b]:
-                    if b in other[0] and other[0] is not own:
-                        other[0].discard(b)
-                        other[1][:] = [x ^ y for x, y in zip(other[1], words)]
-                        if len(other[0]) == 1:
-                            ready.append(other)
-        done = len(solved) == blocks
-        data = b"".join(b"".join(w.to_bytes(WORD_BYTES, "big") for w in solved[b])[:block_size] for b in range(blocks))[:n_bytes] if done else None
+            if b in self.solved:
+                continue
+            self.solved[b] = list(words)
+            for other in self.holders.pop(b):
+                other[0].discard(b)
+                if other[0]:
+                    other[1][:] = [x ^ y for x, y in zip(other[1], self.solved[b])]
+                    ready.append(other)
+        return len(self.solved) == self.blocks
+
+    def data(self, block_size: int, n_bytes: int) -> bytes | None:
+        if len(self.solved) < self.blocks:
+            return None
+        parts = (b"".join(w.to_bytes(WORD_BYTES, "big") for w in self.solved[b])[:block_size] for b in range(self.blocks))
+        return b"".join(parts)[:n_bytes]
+
+
+def fetch(packets: DataFrame, block_size: int, most_misses: int = 100) -> DataFrame:
+    """(root, complete, gave_up, fetched, solved, data): packets of an object read in the order of their index until it can be
+    decoded; more than ``most_misses`` missing ones end the reading."""
+
+    def read(table: pa.Table) -> pa.Table:
+        rows = sorted(zip(table.column("chunk_index").to_pylist(), table.column("blocks").to_pylist(), table.column("words").to_pylist()))
+        peeler = Peeler(table.column("block_count")[0].as_py())
+        done, fetched, next_, misses, gave_up = False, 0, 0, 0, False
+        for index, names, words in rows:
+            misses += index - next_
+            next_ = index + 1
+            if misses > most_misses:
+                gave_up = True
+                break
+            fetched += 1
+            done = peeler.add(names, words)
+            if done:
+                break
+        data = peeler.data(block_size, table.column("n_bytes")[0].as_py())
         root = table.column("root")[0].as_py()
-        return pa.table({"root": pa.array([root], pa.int64()), "complete": [done], "solved": pa.array([len(solved)], pa.int32()), "data": pa.array([data], pa.binary())})
+        return pa.table({"root": pa.array([root], pa.int64()), "complete": [done], "gave_up": [gave_up], "fetched": pa.array([fetched], pa.int32()),
+                         "solved": pa.array([len(peeler.solved)], pa.int32()), "data": pa.array([data], pa.binary())})
 
     rows = packets.select(F.col("root").cast("long").alias("root"), "chunk_index", "blocks", "words", "block_count", "n_bytes")
-    return rows.groupBy("root").applyInArrow(peel, "root long, complete boolean, solved int, data binary")
+    return rows.groupBy("root").applyInArrow(read, "root long, complete boolean, gave_up boolean, fetched int, solved int, data binary")
+
+
+def decode(packets: DataFrame, block_size: int) -> DataFrame:
+    """(root, complete, solved, data) by peeling, of whatever packets there are."""
+    return fetch(packets, block_size, 1 << 60).select("root", "complete", "solved", "data")
 
 
 def missing(expected: DataFrame, present: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from keyloom.functions import text
+from keyloom.operators.shared import cut
 
 
 @dataclass(frozen=True)
@@ -23,7 +24,14 @@ class Job:
     emit: Column
     reduce: Column
 
-    def run(self, rows: DataFrame) -> DataFrame:
+    def run(self, rows: DataFrame, store: Callable[[DataFrame], object] | None = None) -> DataFrame:
+        """(key, result); with ``store`` the results also go to that sink, where the executors write them."""
+        out = self.pairs(rows)
+        if store is not None:
+            store(out)
+        return out
+
+    def pairs(self, rows: DataFrame) -> DataFrame:
         return rows.select(F.explode(self.emit).alias("kv")).select("kv.key", "kv.value").groupBy("key").agg(self.reduce.alias("result"))
 
 
@@ -76,17 +84,14 @@ def total_sort(rows: DataFrame, *order: Column | str, partitions: int | None = N
     return out.sortWithinPartitions(*order)
 
 
-def ranked(rows: DataFrame, order: list[str], ws_ranges: int = 64) -> DataFrame:
-    """``rank`` (from 1) of each row in the total order of integer column ``order[0]``, then the others.
+def ranked(rows: DataFrame, order: list[str]) -> DataFrame:
+    """``rank`` (from 1) of each row in the total order of the columns.
 
-    Counts of value ranges give what stands before each range, so no task sorts all rows.
+    Ranges come from a sample of the rows, so they hold about equally many whatever the values; counts of the ranges
+    give what stands before each, and no task sorts all rows.  The range of a row is written down, as a task that
+    runs again must not draw another.
     """
-    low, high = rows.agg(F.min(order[0]), F.max(order[0])).first()
-    if low is None:
-        return rows.withColumn("rank", F.lit(None).cast("long"))
-    width = max(1, -(-(high - low + 1) // ws_ranges))
-    part = F.floor((F.col(order[0]) - low) / width).cast("int")
-    marked = rows.withColumn("_part", part)
+    marked = cut(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
     counts = marked.groupBy("_part").agg(F.count("*").alias("_n"))  # one row for each range
     before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
     own = F.row_number().over(Window.partitionBy("_part").orderBy(*order))

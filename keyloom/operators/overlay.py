@@ -10,7 +10,10 @@ from keyloom.operators.shared import cut
 
 BUCKET = 20
 CONCURRENCY = 5
-MOST_ROUNDS = 32
+#: A lookup that is still open after so many rounds is an error.
+MOST_ROUNDS = 64
+#: What a contact may bring along: it does not answer; it takes a child.
+FLAGS = ("dead", "accepts")
 
 
 def _first_bits(n):
@@ -37,16 +40,18 @@ def edges(nodes: DataFrame, size: int = BUCKET) -> DataFrame:
 
     Bucket b of an owner holds nodes that share exactly its first b bits: the first ``size`` to arrive.
     There are as many as the longest prefix that two nodes share asks for, over all limbs.
-    They are picked once per prefix and joined by prefix, so no two nodes are compared.
+    They are picked once per prefix and joined by prefix, so no two nodes are compared.  Boolean columns named in FLAGS
+    come along with the contact; dead nodes stay in the tables of others and have none themselves.
     """
+    flags = [c for c in FLAGS if c in nodes.columns]
     level = nodes.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(levels(nodes) - 1))))
     head, side = _first_bits(F.col("b") + 1)
     level = level.withColumn("head", head).withColumn("side", side)
     first = F.row_number().over(Window.partitionBy("b", "head", "side").orderBy("added", "node"))
     members = level.withColumn("r", first).where(F.col("r") <= size).select(
-        "b", "head", "side", F.col("node").alias("contact"), F.col("node_id").alias("contact_id"))
-    owners = level.select(F.col("node").alias("owner"), F.col("node_id").alias("owner_id"), "b", "head", F.col("side").bitwiseXOR(F.lit(1).cast("long")).alias("side"))
-    return owners.join(members, ["b", "head", "side"]).select("owner", "owner_id", "contact", "contact_id", F.col("b").alias("bucket"))
+        "b", "head", "side", F.col("node").alias("contact"), F.col("node_id").alias("contact_id"), *flags)
+    owners = (level.where("not dead") if "dead" in flags else level).select(F.col("node").alias("owner"), F.col("node_id").alias("owner_id"), "b", "head", F.col("side").bitwiseXOR(F.lit(1).cast("long")).alias("side"))
+    return owners.join(members, ["b", "head", "side"]).select("owner", "owner_id", "contact", "contact_id", F.col("b").alias("bucket"), *flags)
 
 
 def _steps(table: DataFrame, k: int, most: int) -> DataFrame:
@@ -55,7 +60,7 @@ def _steps(table: DataFrame, k: int, most: int) -> DataFrame:
     Nearest are the contacts in bucket b, then those in longer buckets, then shorter ones one by one; whole
     buckets are taken until there are k.
     """
-    buckets = table.groupBy("owner", F.col("bucket").alias("j")).agg(F.collect_list(F.struct("contact", "contact_id")).alias("c"))
+    buckets = table.groupBy("owner", F.col("bucket").alias("j")).agg(F.collect_list(F.struct("contact", "contact_id", *[c for c in FLAGS if c in table.columns])).alias("c"))
     rows = buckets.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(most + 1))))
     far = F.when(F.col("j") >= F.col("b"), (F.col("j") > F.col("b")).cast("int")).otherwise(1 + F.col("b") - F.col("j"))
     before = F.sum(F.size("c")).over(Window.partitionBy("owner", "b").orderBy("far").rangeBetween(Window.unboundedPreceding, -1))
@@ -67,37 +72,46 @@ def lookup(asked: DataFrame, table: DataFrame, k: int = CONCURRENCY, until=None)
     """(lookup, rank, node, rounds) for ``asked(lookup, target_id, start, start_id)`` over ``edges``.
 
     Each round asks the nearest nodes not asked yet; each answers with the k contacts nearest to the target;
-    the k nearest seen go on.  A lookup ends when a round brings nothing new, when the target itself is found,
-    or when ``until`` (a Column over ``node_id`` and ``target_id``) holds for one of its nodes.
+    the k nearest seen go on.  A dead contact gives no answer, which its asker learns by asking, and is passed over
+    from then on.  A lookup ends when a round brings nothing new, when the target itself is found alive,
+    when a node asked accepts, or when ``until`` (a Column over ``node_id`` and ``target_id``) holds for one of its nodes.
+    One that has not ended after MOST_ROUNDS is an error.
     """
-    table = cut(table.select("owner", "contact", "contact_id", "bucket"))
+    flags = [F.col(c) if c in table.columns else F.lit(False).alias(c) for c in FLAGS]
+    # nodes that have answered stay known where others may turn out to be dead
+    known = F.col("asked") & F.lit("dead" in table.columns)
+    table = cut(table.select("owner", "contact", "contact_id", "bucket", *flags))
     most = table.agg(F.max("bucket")).first()[0] or 0
     steps = cut(_steps(table, k, most))  # asked in every round
-    near = Window.partitionBy("lookup").orderBy("d", "node")
-    hit = F.forall("d", lambda x: x == 0)
+    failed = F.col("asked") & F.col("dead")
+    near = Window.partitionBy("lookup").orderBy(failed, "d", "node")
+    hit = F.forall("d", lambda x: x == 0) & ~F.col("dead") | F.col("asked") & F.col("accepts")
     if until is not None:
         hit = hit | until
 
     def kept(rows: DataFrame) -> DataFrame:
-        ranked = rows.withColumn("rank", F.row_number().over(near)).where(F.col("rank") <= k).drop("rank")
-        return cut(ranked.withColumn("over", F.max(hit).over(Window.partitionBy("lookup"))))
+        ranked = rows.withColumn("rank", F.row_number().over(near)).where((F.col("rank") <= k) | known).drop("rank")
+        return cut(ranked.withColumn("over", F.max(hit & ~failed).over(Window.partitionBy("lookup"))))
 
-    state = asked.select("lookup", "target_id", F.col("start").alias("node"), F.col("start_id").alias("node_id"), F.lit(0).alias("rounds"), F.lit(False).alias("asked"))
+    state = asked.select("lookup", "target_id", F.col("start").alias("node"), F.col("start_id").alias("node_id"), F.lit(0).alias("rounds"),
+                         F.lit(False).alias("asked"), *[F.lit(False).alias(c) for c in FLAGS])
     state = kept(state.withColumn("d", ids.xor(F.col("node_id"), F.col("target_id"))))
-    for n in range(1, MOST_ROUNDS + 1):
+    for n in range(1, MOST_ROUNDS + 2):
         front = state.where("not asked and not over")
         if front.isEmpty():
             break
+        if n > MOST_ROUNDS:
+            raise RuntimeError(f"lookups are open after {MOST_ROUNDS} rounds")
         shared = F.least(ids.prefix_length(F.col("d"), ids.FULL_LIMBS), F.lit(most + 1))
-        answers = front.select("lookup", "target_id", F.col("node").alias("owner"), shared.alias("b")).join(steps, ["owner", "b"])
-        far = F.transform("contacts", lambda c: F.struct(ids.xor(c["contact_id"], F.col("target_id")).alias("d"), c["contact"].alias("node"), c["contact_id"].alias("node_id")))
+        answers = front.where("not dead").select("lookup", "target_id", F.col("node").alias("owner"), shared.alias("b")).join(steps, ["owner", "b"])
+        far = F.transform("contacts", lambda c: F.struct(ids.xor(c["contact_id"], F.col("target_id")).alias("d"), c["contact"].alias("node"), c["contact_id"].alias("node_id"), *[c[f].alias(f) for f in FLAGS]))
         answers = answers.select("lookup", "target_id", F.explode(F.slice(F.array_sort(far), 1, k)).alias("x"))
-        new = answers.select("lookup", "target_id", "x.node", "x.node_id", F.lit(n).alias("rounds"), F.lit(False).alias("asked"), "x.d")
+        new = answers.select("lookup", "target_id", "x.node", "x.node_id", F.lit(n).alias("rounds"), F.lit(False).alias("asked"), "x.d", *[f"x.{f}" for f in FLAGS])
         old = state.withColumn("asked", F.col("asked") | ~F.col("over")).drop("over")
-        both = old.unionByName(new).groupBy("lookup", "target_id", "node", "node_id", "d").agg(F.min("rounds").alias("rounds"), F.max("asked").alias("asked"))
+        both = old.unionByName(new).groupBy("lookup", "target_id", "node", "node_id", "d").agg(F.min("rounds").alias("rounds"), *[F.max(c).alias(c) for c in ("asked", *FLAGS)])
         state = kept(both)
     out = state.withColumn("rank", F.row_number().over(near)).withColumn("rounds", F.max("rounds").over(Window.partitionBy("lookup")))
-    return out.select("lookup", "rank", "node", "rounds")
+    return out.where(~failed & (F.col("rank") <= k)).select("lookup", "rank", "node", "rounds")
 
 
 def churned(nodes: DataFrame, chance: float, seed: int) -> DataFrame:
@@ -105,14 +119,28 @@ def churned(nodes: DataFrame, chance: float, seed: int) -> DataFrame:
     return nodes.withColumn("dead", F.pmod(F.xxhash64("node", F.lit(seed)), F.lit(10_000)) < int(chance * 10_000))
 
 
+def replaced(nodes: DataFrame, chance: float, seed: int) -> DataFrame:
+    """``nodes`` with ``dead``, and for each dead one a newcomer, which arrives after all others under an id of its own."""
+    marked = churned(nodes.select("node", "node_id", "added"), chance, seed)
+    last = marked.agg(F.max("node").alias("n"), F.max("added").alias("a")).first()
+    width = len((nodes.select("node_id").first() or [[0] * 4])[0])
+    new = marked.where("dead").select((F.col("node") + (last.n or 0) + 1).alias("node"), ids.random_id(F.concat(F.lit(f"{seed}:"), F.col("node").cast("string")), width).alias("node_id"),
+                                      (F.col("added") + (last.a or 0) + 1).alias("added"), F.lit(False).alias("dead"))
+    return marked.unionByName(new)
+
+
 def experiment(nodes: DataFrame, lookups: DataFrame, chances: list[float], seed: int = 5, k: int = CONCURRENCY) -> DataFrame:
-    """(dead_share, lookups, min_rounds, avg_rounds, max_rounds) of lookups over what is left of the nodes."""
+    """(dead_share, nodes, dead, lookups, min_rounds, avg_rounds, max_rounds): a share of the nodes dies and is replaced by
+    newcomers; the dead stay in the tables of others, and lookups from living nodes go round them."""
     parts = []
     for chance in chances:
-        alive = churned(nodes, chance, seed).where("not dead").drop("dead")
+        everyone = cut(replaced(nodes, chance, seed))
+        n = everyone.agg(F.count("*").alias("all"), F.count_if("dead").alias("dead")).first()
+        alive = everyone.where("not dead")
         asked = lookups.join(alive.select(F.col("node").alias("start"), F.col("node_id").alias("start_id")), "start").select("lookup", "target_id", "start", "start_id")
-        done = lookup(asked, edges(alive), k).where("rank = 1")
-        parts.append(done.agg(F.lit(chance).alias("dead_share"), F.count("*").alias("lookups"), F.min("rounds").alias("min_rounds"), F.round(F.avg("rounds"), 6).alias("avg_rounds"), F.max("rounds").alias("max_rounds")))
+        done = lookup(asked, edges(everyone), k).where("rank = 1")
+        parts.append(done.agg(F.lit(chance).alias("dead_share"), F.lit(n["all"]).alias("nodes"), F.lit(n["dead"]).alias("dead"), F.count("*").alias("lookups"),
+                              F.min("rounds").alias("min_rounds"), F.round(F.avg("rounds"), 6).alias("avg_rounds"), F.max("rounds").alias("max_rounds")))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -4,27 +4,19 @@ from __future__ import annotations
 
 import math
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from keyloom.functions import control
+from keyloom.operators import mapreduce
 
 
 def ring_layout(nodes: DataFrame, digest: Column) -> DataFrame:
-    """Places on a circle in the order of a hex digest: ``idx``, ``x``, ``y``.
-
-    The digest's first two digits cut the order into 256 even ranges; what stands before a range comes from
-    counts, so no task orders all nodes.
-    """
-    marked = nodes.withColumn("_digest", digest).withColumn("_part", F.substring("_digest", 1, 2))
-    counts = marked.groupBy("_part").agg(F.count("*").alias("_n"))
-    everything = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"), F.sum("_n").over(everything).alias("_all"))  # 256 rows at most
-    own = F.row_number().over(Window.partitionBy("_part").orderBy("_digest"))
-    placed = marked.join(F.broadcast(counts), "_part").withColumn("idx", (F.col("_before") + own - 1).cast("long"))
-    angle = F.col("idx") / F.col("_all") * (2 * math.pi)
-    return placed.select(*[F.col(f"`{c}`") for c in nodes.columns], "idx", (F.round(F.cos(angle), 6) + 0.0).alias("x"), (F.round(F.sin(angle), 6) + 0.0).alias("y"))
+    """Places on a circle in the order of a digest: ``idx``, ``x``, ``y``."""
+    ranks = mapreduce.ranked(nodes.withColumn("_digest", digest), ["_digest"]).withColumn("idx", (F.col("rank") - 1).cast("long"))
+    n = nodes.count()
+    angle = F.col("idx") / F.lit(max(n, 1)) * (2 * math.pi)
+    return ranks.select(*[F.col(f"`{c}`") for c in nodes.columns], "idx", (F.round(F.cos(angle), 6) + 0.0).alias("x"), (F.round(F.sin(angle), 6) + 0.0).alias("y"))
 
 
 def failure_runs(rows: DataFrame, by: list[str], order: list[str], failed: Column, threshold: int) -> DataFrame:
@@ -63,10 +55,22 @@ def admitted(rows: DataFrame, by: list[str], child: str, order: list[str], most:
 def throttled(rows: DataFrame, by: list[str], micros: Column, gap: int) -> DataFrame:
     """(by.., t): times accepted when each must come more than ``gap`` microseconds after the last accepted.
 
-    A fold over one stream's times: a stream is taken by one task, as the rule is sequential.
+    One pass over the times in order, which keeps one number for a stream; the rule is sequential, so a stream is one task.
     """
-    times = rows.groupBy(*by).agg(F.array_sort(F.collect_list(micros)).alias("_t"))
-    return times.select(*by, F.explode(control.accepted(F.col("_t"), gap)).alias("t"))
+    kinds = dict(rows.dtypes)
+    keyed = rows.select(*by, F.to_json(F.struct(*by)).alias("_key"), micros.cast("long").alias("t")).repartition("_key").sortWithinPartitions("_key", "t")
+
+    def run(batches):
+        key, last = object(), 0
+        for b in batches:
+            kept = []
+            for i, (k, t) in enumerate(zip(b.column(len(by)).to_pylist(), b.column(len(by) + 1).to_pylist())):
+                if k != key or t - last > gap:
+                    key, last = k, t
+                    kept.append(i)
+            yield b.take(pa.array(kept, pa.int64())).drop_columns(["_key"])
+
+    return keyed.mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in by) + ", t long")
 
 
 def after_last(rows: DataFrame, by: list[str], order: list[str], control_row: Column) -> DataFrame:

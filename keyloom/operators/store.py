@@ -51,6 +51,12 @@ def lru(rows: DataFrame, item: str, seq: list[str]) -> DataFrame:
     return rows.groupBy(item).agg(F.max(F.struct(*seq)).alias("_l"), F.count("*").alias("uses")).select(item, "_l.*", "uses")
 
 
+def lru_left(rows: DataFrame, item: str, seq: list[str], removes: Column) -> DataFrame:
+    """(item, last_seq..): as ``lru``, when some rows take their item out of the queue instead of using it."""
+    last = rows.groupBy(item).agg(F.max(F.struct(*seq, removes.alias("_gone"))).alias("_l"))
+    return last.where("not _l._gone").select(item, *[F.col(f"_l.{c}") for c in seq])
+
+
 def merged(rows: DataFrame, key: str, seq: list[str], scalars: list[str], repeated: list[str]) -> DataFrame:
     """Records of one key merged in order: scalars keep the last value that isn't null, lists are appended."""
     def last(c: str) -> Column:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from keyloom.functions import text
 from keyloom.operators import mapreduce, orderstats, store
+from keyloom.operators.shared import folder
 from keyloom.plans.base import query, query_at
 from keyloom.sources import files
 
@@ -235,3 +238,46 @@ def page_of_rows(parts: DataFrame) -> DataFrame:
     """Skip and take: rows 11 to 30 of a page."""
     rows = parts.orderBy(F.desc("p_size"), "p_partkey").limit(30).select("p_partkey", "p_size")
     return rows.withColumn("place", F.row_number().over(Window.orderBy(F.desc("p_size"), "p_partkey")).cast("long")).where("place > 10")
+
+
+@query("orders", oracle=f"select o_custkey, o_orderkey, o_totalprice from (select *, {_RANK.format('asc')} as lo, {_RANK.format('desc')} as hi from orders) where lo > 2 and hi > 1")
+def queue_after_removal(orders: DataFrame) -> DataFrame:
+    """A double-ended queue per customer after its two least and its greatest are taken off."""
+    return orderstats.without_ends(orders.select("o_custkey", "o_totalprice", "o_orderkey"), ["o_custkey"], ["o_totalprice", "o_orderkey"], 2, 1)
+
+
+@query("orders", oracle="select o_custkey, quantile_disc(o_totalprice, 0.5) as median, min(o_totalprice) as least, max(o_totalprice) as greatest from orders where o_orderkey % 3 <> 0 group by o_custkey")
+def median_after_removal(orders: DataFrame) -> DataFrame:
+    """The median and both ends after some items are removed."""
+    left = orderstats.without(orders.select("o_custkey", "o_totalprice", "o_orderkey"), orders.where("o_orderkey % 3 = 0"), ["o_custkey", "o_totalprice", "o_orderkey"])
+    return left.groupBy("o_custkey").agg(orderstats.low_median("o_totalprice").alias("median"), F.min("o_totalprice").alias("least"), F.max("o_totalprice").alias("greatest"))
+
+
+@query("events", oracle="select user_id, last_ts, event_id from (select user_id, max((ts, event_id)) as x, x[1] as last_ts, x[2] as event_id, arg_max(event_type, (ts, event_id)) as kind from events group by user_id) where kind <> 'error'")
+def lru_after_removal(events: DataFrame) -> DataFrame:
+    """The queue of recently used items when an error takes its user out until the next use."""
+    return store.lru_left(events, "user_id", ["ts", "event_id"], F.col("event_type") == "error").withColumnRenamed("ts", "last_ts").select("user_id", "last_ts", "event_id")
+
+
+@query_at(oracle="select l_returnflag as key, count(*) as result from lineitem group by 1")
+def job_output_sink(spark, sf_dir: str) -> DataFrame:
+    """The output of a job through a sink of one's own, read back from there."""
+    at = f"{folder(spark).rstrip('/')}/job-{uuid.uuid4().hex[:12]}"
+    job = mapreduce.Job(F.array(F.struct(F.col("l_returnflag").alias("key"), F.lit(1).alias("value"))), F.count("value"))
+    job.run(files.table(spark, sf_dir, "lineitem"), store=lambda rows: rows.write.parquet(at))
+    return spark.read.schema("key string, result long").parquet(at)
+
+
+@query_at(oracle="select event_type, count(*) as seen from events group by event_type union all select 'none', 0")
+def side_effects(spark, sf_dir: str) -> DataFrame:
+    """A side effect for each row, counted where it happens; kinds without rows are told first."""
+    events = files.table(spark, sf_dir, "events")
+    kinds = sorted(r[0] for r in events.select("event_type").distinct().collect())  # a fixed set of names
+    out = []
+    for kind in [*kinds, "none"]:
+        rows = events.where(F.col("event_type") == kind)
+        seen = spark.sparkContext.accumulator(0)
+        if not rows.isEmpty():
+            rows.select("event_id").foreachPartition(lambda part, seen=seen: seen.add(sum(1 for _ in part)))
+        out.append((kind, seen.value))
+    return spark.createDataFrame(out, "event_type string, seen long")

@@ -160,24 +160,39 @@ def fountain_encode_xor(parts: DataFrame) -> DataFrame:
 
 
 BLOCK, MULTIPLE = 64, 3.0
+_ROOT = "p_size + 64L * (p_partkey div 4000L)"
+_ROOT_SQL = "(p_size + 64 * (p_partkey // 4000))::bigint"
+_OCTETS = "(sum(strlen(p_name)) + count(*) - 1)"
 
 
 def _objects(parts: DataFrame) -> DataFrame:
-    """One object for each part size: the names of its parts."""
+    """One object for each part size and stretch of part keys: the names of its parts, a bounded number of them."""
     names = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", "p_name"))), lambda x: x["p_name"]), ";")
-    return parts.groupBy(F.col("p_size").cast("long").alias("root")).agg(names.cast("binary").alias("data"))
+    return parts.groupBy(F.expr(_ROOT).alias("root")).agg(names.cast("binary").alias("data"))
 
 
-@query("part")
+#: How many packets per block a reader may ask for before it gives up.
+ENOUGH = 12.0
+
+
+@query("part", oracle=f"select {_ROOT_SQL} as root, true as complete, greatest(1, ceil({_OCTETS} / {BLOCK}.0))::int as solved, true as equal from part group by 1")
 def fountain_roundtrip(parts: DataFrame) -> DataFrame:
-    """Objects encoded, every seventh packet lost, and decoded: complete ones equal the input."""
+    """Objects encoded, every seventh packet lost, and decoded: they equal the input."""
     objects = _objects(parts)
-    packets = fountain.encode(objects, fountain.packets_of(objects, BLOCK, MULTIPLE), BLOCK)
+    packets = fountain.encode(objects, fountain.packets_of(objects, BLOCK, ENOUGH), BLOCK)
     got = fountain.decode(packets.where("chunk_index % 7 <> 3"), BLOCK)
     return got.join(objects.select("root", F.col("data").alias("wanted")), "root").select("root", "complete", "solved", F.coalesce(F.col("data") == F.col("wanted"), F.lit(False)).alias("equal"))
 
 
-@query("part", oracle=f"select p_size::bigint as root, (floor(ceil((sum(length(p_name)) + count(*) - 1) / {BLOCK}.0) * {MULTIPLE} + 1) + 4)::bigint // 7 as repaired, true as equal from part group by p_size")
+@query("part", oracle=f"select {_ROOT_SQL} as root, true as complete, false as gave_up, md5(string_agg(p_name, ';' order by p_partkey)) as digest from part group by 1")
+def erasure_get(parts: DataFrame) -> DataFrame:
+    """Objects read packet by packet until they can be decoded; every seventh packet is missing."""
+    objects = _objects(parts)
+    packets = fountain.encode(objects, fountain.packets_of(objects, BLOCK, ENOUGH), BLOCK).where("chunk_index % 7 <> 3")
+    return fountain.fetch(packets, BLOCK).select("root", "complete", "gave_up", F.md5("data").alias("digest"))
+
+
+@query("part", oracle=f"select {_ROOT_SQL} as root, (floor(ceil({_OCTETS} / {BLOCK}.0) * {MULTIPLE} + 1) + 4)::bigint // 7 as repaired, true as equal from part group by 1")
 def erasure_repair(parts: DataFrame) -> DataFrame:
     """Lost packets made again from the object, equal to those that were lost."""
     objects = _objects(parts)
@@ -188,7 +203,12 @@ def erasure_repair(parts: DataFrame) -> DataFrame:
     return again.join(stored, ["root", "chunk_index"]).groupBy("root").agg(F.count("*").alias("repaired"), F.bool_and(F.col("again") == F.col("words")).alias("equal"))
 
 
-@query("part")
+@query("part", oracle=f"""with o as (select {_ROOT_SQL} as root, greatest(1, ceil({_OCTETS} / {BLOCK}.0))::bigint as k from part group by 1),
+    p as (select root, k, i as chunk_index, root * 1000 + i as seed from o, lateral (select unnest(range(0, k + 1)) as i)),
+    d as (select *, {_DEGREE} as degree from p), b as (select root, unnest(range(0, k)) as block from o),
+    c as (select d.root, d.chunk_index, d.degree, b.block, row_number() over (partition by d.root, d.chunk_index order by {_DRAW}, b.block) as place from d join b on b.root = d.root),
+    f as (select root, block, min(chunk_index) as first from c where place <= degree group by 1, 2)
+    select p.root, p.chunk_index::int as chunk_index, count(*) filter (f.first <= p.chunk_index) as named, p.k as blocks from p left join f on f.root = p.root group by p.root, p.chunk_index, p.k""")
 def fountain_progress(parts: DataFrame) -> DataFrame:
     """How many blocks the packets so far name, packet by packet."""
     objects = _objects(parts)
@@ -205,7 +225,7 @@ def _nodes(suppliers: DataFrame) -> DataFrame:
 _PAIRS = f"(select a.s_suppkey as owner, b.s_suppkey as contact, {prefix_sql(xor_sql('a.i', 'b.i'))} as bucket from (select s_suppkey, {limbs_sql('s_suppkey')} as i from supplier) a, (select s_suppkey, {limbs_sql('s_suppkey')} as i from supplier) b where a.s_suppkey <> b.s_suppkey)"
 
 
-@query("supplier", oracle=f"select owner, bucket, count(*) as n, sum(contact)::bigint as contacts from (select *, row_number() over (partition by owner, bucket order by contact) as r from {_PAIRS}) where r <= 20 and bucket < 16 group by owner, bucket")
+@query("supplier", oracle=f"select owner, bucket, count(*) as n, sum(contact)::bigint as contacts from (select *, row_number() over (partition by owner, bucket order by contact) as r from {_PAIRS}) where r <= 20 group by owner, bucket")
 def bucket_histogram(suppliers: DataFrame) -> DataFrame:
     """Buckets of all routing tables: the first 20 contacts to arrive."""
     return overlay.edges(_nodes(suppliers)).groupBy("owner", "bucket").agg(F.count("*").alias("n"), F.sum("contact").alias("contacts"))
@@ -225,7 +245,7 @@ def iterative_lookup_hops(orders: DataFrame, suppliers: DataFrame) -> DataFrame:
     return overlay.lookup(_asked(orders, nodes), overlay.edges(nodes))
 
 
-@query("orders", "supplier", oracle=f"select o_orderkey as lookup, arg_min(s_suppkey, {xor_sql('o.i', 's.i')}) as node from (select o_orderkey, {limbs_sql('o_orderkey')} as i from orders where o_orderkey % 50 = 0) o, (select s_suppkey, {limbs_sql('s_suppkey')} as i from supplier) s group by 1")
+@query("orders", "supplier", oracle=f"select o_orderkey as lookup, arg_min(s_suppkey, {xor_sql('o.i', 's.i')}) as node from (select o_orderkey, {limbs_sql('o_orderkey')} as i from orders) o, (select s_suppkey, {limbs_sql('s_suppkey')} as i from supplier) s group by 1")
 def iterative_lookup_nearest(orders: DataFrame, suppliers: DataFrame) -> DataFrame:
     """The nearest node that each lookup ends with is the owner."""
     nodes = _nodes(suppliers)
@@ -252,6 +272,15 @@ def dead_nodes(suppliers: DataFrame) -> DataFrame:
     return overlay.churned(_nodes(suppliers), 0.3, 11).select("node", "dead")
 
 
+@query("customer", "supplier")
+def parent_search(customers: DataFrame, suppliers: DataFrame) -> DataFrame:
+    """Each customer looks for a parent near its own id; the search ends at the first node that takes a child."""
+    nodes = _nodes(suppliers).withColumn("accepts", F.col("node") % 3 == 0)
+    asked = _asked(customers.select(F.col("c_custkey").alias("o_orderkey"), F.col("c_custkey").alias("o_custkey")), nodes)
+    found = overlay.lookup(asked, overlay.edges(nodes))
+    return found.groupBy("lookup").agg(F.min(F.when(F.col("node") % 3 == 0, F.struct("rank", "node")))["node"].alias("parent"), F.max("rounds").alias("rounds"))
+
+
 # ---- codecs, sources and sinks ----
 
 @query("events", oracle="select event_id, user_id, event_type from events")
@@ -272,6 +301,16 @@ def fixed_prefix_roundtrip(events: DataFrame) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
+@query_at(oracle="select event_id, event_type from events")
+def log_playback(spark, sf_dir: str) -> DataFrame:
+    """A log of length-prefixed messages in files, played back some files at a time."""
+    at = _place(spark, "messages")
+    events = files.table(spark, sf_dir, "events").select(F.to_json(F.struct("event_id", "event_type")).cast("binary").alias("r"))
+    records.write_framed(events.repartition(6), "r", at)
+    back = records.playback(spark, at, step=2)
+    return pipes.finished(back.select(F.from_json(F.col("record").cast("string"), "event_id long, event_type string").alias("x")).select("x.*"))
+
+
 @query("orders", oracle="select o_orderkey, case when o_custkey % 4 <> 0 then o_orderstatus end as status, o_orderdate, o_totalprice::decimal(14, 2) as price from orders")
 def table_codec_roundtrip(orders: DataFrame) -> DataFrame:
     """A table with nulls through its self-describing form."""
@@ -343,10 +382,30 @@ def stream_admission(spark, sf_dir: str) -> DataFrame:
     return pipes.finished(pipes.admitted(rows, "parent", "child", 2))
 
 
-@query_at()
+@query_at(oracle="""select user_id, min(ts) as start, max(ts) + interval 6 hours as "end", count(*) as n from (select *, sum(new) over (partition by user_id order by ts, event_id rows unbounded preceding) as s from
+    (select *, (ts >= lag(ts) over (partition by user_id order by ts, event_id) + interval 6 hours or lag(ts) over (partition by user_id order by ts, event_id) is null)::int as new from events)) group by user_id, s""")
 def stream_sessions(spark, sf_dir: str) -> DataFrame:
-    """Sessions that the watermark has closed; those still open at the end of the input are held back."""
-    return pipes.finished(pipes.sessions(pipes.events(spark, sf_dir), "user_id", "6 hours", "1 hour"))
+    """Sessions of a stream; a heartbeat at its end closes the last ones."""
+    end = files.table(spark, sf_dir, "events").agg((F.max("ts") + F.expr("interval 8 hours")).cast("string")).first()[0]
+    beaten = pipes.with_heartbeat(pipes.events(spark, sf_dir), "at", end, "user_id")
+    out = pipes.finished(pipes.sessions(beaten, "user_id", "6 hours", "1 hour")).where("user_id is not null")
+    return out.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "n")
+
+
+@query_at(oracle="select event_type, count(*) as n, sum(event_id)::bigint as ids from events where event_type in ('click', 'view') group by event_type")
+def consumer_dispatch(spark, sf_dir: str) -> DataFrame:
+    """Messages of a stream go to the consumers that are registered for their kind; one is removed before it starts."""
+    at, consumers = _place(spark, "consumed"), pipes.Consumers()
+
+    def writer(kind: str):
+        return lambda rows: rows.select("event_type", "event_id").write.mode("append").parquet(f"{at}/{kind}")
+
+    for kind in ("click", "view", "error"):
+        consumers.get_or_create(kind, lambda: writer(kind))
+    consumers.remove("error")
+    consumers.run(pipes.events(spark, sf_dir), "event_type")
+    got = spark.read.schema("event_type string, event_id long").parquet(f"{at}/click", f"{at}/view")
+    return got.groupBy("event_type").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))
 
 
 @query_at(oracle="select o.user_id, o.event_id as open_id, c.event_id as close_id from events o join events c on o.user_id = c.user_id and c.ts >= o.ts and c.ts <= o.ts + interval 1 day where o.event_type = 'signup' and c.event_type = 'purchase'")

@@ -121,6 +121,51 @@ def refresh_ids(suppliers: DataFrame) -> DataFrame:
     return suppliers.select("s_suppkey", (ids.prefix_length(ids.xor(base, new), 4) >= bits).alias("kept"))
 
 
+def _advanced_sql(x: str, by: str) -> str:
+    """Limbs of an id some places on, from SQL."""
+    total, parts = f"({limbs_sql(x)})[4] + {by}", []
+    for i in range(4, 0, -1):
+        parts.append(f"(({total}) & 4294967295)")
+        total = f"({limbs_sql(x)})[{i - 1}] + (({total}) >> 32)" if i > 1 else total
+    return "[" + ", ".join(parts[::-1]) + "]"
+
+
+@query("customer", oracle=f"select c_custkey, {_advanced_sql('c_custkey', '(c_custkey * 4294967291)')} as next from customer")
+def advanced_ids(customers: DataFrame) -> DataFrame:
+    """Ids some places on, with carry between limbs."""
+    return customers.select("c_custkey", ids.advanced(ids.md5_id(F.col("c_custkey")), F.col("c_custkey") * 4294967291, 4).alias("next"))
+
+
+_CHUNK_HEX = f"list_aggregate(list_transform({_advanced_sql('s_suppkey', 'i')}, lambda v: printf('%08x', v)), 'string_agg', '')"
+
+
+@query("supplier", oracle=f"select s_suppkey, i as chunk, list_transform(range(0, 4), lambda n: ('0x' || substr(h, 8 * n + 1, 8))::bigint) as key from (select s_suppkey, i, md5(unhex({_CHUNK_HEX})) as h from supplier, range(0, 5) r(i))")
+def chunk_keys(suppliers: DataFrame) -> DataFrame:
+    """The keys of an object's chunks: the digest of its root's id advanced by the index."""
+    rows = suppliers.select("s_suppkey", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(4).cast("long"))).alias("chunk"))
+    return rows.select("s_suppkey", "chunk", ids.chunk_key(ids.md5_id(F.col("s_suppkey")), F.col("chunk")).alias("key"))
+
+
+@query("customer", oracle="select c_custkey, list_transform(range(0, 4), lambda n: ('0x' || substr(md5(c_custkey || '/0'), 8 * n + 1, 8))::bigint) as id from customer")
+def random_ids(customers: DataFrame) -> DataFrame:
+    return customers.select("c_custkey", ids.random_id(F.col("c_custkey")).alias("id"))
+
+
+@query("part", oracle="select p_partkey, list_transform(range(0, 16), lambda n: ('0x' || substr(rpad(hex(encode(p_name)), 128, '0'), 8 * n + 1, 8))::bigint) as id from part where strlen(p_name) <= 64")
+def byte_ids(parts: DataFrame) -> DataFrame:
+    """Ids from up to 64 bytes, with zeros on the right."""
+    return parts.where(F.octet_length("p_name") <= 64).select("p_partkey", ids.from_bytes(F.col("p_name").cast("binary")).alias("id"))
+
+
+@query("lineitem", oracle="""select l_orderkey, l_linenumber, least(greatest(l_quantity, 10), 40) as clamped, abs(l_quantity - 25) as gap, sign(l_quantity - 25)::int as side, round(pow(l_discount + 1, 3), 9) as cube,
+    round(exp(l_tax), 9) as e, round(ln(l_extendedprice), 9) as l, floor(l_extendedprice)::bigint as whole, round(cos(l_quantity), 9) + 0.0 as c, round(sin(l_quantity), 9) + 0.0 as s from lineitem""")
+def math_functions(lines: DataFrame) -> DataFrame:
+    q = F.col("l_quantity")
+    return lines.select("l_orderkey", "l_linenumber", F.least(F.greatest(q, F.lit(10)), F.lit(40)).alias("clamped"), F.abs(q - 25).alias("gap"), F.signum(q - 25).cast("int").alias("side"),
+                        F.round(F.pow(F.col("l_discount") + 1, F.lit(3)), 9).alias("cube"), F.round(F.exp("l_tax"), 9).alias("e"), F.round(F.log("l_extendedprice"), 9).alias("l"),
+                        F.floor("l_extendedprice").alias("whole"), (F.round(F.cos(q), 9) + 0.0).alias("c"), (F.round(F.sin(q), 9) + 0.0).alias("s"))
+
+
 # ---- mixers and registers ----
 
 @query("events", oracle=f"select event_id, {random_sql('event_id', '1000')} as r, floor({random_sql('event_id', '2147483648')} / 2147483648.0 * 1000)::bigint as scaled from events")
@@ -249,6 +294,35 @@ def counting_bloom_remove(events: DataFrame) -> DataFrame:
     return full.removed(events.where("event_type = 'click'"), _item("user_id")).cells
 
 
+def _scaled_sql(seed: str, size: int) -> str:
+    return f"floor({random_sql(seed, '2147483648')} / 2147483648.0 * {size})::bigint"
+
+
+_FIRST = _scaled_sql("user_id * 7919", BLOOM_SIZE)
+
+
+@query("events", oracle=f"select pos, count(*) as cnt from (select unnest([a, {_scaled_sql('a', BLOOM_SIZE)}]) as pos from (select {_FIRST} as a from events)) group by pos")
+def iterated_bloom(events: DataFrame) -> DataFrame:
+    """A counting filter of the scaling variant, in which each position is the seed of the next."""
+    return sketches.Bloom.of(events, _item("user_id"), 2, BLOOM_SIZE, hashing.iterated_positions).cells
+
+
+@query("events", oracle="""select user_id, user_id % 2 = 0 as removed from (select distinct user_id from events)""")
+def bloom_try_remove(events: DataFrame) -> DataFrame:
+    """Removal tells whether the item was there: only even users were added, to a filter too large for false positives."""
+    users = events.select("user_id").distinct()
+    even = sketches.Bloom.of(users.where("user_id % 2 = 0"), _item("user_id"), BLOOM_K, 1 << 30)
+    left, known = even.removed_if_present(users, "user_id", _item("user_id"))
+    return known.select("user_id", F.col("present").alias("removed"))
+
+
+@query_at(oracle="select p, floor(-4093.0 / 4 * ln(1 - pow(p, 0.25)))::bigint as items from (values (0.001::double), (0.01::double), (0.1::double)) v(p)")
+def bloom_capacity(spark, sf_dir: str) -> DataFrame:
+    """How many items a filter holds at a rate of false positives."""
+    empty = sketches.Bloom(spark.createDataFrame([], "pos long, cnt long"), BLOOM_K, BLOOM_SIZE)
+    return spark.createDataFrame([(p, empty.capacity(p)) for p in (0.001, 0.01, 0.1)], "p double, items long")
+
+
 # ---- text and records ----
 
 @query("lineitem", oracle="""select l_orderkey, l_linenumber, case when v < 1024 then v::bigint::varchar || 'b' when v < 1048576 then round(v / 1024, 2)::decimal(20,2)::varchar || 'Kb'

@@ -88,9 +88,35 @@ def read_framed(spark: SparkSession, path: str, style: str = "base128", tag: int
     return unframed(spark.read.format("binaryFile").load(path), "content", style, tag)
 
 
-def playback(spark: SparkSession, path: str, step: int = 1) -> DataFrame:
-    """The same as a stream that takes ``step`` files at a time."""
-    return spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("maxFilesPerTrigger", step).load(path)
+def playback(spark: SparkSession, path: str, style: str = "base128", tag: int | None = None, step: int = 1) -> DataFrame:
+    """(record) of the same files as a stream that takes ``step`` files at a time."""
+    files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("maxFilesPerTrigger", step).load(path)
+    return unframed(files, "content", style, tag)
+
+
+def write_framed(rows: DataFrame, column: str, path: str, style: str = "base128", tag: int | None = None) -> None:
+    """One file of length-prefixed records for each partition, under its name only when it is complete."""
+    import uuid
+
+    from pyarrow import fs
+    from pyspark import TaskContext
+
+    uri = path if "://" in path else "file://" + path.removeprefix("file:")
+
+    def run(batches):
+        where, root = fs.FileSystem.from_uri(uri)
+        where.create_dir(root, recursive=True)
+        name = f"{root}/part-{TaskContext.get().partitionId():06d}.bin"
+        part = f"{root}/_{uuid.uuid4().hex[:8]}.part"
+        with where.open_output_stream(part) as out:
+            for b in batches:
+                for r in b.column(0).to_pylist():
+                    if r is not None:
+                        out.write(frame(r, style, tag))
+        where.move(part, name)
+        yield from ()
+
+    rows.select(F.col(column)).mapInArrow(run, "done boolean").write.format("noop").mode("overwrite").save()
 
 
 # ---- table codec: name, columns, rows that hold only their cells that are not null ----

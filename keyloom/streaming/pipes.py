@@ -45,6 +45,15 @@ def counts(stream: DataFrame, by: list[str]) -> DataFrame:
     return stream.groupBy(*by).agg(F.count("*").alias("n"))
 
 
+def with_heartbeat(stream: DataFrame, at: str, last, by: str) -> DataFrame:
+    """``stream(by, at)`` and one row without a key at time ``last``, which moves the watermark past all events before."""
+    spark = stream.sparkSession
+    place = f"{folder(spark).rstrip('/')}/beat-{uuid.uuid4().hex[:12]}"
+    beat = spark.range(1).select(F.lit(None).cast(dict(stream.dtypes)[by]).alias(by), F.lit(last).cast("timestamp").alias(at))
+    beat.write.parquet(place)
+    return stream.select(by, at).unionByName(spark.readStream.schema(beat.schema).parquet(place))
+
+
 def sessions(stream: DataFrame, by: str, gap: str, late: str) -> DataFrame:
     """Sessions that end after ``gap`` without an event; given out once the watermark has passed them."""
     return stream.withWatermark("at", late).groupBy(by, F.session_window("at", gap).alias("w")).agg(F.count("*").alias("n")).select(
@@ -104,3 +113,37 @@ def fan_out(stream: DataFrame, children: DataFrame, key: str) -> DataFrame:
 
 def muted(stream: DataFrame, names: list[str], column: str) -> DataFrame:
     return stream.where(~F.col(column).isin(names)) if names else stream
+
+
+class Consumers:
+    """Consumers of messages by kind: each is a function of a DataFrame of the messages of its kind."""
+
+    def __init__(self):
+        self._of: dict = {}
+
+    def register(self, kind, consumer) -> None:
+        if kind in self._of:
+            raise ValueError(f"a consumer of {kind!r} is there already")
+        self._of[kind] = consumer
+
+    def remove(self, kind) -> bool:
+        return self._of.pop(kind, None) is not None
+
+    def get(self, kind):
+        return self._of.get(kind)
+
+    def get_or_create(self, kind, make):
+        if kind not in self._of:
+            self._of[kind] = make()
+        return self._of[kind]
+
+    def deliver(self, messages: DataFrame, kind: str) -> None:
+        """Give each consumer its messages, in the order of registration; those of other kinds are dropped."""
+        for name, consumer in list(self._of.items()):
+            consumer(messages.where(F.col(kind) == name))
+
+    def run(self, stream: DataFrame, kind: str) -> None:
+        """Deliver every micro-batch of a stream over what there is."""
+        at = f"{folder(stream.sparkSession).rstrip('/')}/consumers-{uuid.uuid4().hex[:12]}"
+        query = stream.writeStream.trigger(availableNow=True).option("checkpointLocation", at).foreachBatch(lambda batch, _: self.deliver(batch, kind)).start()
+        query.awaitTermination()

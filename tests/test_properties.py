@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from keyloom.functions import hashing, ids, text
-from keyloom.operators import fountain, mapreduce, nearest, overlay, sketches, store
+from keyloom.operators import fountain, mapreduce, nearest, orderstats, overlay, sketches, store
 from keyloom.sources import files, records
 
 
@@ -96,13 +96,156 @@ def test_degrees_follow_the_soliton(spark):
     assert abs(share[1] - 1 / 25) < 0.01 and abs(share[2] - 0.5) < 0.02 and abs(share[3] - 1 / 6) < 0.02 and max(share) <= 25
 
 
-def test_owners_match_brute_force(spark):
-    keys = spark.range(300).select(F.col("id").alias("target"), ids.md5_id(F.col("id") + 5000).alias("node_id"))
-    for n in (1, 2, 37):
-        nodes = spark.range(n).select(F.col("id").alias("node"), ids.md5_id(F.col("id")).alias("node_id"))
-        got = {r.target: r.node for r in nearest.owners(keys, nodes).collect()}
-        want = {r.target: r.node for r in nearest.closest_k(keys, nodes, 1).collect()}
-        assert got == want and len(got) == 300
+def md5_int(x) -> int:
+    import hashlib
+
+    return int(hashlib.md5(str(x).encode()).hexdigest(), 16)
+
+
+@pytest.mark.parametrize("n", [1, 2, 7, 60])
+def test_nearest_nodes_match_brute_force(spark, n):
+    keys = spark.range(200).select(F.col("id").alias("target"), ids.md5_id(F.col("id") + 5000).alias("node_id"), ids.md5_id(F.col("id") % 3).alias("owner_id"))
+    nodes = spark.range(n).select(F.col("id").alias("node"), ids.md5_id(F.col("id")).alias("node_id"))
+    ranked = {t: sorted(range(n), key=lambda i: md5_int(i) ^ md5_int(t + 5000)) for t in range(200)}
+    assert {r.target: r.node for r in nearest.owners(keys, nodes).collect()} == {t: r[0] for t, r in ranked.items()}
+    got = {(r.target, r["rank"]): r.node for r in nearest.closest_k(keys, nodes, 4).collect()}
+    assert got == {(t, i + 1): x for t, r in ranked.items() for i, x in enumerate(r[:4])}
+
+    def order(t, i):
+        own, a, b = md5_int(t % 3), md5_int(t + 5000), md5_int(i)
+        shared = [128 - (own ^ x).bit_length() for x in (a, b)]
+        return abs(shared[0] - shared[1]), a ^ b, i
+
+    got = {(r.target, r["rank"]): r.node for r in nearest.bucket_order(keys, nodes, 4, 4).collect()}
+    assert got == {(t, i + 1): x for t in range(200) for i, x in enumerate(sorted(range(n), key=lambda i: order(t, i))[:4])}
+
+
+def test_ranks_of_a_hot_group(spark):
+    """One group with nearly all rows is ranked over several ranges."""
+    rng = random.Random(5)
+    rows = [("hot", rng.randrange(50)) for _ in range(4000)] + [("a", 3), ("b", 1), ("b", 2), (None, 7)]
+    df = spark.createDataFrame(rows, "g string, v int").repartition(6)
+    values = {g: sorted(v for h, v in rows if h == g) for g, _ in rows}
+    assert {r.g: r.high_median for r in orderstats.high_median(df, ["g"], "v").collect()} == {g: v[len(v) // 2] for g, v in values.items()}
+    assert {r.g: r.kth for r in orderstats.kth_smallest(df, ["g"], "v", 1, ["v"]).collect()} == {g: v[1] for g, v in values.items() if len(v) > 1}
+    left = orderstats.without_ends(df, ["g"], ["v"], 1, 1).groupBy("g").count().collect()
+    assert {r.g: r["count"] for r in left} == {g: len(v) - 2 for g, v in values.items() if len(v) > 2}
+
+
+def test_running_median_in_order(spark):
+    rng = random.Random(6)
+    rows = [(g, i, rng.choice([None, *range(9)])) for g in ("a", "b", None) for i in range(80)]
+    df = spark.createDataFrame(rows, "g string, i int, v int").repartition(3)
+    for r in orderstats.running_median(df, ["g"], ["i"], "v").collect():
+        seen = sorted(v for g, i, v in rows if g == r.g and i <= r.i and v is not None)
+        assert r.median == (seen[(len(seen) - 1) // 2] if seen else None)
+
+
+def test_packed_and_joined_filters_agree(spark, monkeypatch):
+    items = spark.range(300).withColumn("x", F.col("id") * 31)
+    b = sketches.Bloom.of(items.where("id % 3 = 0"), F.col("x"), 3, 701)
+    packed = sorted(map(tuple, b.contains(items, "id", F.col("x")).collect()))
+    monkeypatch.setattr(sketches, "PACKED", 1)
+    assert sorted(map(tuple, b.contains(items, "id", F.col("x")).collect())) == packed and sum(p for _, p in packed) >= 100
+    none = sketches.Bloom.of(items.limit(0), F.col("x"), 3, 701)
+    monkeypatch.setattr(sketches, "PACKED", 1000)
+    assert none.contains(items, "id", F.col("x")).where("present").count() == 0
+
+
+def lookup_by_hand(ids_of, tables, target, start, dead, accepts, k=5):
+    """One lookup, as the rules say; the nodes it ends with, nearest first."""
+    seen, asked = {start}, set()
+    far = lambda n: (ids_of[n] ^ target, n)
+    while True:
+        alive = sorted((n for n in seen if not (n in asked and n in dead)), key=far)
+        front = alive[:k]
+        seen = set(front) | {n for n in seen if n in asked}
+        if any(far(n)[0] == 0 and n not in dead or n in asked and n in accepts for n in front + [n for n in alive if n in asked]):
+            return front
+        new = [n for n in front if n not in asked]
+        if not new:
+            return front
+        asked |= set(new)
+        for n in new:
+            if n not in dead:
+                seen |= set(sorted(tables.get(n, []), key=far)[:k])
+
+
+@pytest.mark.parametrize("chance, every", [(0.0, 0), (0.3, 0), (0.6, 0), (0.0, 4), (0.3, 4)])
+def test_lookups_over_stale_tables(spark, chance, every):
+    """Dead contacts stay in the tables; lookups end where those made by hand do."""
+    nodes = spark.range(150).select(F.col("id").alias("node"), ids.md5_id(F.col("id")).alias("node_id"), F.col("id").alias("added"))
+    everyone = overlay.replaced(nodes, chance, 3).withColumn("accepts", (F.col("node") % every == 0) if every else F.lit(False))
+    rows = everyone.collect()
+    dead, takes = {r.node for r in rows if r.dead}, {r.node for r in rows if r.accepts}
+    assert len(rows) == 150 + len(dead) and (len(dead) > 0) == (chance > 0)
+    ids_of = {r.node: int("".join(f"{x:08x}" for x in r.node_id), 16) for r in rows}
+    assert len(set(ids_of.values())) == len(rows)
+    table, tables = overlay.edges(everyone), {}
+    for r in table.collect():
+        tables.setdefault(r.owner, []).append(r.contact)
+    assert not set(tables) & dead and (not dead or any(set(t) & dead for t in tables.values()))
+    start = [r for r in rows if not r.dead][7]
+    asked = spark.range(60).select(F.col("id").alias("lookup"), ids.md5_id(F.col("id") * 7).alias("target_id"), F.lit(start.node).cast("long").alias("start"), F.lit(start.node_id).alias("start_id"))
+    got = {}
+    for r in sorted(overlay.lookup(asked, table).collect(), key=lambda r: (r.lookup, r["rank"])):
+        got.setdefault(r.lookup, []).append(r.node)
+    for i in range(60):
+        assert got[i][:1] and got[i] == lookup_by_hand(ids_of, tables, md5_int(i * 7), start.node, dead, takes)
+
+
+def test_open_lookups_are_an_error(spark, monkeypatch):
+    nodes = spark.range(80).select(F.col("id").alias("node"), ids.md5_id(F.col("id")).alias("node_id"), F.col("id").alias("added"))
+    asked = nodes.select(F.col("node").alias("lookup"), F.reverse("node_id").alias("target_id"), F.col("node").alias("start"), F.col("node_id").alias("start_id"))
+    monkeypatch.setattr(overlay, "MOST_ROUNDS", 1)
+    with pytest.raises(RuntimeError, match="open after 1 rounds"):
+        overlay.lookup(asked, overlay.edges(nodes)).count()
+
+
+def test_word_partitions_and_hashed_keys(spark, data):
+    """The two digests that the oracles' SQL lacks, by another library."""
+    import hashlib
+
+    from keyloom.plans import catalogue
+
+    words = ["a", "word", "odd", "é日"]
+    got = {r.w: r.p for r in spark.createDataFrame([(w,) for w in words], "w string").select("w", text.partition_id(F.col("w")).alias("p")).collect()}
+    for w in words:
+        raw, back = w.encode("utf-16-le"), w[::-1]
+        parts = [raw, str(len(raw)).encode(), back.encode("utf-16-le"), back[: -(-len(w) // 2)].encode("utf-16-le")]
+        assert got[w] == "".join(hashlib.md5(p).hexdigest() for p in parts)
+    for r in catalogue.QUERIES["hashed_key"](spark, data).limit(50).collect():
+        inner = hashlib.md5(str(r.c_custkey).encode()).hexdigest().encode()
+        assert r.hashed == hashlib.sha512(inner).hexdigest() and r.x_limb == int(hashlib.sha512(b"x").hexdigest()[:8], 16)
+
+
+def test_reading_stops_at_many_misses(spark):
+    objects = spark.createDataFrame([(1, bytes(range(1, 101)))], "root long, data binary")
+    packets = fountain.encode(objects, fountain.packets_of(objects, 4, 8.0), 4)
+    whole = fountain.fetch(packets, 4).first()
+    assert whole.complete and not whole.gave_up and whole.fetched < packets.count() and bytes(whole.data) == bytes(range(1, 101))
+    late = fountain.fetch(packets.where("chunk_index > 40"), 4, most_misses=40).first()
+    assert late.gave_up and not late.complete and late.fetched == 0
+
+
+def test_consumers(spark):
+    from keyloom.streaming.pipes import Consumers
+
+    got, c = [], Consumers()
+    c.register("a", lambda rows: got.append(("a", rows.count())))
+    assert c.get("b") is None and c.get_or_create("b", lambda: lambda rows: got.append(("b", rows.count()))) is c.get("b")
+    with pytest.raises(ValueError, match="already"):
+        c.register("a", print)
+    c.deliver(spark.createDataFrame([("a",), ("a",), ("x",)], "kind string"), "kind")
+    assert got == [("a", 2), ("b", 0)] and c.remove("a") and not c.remove("a")
+
+
+def test_parents_accept(spark, data):
+    from keyloom.plans import catalogue
+
+    got = catalogue.QUERIES["parent_search"](spark, data).collect()
+    n = spark.read.parquet(f"{data}/customer.parquet").count()
+    assert len(got) == n and all(r.parent % 3 == 0 for r in got if r.parent is not None) and sum(r.parent is not None for r in got) > 0.9 * n
 
 
 @pytest.mark.parametrize("n", [2, 5, 50])
