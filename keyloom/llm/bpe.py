@@ -4,7 +4,8 @@ For a piece of bytes, the table holds for each prefix the one token that the pre
 ends with.  A token t that ends at i is that token if it follows on the last token of the prefix
 before it: the pair must come out of the merges unchanged.  Exactly one token passes, so an
 encoding is read off backwards, appending bytes never changes an entry, and after an edit only
-entries from the edit on are computed anew (``PrefixTable``).
+entries from the edit on are computed anew, until they agree with the old ones over the length of the
+longest token (``PrefixTable``).
 
 Texts are split by the tokenizer's pattern and each match is encoded by itself; a match that is
 itself in the vocabulary is that one token.  Defined cases: null and empty texts have no tokens;
@@ -44,6 +45,7 @@ class Vocabulary:
         self._pairs: dict[tuple[bytes, bytes], bool] = {}
         #: The tokens that the merges make, read backwards, as a tree; -1 holds the token that ends there.
         self.ends: dict = {}
+        self.longest = max(map(len, ranks), default=1)
         for token in ranks:
             if self.stands(token):
                 node = self.ends
@@ -55,6 +57,12 @@ class Vocabulary:
     def read(cls, lines: bytes) -> Vocabulary:
         return cls({base64.b64decode(a): int(b) for a, b in (x.split() for x in lines.splitlines() if x)})
 
+    def fresh(self) -> Vocabulary:
+        """The same vocabulary without what it has learnt of pairs."""
+        out = object.__new__(Vocabulary)
+        out.__dict__ = self.__dict__ | {"_pairs": {}, "_spines": {}}
+        return out
+
     def merged(self, raw: bytes) -> list[bytes]:
         """The plain rule: join the neighbours of least rank, leftmost first, until none is left."""
         parts = [raw[i : i + 1] for i in range(len(raw))]
@@ -125,14 +133,18 @@ class PrefixTable:
     """The last token of each prefix of some bytes."""
 
     def __init__(self, vocabulary: Vocabulary, raw: bytes = b""):
-        self.vocabulary, self.raw, self.last = vocabulary, b"", []
+        self.vocabulary, self.raw, self.last, self.computed = vocabulary, b"", [], 0
         self.append(raw)
 
     def append(self, more: bytes) -> None:
-        v, last, known = self.vocabulary, self.last, self.vocabulary._pairs.get
-        at = len(self.raw)
-        raw = self.raw = self.raw + more
-        for end in range(at, len(raw)):
+        self.raw += more
+        self.fill(len(self.raw))
+
+    def fill(self, upto: int) -> None:
+        """The entries from the last known one to ``upto``."""
+        v, last, known, raw = self.vocabulary, self.last, self.vocabulary._pairs.get, self.raw
+        self.computed += upto - len(last)
+        for end in range(len(last), upto):
             node, start = v.ends, end
             while True:  # along the tokens that end here, from short to long
                 node = node.get(raw[start])
@@ -150,8 +162,21 @@ class PrefixTable:
                 start -= 1
 
     def edit(self, at: int, removed: int, put: bytes) -> None:
-        """Replace ``removed`` bytes at ``at``; what stands before them is not computed again."""
-        self.become(self.raw[:at] + put + self.raw[at + removed :], at)
+        """Replace ``removed`` bytes at ``at``.
+
+        What stands before them is not computed again, and neither is what follows once the new entries are the old
+        ones over the length of the longest token: no later entry looks further back.
+        """
+        old, step = self.last, self.vocabulary.longest
+        self.raw = self.raw[:at] + put + self.raw[at + removed :]
+        self.last, moved = old[:at], len(put) - removed
+        self.fill(at + len(put))
+        while len(self.last) < len(self.raw):
+            here = len(self.last)
+            self.fill(min(here + step, len(self.raw)))
+            n = len(self.last)
+            if n - here == step and self.last[here:] == old[here - moved : n - moved]:
+                self.last += old[n - moved :]
 
     def become(self, raw: bytes, same: int | None = None) -> None:
         """Go over to other bytes, keeping what the common prefix (``same`` bytes, if known) has."""
@@ -218,16 +243,17 @@ class Tokenizer:
 
 
 def tokenizer(lines: bytes, pattern: str) -> Tokenizer:
-    """The tokenizer of a rank file; a Python worker keeps one from task to task, with what it has seen.
+    """The tokenizer of a rank file.
 
-    It is kept under a module of its own: this one is sent anew with each task.
+    A Python worker keeps the vocabulary, which no data changes, from task to task, in a module of its own (this one is
+    sent anew with each task).  What a task has seen of texts goes with it.
     """
-    kept = sys.modules.setdefault("_keyloom_kept", types.ModuleType("_keyloom_kept")).__dict__.setdefault("tokenizers", {})
-    key = (hashlib.sha256(lines).digest(), pattern)
+    kept = sys.modules.setdefault("_keyloom_kept", types.ModuleType("_keyloom_kept")).__dict__.setdefault("vocabularies", {})
+    key = hashlib.sha256(lines).digest()
     if key not in kept:
         kept.clear()
-        kept[key] = Tokenizer(Vocabulary.read(lines), pattern)
-    return kept[key]
+        kept[key] = Vocabulary.read(lines)
+    return Tokenizer(kept[key].fresh(), pattern)
 
 
 def rank_file(path: str) -> bytes:
