@@ -144,7 +144,8 @@ def empty_text(col: str = "text"):
 
 
 def dealt_as_grid(rows: DataFrame, hot: int, ws: Workspace, counts: DataFrame | None = None) -> DataFrame:
-    """Name the tasks of a self-join: adds ``key``, drops ``top`` and ``same``.
+    """Name the tasks of a self-join: adds ``key`` and ``own`` (rows are compared with all others of the task, not
+    with those of the other side), drops ``top`` and ``same``.
 
     ``rows(top, same, side, node, ..)``: rows of one ``top`` are compared, all with each other if
     ``same``, else side 0 with side 1.  A ``top`` of more than ``hot`` rows is cut into parts by a hash
@@ -155,13 +156,14 @@ def dealt_as_grid(rows: DataFrame, hot: int, ws: Workspace, counts: DataFrame |
     many = counts.where(F.col("n") > hot)
     many = ws.save(many.select("top", F.ceil(F.col("n") / hot).cast("int").alias("parts")), "hot")
     if many.isEmpty():
-        return rows.withColumn("key", F.col("top")).drop("same", "top")
+        return rows.withColumn("key", F.col("top")).withColumnRenamed("same", "own").drop("top")
     rows = rows.join(many, "top", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     rows = rows.withColumn("part", F.pmod(F.xxhash64("node", F.lit(7)), F.col("parts")).cast("int"))
     rows = rows.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     one, two, same = F.col("part"), F.col("x"), F.col("same")
     rows = rows.withColumn("p", F.when(same, F.least(one, two)).when(F.col("side") == 0, one).otherwise(two))
     rows = rows.withColumn("q", F.when(same, F.greatest(one, two)).when(F.col("side") == 0, two).otherwise(one))
+    rows = rows.withColumn("own", same & (F.col("p") == F.col("q")))
     rows = rows.withColumn("side", F.when(same, (one > two).cast("int")).otherwise(F.col("side")))
     rows = rows.withColumn("key", F.when(F.col("parts") == 1, F.col("top")).otherwise(F.xxhash64("top", "p", "q")))
     return rows.drop("same", "top", "parts", "part", "x", "p", "q")
@@ -187,3 +189,39 @@ def by_key(batches, rows: int):
             size = sum(x.num_rows for x in held)
     if held:
         yield pa.Table.from_batches(held).combine_chunks()
+
+
+def bloom(hashes: DataFrame, n: int, most_bits: int) -> tuple[np.ndarray, int] | None:
+    """A Bloom filter of ``n`` hashes as words of 64 bits, at most ``most_bits``; None if that would not tell much."""
+    bits = 1 << max(16, (16 * n - 1).bit_length())
+    if bits > most_bits:
+        if 8 * n > most_bits:
+            return None
+        bits = most_bits
+
+    import pyarrow as pa
+
+    def run(batches):
+        words = np.zeros(bits // 64, np.uint64)
+        for b in batches:
+            h = b.column(0).to_numpy().view(np.uint64)
+            for x in bloom_places(h, bits):
+                np.bitwise_or.at(words, x >> np.uint64(6), np.uint64(1) << (x & np.uint64(63)))
+        at = np.flatnonzero(words)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(words[at].view(np.int64))], names=["at", "word"])
+
+    rows = hashes.mapInArrow(run, "at long, word long").groupBy("at").agg(F.bit_or("word").alias("word")).toArrow()
+    words = np.zeros(bits // 64, np.uint64)
+    words[rows.column(0).to_numpy()] = rows.column(1).to_numpy().view(np.uint64)
+    return words, bits
+
+
+def bloom_places(h: np.ndarray, bits: int):
+    return h & np.uint64(bits - 1), (h >> np.uint64(32)) & np.uint64(bits - 1)
+
+
+def in_bloom(h: np.ndarray, words: np.ndarray, bits: int) -> np.ndarray:
+    out = np.ones(len(h), bool)
+    for x in bloom_places(h, bits):
+        out &= (words[x >> np.uint64(6)] >> (x & np.uint64(63))) & np.uint64(1) == 1
+    return out

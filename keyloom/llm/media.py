@@ -1,9 +1,11 @@
 """Media columns: content-addressed payloads in tar shards, read by ranges.
 
-Each task packs its payloads, as 8-bit grey PNG images ``WIDTH`` samples wide, into tar shards on the
-shared folder; a member is named by the SHA-256 of its payload and stored once per task.  A row holds
-only (digest, shard, offset, length).  Metadata columns come from reads of the first ``HEAD`` bytes of
-a member; whole members are read only where the samples themselves are asked for.
+Payloads are packed, as 8-bit grey PNG images ``WIDTH`` samples wide, into tar shards on the shared folder; a
+member is named by the SHA-256 of its payload and has one place in all shards.  Payloads that no other row has are packed
+where they are read; of the others, told by a Bloom filter of repeated hashes while that fits in ``BLOOM_BITS``, one copy
+each goes through a shuffle (after partial sums) and is packed there.  A row holds only (digest, shard, offset,
+length).  Metadata columns come from reads of the first ``HEAD`` bytes of a member; whole members are read only where
+the samples themselves are asked for.
 
 Defined cases: null and empty texts are a payload of ``WIDTH`` zero bytes; a payload's length is a
 multiple of ``WIDTH``; equal texts have equal members and values; a payload larger than a shard has a
@@ -18,15 +20,17 @@ import tarfile
 import zlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import Workspace, empty_text, small_batches
+from keyloom.llm.common import Workspace, bloom, empty_text, in_bloom, small_batches
 from keyloom.llm.files import Output, store
 
 WIDTH = 64
+BLOOM_BITS = 1 << 28
 SHARD_BYTES = 1 << 28
 LEVEL = 3
 #: Signature and IHDR of a PNG.
@@ -75,17 +79,16 @@ def from_png(data: bytes) -> np.ndarray:
     return lines[:, 1:]
 
 
-def pack(docs: DataFrame, folder: str, ws: Workspace) -> DataFrame:
-    """Write the shards; (doc_id, n_bytes, digest, path, offset, length) of each row of ``docs(doc_id, text)``."""
-    small_batches(docs.sparkSession)
+def packed(rows: DataFrame, folder: str) -> DataFrame:
+    """(doc_id, n_bytes, digest, path, offset, length) of each of ``rows(doc_id, raw)``, whose payloads go to shards in ``folder``."""
 
     def run(batches):
         task, shard, out, held = TaskContext.get().partitionId(), 0, None, {}
         for b in batches:
             rows = []
-            for raw in b.column(1).to_pylist():
-                payload = padded(raw)
-                digest = hashlib.sha256(payload).digest()
+            for raw in b.column(1):
+                payload = padded(raw.as_py())
+                digest, n = hashlib.sha256(payload).digest(), len(raw.as_buffer())
                 at = held.get(digest)
                 if at is None:
                     image = to_png(payload)
@@ -98,8 +101,9 @@ def pack(docs: DataFrame, folder: str, ws: Workspace) -> DataFrame:
                     info.size = len(image)
                     out.write(info.tobuf(tarfile.PAX_FORMAT))
                     at = held[digest] = (out.uri, out.size, len(image))
-                    out.write(image + bytes(-len(image) % 512))
-                rows.append((len(raw), digest.hex(), *at))
+                    out.write(image)
+                    out.write(bytes(-len(image) % 512))
+                rows.append((n, digest.hex(), *at))
             cols = list(zip(*rows)) or [()] * 5
             kinds = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds))], names=["doc_id", "n_bytes", "digest", "path", "offset", "length"])
@@ -107,9 +111,35 @@ def pack(docs: DataFrame, folder: str, ws: Workspace) -> DataFrame:
             out.write(bytes(1024))
             out.close()
 
-    kind = dict(docs.dtypes)["doc_id"]
-    rows = docs.select("doc_id", F.encode(empty_text(), "UTF-8").alias("raw"))
-    return ws.save(rows.mapInArrow(run, f"doc_id {kind}, n_bytes long, digest string, path string, offset long, length long"), "index")
+    return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, n_bytes long, digest string, path string, offset long, length long")
+
+
+def pack(docs: DataFrame, folder: str, ws: Workspace) -> DataFrame:
+    """Write the shards; (doc_id, n_bytes, digest, path, offset, length) of each row of ``docs(doc_id, text)``."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    rows = docs.select("doc_id", F.encode(empty_text(), "UTF-8").alias("raw"), F.xxhash64(empty_text()).alias("h"))
+    twice = ws.save(rows.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "repeated")
+    known = bloom(twice, twice.count(), BLOOM_BITS)
+    if known is None:
+        repeated = F.lit(True)
+    else:
+        sent = spark.sparkContext.broadcast(known)
+
+        @F.pandas_udf("boolean")
+        def repeated_hash(h: pd.Series) -> pd.Series:
+            return pd.Series(in_bloom(h.to_numpy().view(np.uint64), *sent.value))
+
+        repeated = repeated_hash("h")
+    index = ws.save(packed(rows.where(~repeated).select("doc_id", "raw"), f"{folder}/single"), "index")
+    # of the others one copy each, and narrow rows that learn where it is
+    others = rows.where(repeated)
+    narrow = others.select("doc_id", F.octet_length("raw").cast("long").alias("n_bytes"), F.sha2("raw", 256).alias("name"))
+    texts = others.select(F.sha2("raw", 256).alias("name"), "raw").groupBy("name").agg(F.first("raw").alias("raw"))
+    places = ws.save(packed(texts.select(F.col("name").alias("doc_id"), "raw"), f"{folder}/repeated"), "places")
+    places = places.select(F.col("doc_id").alias("name"), "digest", "path", "offset", "length")
+    more = ws.save(narrow.join(places, "name").select(*index.columns), "index-of-repeated")
+    return index.unionByName(more)
 
 
 def by_place(index: DataFrame) -> DataFrame:
@@ -158,20 +188,22 @@ def feature(samples: np.ndarray, bits: int) -> str:
 
 def read_back(index: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature), all but
-    the first two from the stored bytes."""
+    the first two from the stored bytes, and the feature's size from the metadata columns."""
     small_batches(index.sparkSession)
 
     def run(batches):
         shards, last, seen = Shards(), None, None
         for b in batches:
             rows = []
-            for path, offset, length in zip(b.column("path").to_pylist(), b.column("offset").to_pylist(), b.column("length").to_pylist()):
+            for path, offset, length, *shape in zip(*(b.column(c).to_pylist() for c in ("path", "offset", "length", "width", "height", "bits"))):
                 if (path, offset) != last:
                     data = shards.read(path, offset, length)
                     samples = from_png(data)
+                    if header(data) != tuple(shape):
+                        raise ValueError("the header has changed")
                     payload = samples.tobytes()
                     last = path, offset
-                    seen = (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-WIDTH:]), len(data), hashlib.sha256(data).hexdigest(), feature(samples, header(data)[2]))
+                    seen = (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-WIDTH:]), len(data), hashlib.sha256(data).hexdigest(), feature(samples, shape[2]))
                 rows.append(seen)
             cols = list(zip(*rows)) or [()] * 6
             kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
@@ -179,7 +211,7 @@ def read_back(index: DataFrame) -> DataFrame:
                                              names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
     kind = dict(index.dtypes)["doc_id"]
-    return by_place(index).mapInArrow(run, f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return with_headers(by_place(index)).mapInArrow(run, f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
 def media_columns(docs: DataFrame) -> DataFrame:

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import Workspace, by_key, empty_text, small_batches
+from keyloom.llm.common import Workspace, bloom, by_key, empty_text, in_bloom, small_batches
 
 WINDOW, K = 20, 10
 BLOOM_BITS = 1 << 28
@@ -150,40 +150,6 @@ def seeds(docs: DataFrame, window: int, k: int) -> DataFrame:
     return rows.mapInArrow(run, "h long, text long, n int")
 
 
-def bloom(hashes: DataFrame, n: int) -> tuple[np.ndarray, int] | None:
-    """A Bloom filter of ``n`` hashes as words of 64 bits; None if it would be too large to tell much."""
-    bits = 1 << max(16, (16 * n - 1).bit_length())
-    if bits > BLOOM_BITS:
-        if 8 * n > BLOOM_BITS:
-            return None
-        bits = BLOOM_BITS
-
-    def run(batches):
-        words = np.zeros(bits // 64, np.uint64)
-        for b in batches:
-            h = b.column(0).to_numpy().view(np.uint64)
-            for x in bloom_places(h, bits):
-                np.bitwise_or.at(words, x >> np.uint64(6), np.uint64(1) << (x & np.uint64(63)))
-        at = np.flatnonzero(words)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(words[at].view(np.int64))], names=["at", "word"])
-
-    rows = hashes.mapInArrow(run, "at long, word long").groupBy("at").agg(F.bit_or("word").alias("word")).toArrow()
-    words = np.zeros(bits // 64, np.uint64)
-    words[rows.column(0).to_numpy()] = rows.column(1).to_numpy().view(np.uint64)
-    return words, bits
-
-
-def bloom_places(h: np.ndarray, bits: int):
-    return h & np.uint64(bits - 1), (h >> np.uint64(32)) & np.uint64(bits - 1)
-
-
-def in_bloom(h: np.ndarray, words: np.ndarray, bits: int) -> np.ndarray:
-    out = np.ones(len(h), bool)
-    for x in bloom_places(h, bits):
-        out &= (words[x >> np.uint64(6)] >> (x & np.uint64(63))) & np.uint64(1) == 1
-    return out
-
-
 _RUNS = "h long, doc_id long, text long, start int, n int, at int, words binary"
 
 
@@ -317,7 +283,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, k: int = K, ws: Work
     found = seeds(docs, window, k).groupBy("h").agg(F.min("text").alias("a"), F.max("text").alias("b"), F.max("n").alias("c"), F.sum("n").alias("n"))
     again = ws.save(found.where("a <> b or c > 1").select("h", "n"), "anchors")
     n, most = again.agg(F.count("*"), F.max("n")).first()
-    known = bloom(again.select("h"), n)
+    known = bloom(again.select("h"), n, BLOOM_BITS)
     sent = spark.sparkContext.broadcast(known) if known is not None else None
     rows = candidates(docs, window, k, sent)
     if sent is None:
