@@ -5,8 +5,9 @@ Search.  The 64 bits are cut into ``blocks``; of two fingerprints that differ in
 is one trie, whose leading bits are that block: the join walks pairs of its nodes together, adds
 up the bits in which they differ, and drops a pair once the leading block's budget (inside that
 block) or the whole budget is exceeded.  The top of a trie is dealt out as tasks, one for each
-pair of top nodes within budget; a node with very many fingerprints is dealt as a grid of parts.
-A task returns a spanning forest of the links it found, never all pairs of a group.
+pair of top nodes within budget.  A node with very many fingerprints is dealt further down: the bits under it are cut
+into blocks again, one of which has no errors, and there is a trie for each that goes on with that block; what is
+still very many there is dealt as a grid of parts.  A task returns a spanning forest of the links it found, never all pairs of a group.
 
 Exact links.  With ``least``, links of fingerprints are candidates only.  Bands of min-hashes of the same
 shingles add the pairs that bits miss near the threshold; then all pairs within a group of candidates are
@@ -269,6 +270,34 @@ def forest(key, side, rot, checks, top, lead, lead_budget, budget, check_bits) -
     return child, label[child]
 
 
+def deeper(rows: DataFrame, top: int, radius: int, blocks: int, hot: int, ws: Workspace) -> DataFrame:
+    """Rows of nodes with over ``hot`` fingerprints once for each block of the bits under the node, that block moved up.
+
+    Each such row goes to ``blocks`` nodes of some thousandth of the size, whatever the size, so that rows grow in
+    proportion to the fingerprints.
+    """
+    many = ws.save(rows.groupBy("top").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("top", F.lit(True).alias("many")), "wide-nodes")
+    if many.isEmpty():
+        return rows
+    left = WIDTH - top
+    starts = [left * u // blocks for u in range(blocks)]
+    lead = min(b - a for a, b in zip(starts, [*starts[1:], left]))
+    low = (1 << left) - 1
+    rows = rows.join(many, "top", "left")
+    below = rows.where("many").withColumn("u", F.explode(F.array(*[F.struct(F.lit(u).alias("u"), F.lit(s).alias("s")) for u, s in enumerate(starts)])))
+    under = F.col("rot").bitwiseAND(F.lit(low))
+    moved = F.expr("shiftleft(_under, u.s)").bitwiseOR(F.expr(f"shiftrightunsigned(_under, {left} - u.s)")).bitwiseAND(F.lit(low))
+    rot = F.col("rot").bitwiseAND(F.lit(~low)).bitwiseOR(moved)
+    below = below.withColumn("_under", under).withColumn("rot", rot)
+    block = F.shiftrightunsigned("rot", WIDTH - top - lead).bitwiseAND(F.lit((1 << lead) - 1))
+    # the trie and node above (in bits 56 to 61 and 0 to 27), the block, and its bits in 28 to 49
+    node = F.col("top").bitwiseAND(F.lit((0x3F << 56) | (1 << 28) - 1)).bitwiseOR(F.lit(1 << 62))
+    node = node.bitwiseOR(F.shiftleft(F.col("u.u").cast("long"), 50)).bitwiseOR(F.shiftleft(block, 28))
+    below = below.withColumn("top", node).withColumn("depth", F.lit(top + lead))
+    names = [c for c in rows.columns if c != "many"]
+    return rows.where("many is null").select(*names).unionByName(below.select(*names))
+
+
 def links(nodes: DataFrame, ws: Workspace, radius: int = 4, blocks: int = 5, checks: int = 0, check_bits: int = 0,
           searched: int = 1, hot: int | None = None) -> DataFrame:
     """Spanning links (a, b) between ``nodes(node, fp, c1..)``: some of the first ``searched`` fingerprints within
@@ -298,19 +327,22 @@ def links(nodes: DataFrame, ws: Workspace, radius: int = 4, blocks: int = 5, che
         rows = rows.withColumn("other", F.col("own"))
     rows = rows.withColumn("side", (F.col("own") > F.col("other")).cast("int")).withColumn(
         "top", F.shiftleft(F.col("t").cast("long"), 56).bitwiseOR(F.shiftleft(F.least("own", "other"), 28)).bitwiseOR(F.greatest("own", "other")))
-    rows = rows.withColumn("same", F.col("own") == F.col("other")).drop("own", "other", "t")
+    rows = rows.withColumn("same", F.col("own") == F.col("other")).drop("own", "other", "t").withColumn("depth", F.lit(top))
+    if not lead_budget:
+        rows = deeper(rows, top, radius, blocks, hot, ws)
     rows = dealt_as_grid(rows, hot, ws)
-    rows = rows.select("key", "side", "rot", "node", *names).repartition("key").sortWithinPartitions("key", "side")
+    rows = rows.select("key", "side", "depth", "rot", "node", *names).repartition("key").sortWithinPartitions("key", "side")
 
     def run(batches):
         for t in by_key(batches, TASK_ROWS):
-            key, side = t.column(0).to_numpy(), t.column(1).to_numpy()
-            rot, node = t.column(2).to_numpy().view(np.uint64), t.column(3).to_numpy()
-            cs = [t.column(4 + n).to_numpy().view(np.uint64) for n in range(checks)]
-            order = np.lexsort((rot, side, key))
-            key, side, rot, node, cs = key[order], side[order], rot[order], node[order], [c[order] for c in cs]
-            i, j = forest(key, side, rot, cs, top, lead, lead_budget, radius, check_bits)
-            yield pa.RecordBatch.from_arrays([pa.array(node[i]), pa.array(node[j])], names=["a", "b"])
+            every, depth = [t.column(n).to_numpy() for n in (0, 1, 3, 4, *range(5, 5 + checks))], t.column(2).to_numpy()
+            for begin in np.unique(depth):
+                key, side, rot, node, *cs = (x[depth == begin] for x in every)
+                rot, cs = rot.view(np.uint64), [c.view(np.uint64) for c in cs]
+                order = np.lexsort((rot, side, key))
+                key, side, rot, node, cs = key[order], side[order], rot[order], node[order], [c[order] for c in cs]
+                i, j = forest(key, side, rot, cs, int(begin), lead, lead_budget, radius, check_bits)
+                yield pa.RecordBatch.from_arrays([pa.array(node[i]), pa.array(node[j])], names=["a", "b"])
 
     small_batches(spark, 10_000)
     out = ws.save(rows.mapInArrow(run, "a long, b long"), "links")
