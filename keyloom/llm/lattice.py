@@ -7,9 +7,10 @@ probes, for each group, the cell behind the nearest wall.  Only names of cells a
 vectors follow to cells where some meet.  Every pair that meets is verified by its cosine in double
 precision.  A bucket with very many vectors is dealt as a grid of parts.
 
-Tasks return spanning links, from which components are built.  The number of links of a vector is then
-counted over all vectors of its component, so it is exact within the component.  Equal vectors are one
-class with a count throughout.
+Tasks return spanning links, from which components are built, and how many links they found for each vector.
+Two vectors may meet in several cells; a link counts in the least of them only, which both vectors' lists of cells
+tell, so pairs are never written out, and nothing is compared but what met.  Equal vectors are one class with a count
+throughout; a class is named by 64 bits of hash of its label and vector.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components, and rows without
 a label, link with nothing (no links, their own component, kept); vectors of different lengths never
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from keyloom.llm.common import Workspace, by_key, components, dealt_as_grid, np_components, small_batches
 
-TABLES, BLOCKS, REACH, SEED = 4, 3, 0.283, 8
+TABLES, BLOCKS, REACH, SEED = 8, 3, 0.283, 8
 HOT_CELL = 2048
 PAIRS = 1 << 15
 TASK_ROWS = 20_000
@@ -117,8 +118,9 @@ def unit(rows: list[np.ndarray]) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def pairs_within(key: np.ndarray, side: np.ndarray, dim: np.ndarray, units: list[np.ndarray], min_cosine: float, role: np.ndarray | None = None):
-    """Blocks (i, j) of linked positions of one key; sorted by (key, side).  Two probes don't meet."""
+def pairs_within(key: np.ndarray, side: np.ndarray, own: np.ndarray, dim: np.ndarray, units: list[np.ndarray], min_cosine: float, role: np.ndarray):
+    """Blocks (i, j) of linked positions of one key; sorted by (key, side).  Two probes don't meet; rows of a task that is
+    not its ``own`` meet those of the other side only."""
     n = len(key)
     new = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
     lo, hi = new, np.concatenate((new[1:], [n]))
@@ -130,7 +132,6 @@ def pairs_within(key: np.ndarray, side: np.ndarray, dim: np.ndarray, units: list
     # of each position: the later ones of its key, or those of the other side
     group = np.repeat(np.arange(len(lo)), hi - lo)
     at = np.arange(n)
-    own = mid[group] == hi[group]
     begin = np.where(own, at + 1, mid[group])
     count = np.where(own | (side == 0), np.maximum(0, hi[group] - begin), 0)
     upto = np.cumsum(count)
@@ -141,9 +142,7 @@ def pairs_within(key: np.ndarray, side: np.ndarray, dim: np.ndarray, units: list
         i = np.repeat(at[first:last], size)
         j = begin[i] + np.arange(len(i)) - np.repeat(np.cumsum(size) - size, size)
         first = last
-        meet = dim[i] == dim[j]
-        if role is not None:
-            meet &= (role[i] == 0) | (role[j] == 0)
+        meet = (dim[i] == dim[j]) & ((role[i] == 0) | (role[j] == 0))
         i, j = i[meet], j[meet]
         for s in range(0, len(i), PAIRS):
             a, b = i[s : s + PAIRS], j[s : s + PAIRS]
@@ -152,6 +151,17 @@ def pairs_within(key: np.ndarray, side: np.ndarray, dim: np.ndarray, units: list
                 yield a[near], b[near]
 
 
+def least_meeting(homes: np.ndarray, probes: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The least cell in which the vectors at ``i`` and ``j`` meet: one is at home there, the other too or looks at it."""
+    none = np.iinfo(np.int64).max
+    out = np.full(len(i), none)
+    for a, b, x, y in ((homes, homes, i, j), (homes, probes, i, j), (homes, probes, j, i)):
+        for c in range(a.shape[1]):
+            mine = a[x, c]
+            out = np.minimum(out, np.where((b[y] == mine[:, None]).any(1), mine, none))
+    return out
+
+
 def near_duplicates(rows: DataFrame, min_cosine: float = 0.98, tables: int = TABLES, hot: int = HOT_CELL) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of each row of ``rows(vec_id, embedding, label)``."""
     spark = rows.sparkSession
@@ -163,55 +173,57 @@ def near_duplicates(rows: DataFrame, min_cosine: float = 0.98, tables: int = TAB
     fit = F.coalesce(
         F.col("label").isNotNull() & (F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0), F.lit(False))
     good = rows.where(fit).withColumn("node", F.xxhash64("label", "v"))
-    classes = ws.save(good.groupBy("label", "v").agg(F.min("vec_id").alias("first"), F.count("*").alias("n")).withColumn("node", F.xxhash64("label", "v")), "classes")
+    classes = good.groupBy("label", "v").agg(F.min("vec_id").alias("first"), F.count("*").alias("n")).withColumn("node", F.xxhash64("label", "v"))
 
     def place(batches):
         for b in batches:
             label, vs = b.column(0).to_numpy(), vectors(b.column(1))
             length = np.array([len(x) for x in vs])
+            homes, probes = np.zeros((len(vs), tables), np.int64), np.zeros((len(vs), tables * BLOCKS), np.int64)
             for d in np.unique(length):
                 at = np.flatnonzero(length == d)
-                for key, role, row in cells(unit([vs[i] for i in at]), label[at], min_cosine, tables):
-                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(role == 0), b.column(2).take(pa.array(at[row]))], names=["top", "home", "node"])
-
-    placed = classes.select("label", "v", "node").mapInArrow(place, "top long, home boolean, node long")
+                h = p = 0
+                for key, role, _ in cells(unit([vs[i] for i in at]), label[at], min_cosine, tables):
+                    if role[0]:
+                        probes[at, p], p = key, p + 1
+                    else:
+                        homes[at, h], h = key, h + 1
+            both = [pa.array(list(x), pa.list_(pa.int64())) for x in (homes, probes)]
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in (2, 3, 4, 1)), *both], names=["node", "first", "n", "v", "homes", "probes"])
+
+    classes = classes.select("label", "v", "node", "first", "n").mapInArrow(place, f"node long, first long, n long, v array<{kind}>, homes array<long>, probes array<long>")
+    classes = ws.save(classes, "classes")
+    seen = F.concat(F.transform("homes", lambda k: F.struct(k.alias("top"), F.lit(True).alias("home"))), F.transform("probes", lambda k: F.struct(k.alias("top"), F.lit(False).alias("home"))))
+    placed = classes.select("node", F.explode(seen).alias("x")).select("x.top", "x.home", "node")
     # a cell that only one vector is in or looks at, or that is nobody's home, needs no task
     live = ws.save(placed.groupBy("top").agg(F.count("*").alias("n"), F.bool_or("home").alias("h")).where("n > 1 and h").select("top", "n"), "cells")
     met = ws.save(placed.join(live.select("top"), "top"), "met")
-    placed = met.join(classes.select("node", "v"), "node").withColumn("role", (~F.col("home")).cast("int"))
-    placed = dealt_as_grid(placed.withColumn("same", F.lit(True)).withColumn("side", F.lit(0)), hot, ws, live)
-    placed = placed.select("key", "side", "role", "node", "v").repartition("key").sortWithinPartitions("key", "side")
+    placed = met.join(classes.select("node", F.col("n").alias("copies"), "v", "homes", "probes"), "node").withColumn("role", (~F.col("home")).cast("int"))
+    placed = dealt_as_grid(placed.withColumn("same", F.lit(True)).withColumn("side", F.lit(0)).withColumn("cell", F.col("top")), hot, ws, live)
+    placed = placed.select("key", "side", "own", "cell", "role", "node", "copies", "v", "homes", "probes").repartition("key").sortWithinPartitions("key", "side")
 
     def verify(batches):
         for t in by_key(batches, TASK_ROWS):
-            key, side, role, node = (t.column(i).to_numpy() for i in range(4))
-            vs = vectors(t.column(4))
+            key, side, own, cell, role, node, copies = (t.column(i).to_numpy() for i in range(7))
+            vs = vectors(t.column(7))
+            homes, probes = (np.stack(t.column(i).to_numpy()) for i in (8, 9))
             dim = np.array([len(x) for x in vs])
-            label = np.arange(len(key))
-            for i, j in pairs_within(key, side, dim, [unit([x])[0] for x in vs], min_cosine, role):
+            label, links = np.arange(len(key)), np.zeros(len(key), np.int64)
+            for i, j in pairs_within(key, side, own, dim, [unit([x])[0] for x in vs], min_cosine, role):
                 label = np_components(len(key), i, j, label)
-            child = np.flatnonzero(node != node[label])
-            yield pa.RecordBatch.from_arrays([pa.array(node[child]), pa.array(node[label[child]])], names=["a", "b"])
-
-    edges = ws.save(placed.mapInArrow(verify, "a long, b long").distinct(), "links")
-    member = components(spark, edges, ws)
-    member = ws.save(member.join(classes.select("node", "first", "n", "v"), "node"), "members")
+                here = least_meeting(homes, probes, i, j) == cell[i]
+                i, j = i[here], j[here]
+                np.add.at(links, i, copies[j])
+                np.add.at(links, j, copies[i])
+            child, some = np.flatnonzero(node != node[label]), np.flatnonzero(links)
+            yield pa.RecordBatch.from_arrays([pa.array(node[child]), pa.array(node[label[child]]), pa.array(np.zeros(len(child), np.int64))], names=["a", "b", "links"])
+            yield pa.RecordBatch.from_arrays([pa.array(node[some]), pa.nulls(len(some), pa.int64()), pa.array(links[some])], names=["a", "b", "links"])
+
+    found = ws.save(placed.mapInArrow(verify, "a long, b long, links long"), "links")
+    member = components(spark, found.where("b is not null").select("a", "b").distinct(), ws)
+    member = ws.save(member.join(classes.select("node", "first"), "node"), "members")
     least = ws.save(member.groupBy("root").agg(F.min("first").alias("component_id")), "least")
-
-    inside = member.select(F.col("root").alias("top"), F.lit(True).alias("same"), F.lit(0).alias("side"), "node", "n", "v")
-    inside = dealt_as_grid(inside, hot, ws).select("key", "side", "node", "n", "v").repartition("key").sortWithinPartitions("key", "side")
-
-    def count(batches):
-        for t in by_key(batches, TASK_ROWS):
-            key, side, node, n = (t.column(i).to_numpy() for i in range(4))
-            vs = vectors(t.column(4))
-            links = np.zeros(len(key), np.int64)
-            for i, j in pairs_within(key, side, np.array([len(x) for x in vs]), [unit([x])[0] for x in vs], min_cosine):
-                np.add.at(links, i, n[j])
-                np.add.at(links, j, n[i])
-            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(links)], names=["node", "links"])
-
-    links = inside.mapInArrow(count, "node long, links long").groupBy("node").agg(F.sum("links").alias("links"))
+    links = found.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
     ids = member.select("node", "root").join(least, "root").select("node", "component_id")
     known = classes.select("node", "n", "first").join(links, "node", "left").join(ids, "node", "left").select(
         "node", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component_id", "first").alias("component_id"))
