@@ -149,24 +149,28 @@ def dealt_as_grid(rows: DataFrame, hot: int, ws: Workspace, counts: DataFrame |
 
     ``rows(top, same, side, node, ..)``: rows of one ``top`` are compared, all with each other if
     ``same``, else side 0 with side 1.  A ``top`` of more than ``hot`` rows is cut into parts by a hash
-    of ``node``, and each pair of parts is a task of its own with the two parts as its sides.
-    ``counts(top, n)`` may give the numbers of rows, if they are known.
+    of ``node``, the sides apart, and each pair of parts is a task of its own with the two parts as its sides.
+    ``counts(top, n)`` may give the numbers of rows, if they are known and all rows are ``same``.
     """
-    counts = rows.groupBy("top").agg(F.count("*").alias("n")) if counts is None else counts
-    many = counts.where(F.col("n") > hot)
-    many = ws.save(many.select("top", F.ceil(F.col("n") / hot).cast("int").alias("parts")), "hot")
+    if counts is None:
+        counts = rows.groupBy("top").agg(F.count("*").alias("n"), F.sum("side").alias("n1"))
+    else:
+        counts = counts.withColumn("n1", F.lit(0))
+    parts = [F.greatest(F.ceil(n / hot).cast("int"), F.lit(1)) for n in (F.col("n") - F.col("n1"), F.col("n1"))]
+    many = ws.save(counts.where(F.col("n") > hot).select("top", parts[0].alias("parts"), parts[1].alias("parts1")), "hot")
     if many.isEmpty():
         return rows.withColumn("key", F.col("top")).withColumnRenamed("same", "own").drop("top")
+    one, two, same, first = F.col("part"), F.col("x"), F.col("same"), F.col("side") == 0
     rows = rows.join(many, "top", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("node", F.lit(7)), F.col("parts")).cast("int"))
-    rows = rows.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    one, two, same = F.col("part"), F.col("x"), F.col("same")
-    rows = rows.withColumn("p", F.when(same, F.least(one, two)).when(F.col("side") == 0, one).otherwise(two))
-    rows = rows.withColumn("q", F.when(same, F.greatest(one, two)).when(F.col("side") == 0, two).otherwise(one))
+    rows = rows.withColumn("parts1", F.when(same, F.col("parts")).otherwise(F.coalesce("parts1", F.lit(1))))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("node", F.lit(7)), F.when(first, F.col("parts")).otherwise(F.col("parts1"))).cast("int"))
+    rows = rows.withColumn("x", F.explode(F.sequence(F.lit(0), F.when(first, F.col("parts1")).otherwise(F.col("parts")) - 1)))
+    rows = rows.withColumn("p", F.when(same, F.least(one, two)).when(first, one).otherwise(two))
+    rows = rows.withColumn("q", F.when(same, F.greatest(one, two)).when(first, two).otherwise(one))
     rows = rows.withColumn("own", same & (F.col("p") == F.col("q")))
     rows = rows.withColumn("side", F.when(same, (one > two).cast("int")).otherwise(F.col("side")))
-    rows = rows.withColumn("key", F.when(F.col("parts") == 1, F.col("top")).otherwise(F.xxhash64("top", "p", "q")))
-    return rows.drop("same", "top", "parts", "part", "x", "p", "q")
+    rows = rows.withColumn("key", F.when(F.col("parts") * F.col("parts1") == 1, F.col("top")).otherwise(F.xxhash64("top", "p", "q")))
+    return rows.drop("same", "top", "parts", "parts1", "part", "x", "p", "q")
 
 
 def by_key(batches, rows: int):

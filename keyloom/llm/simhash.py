@@ -10,8 +10,9 @@ into blocks again, one of which has no errors, and there is a trie for each that
 still very many there is dealt as a grid of parts.  A task returns a spanning forest of the links it found, never all pairs of a group.
 
 Exact links.  With ``least``, links of fingerprints are candidates only.  Bands of min-hashes of the same
-shingles add the pairs that bits miss near the threshold; then all pairs within a group of candidates are
-compared by their whole shingle sets, and those of at least that Jaccard similarity stay.
+shingles add the pairs that bits miss near the threshold; then the pairs within a group of candidates are
+compared by their whole shingle sets, and those of at least that Jaccard similarity stay.  In a large group
+distances to a few pivots tell which pairs cannot link or need no comparison.
 
 Defined cases: null and empty texts have fingerprint 0 and link like any other; texts shorter than
 one shingle are hashed whole; repeated rows give repeated results; an empty table gives no rows;
@@ -44,6 +45,8 @@ TASK_ROWS = 200_000
 BANDS, BAND_ROWS = 16, 5
 #: Texts of one group of candidates above which it is dealt out in parts; texts compared at once; shingles counted at once.
 HOT_GROUP, SET_ROWS, SET_COLUMNS = 1024, 256, 8192
+#: Pivots taken one after another in a group that stays above HOT_GROUP; then the grid takes what is left.
+PIVOT_TURNS = 6
 
 
 def shingle_hashes(text: bytes, k: int) -> np.ndarray:
@@ -153,12 +156,78 @@ def band_links(nodes: DataFrame, ws: Workspace) -> DataFrame:
     return keys.join(ws.save(least, "least-of-band"), "key").where("node <> b").select(F.col("node").alias("a"), "b").distinct()
 
 
+def to_pivot(pivot: np.ndarray, sets: list[np.ndarray], least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Jaccard distance of each set to ``pivot``, and whether it is alike by the rule of ``alike``."""
+    sizes = np.array([len(s) for s in sets])
+    at, h = np.repeat(np.arange(len(sets)), sizes), np.concatenate(sets)
+    c = np.minimum(np.searchsorted(pivot, h), max(len(pivot) - 1, 0))
+    hit = pivot[c] == h if len(pivot) else np.zeros(len(h), bool)
+    shared = np.bincount(at[hit], minlength=len(sets))
+    every = sizes + len(pivot) - shared
+    return 1 - np.divide(shared, every, out=np.ones(len(sets)), where=every > 0), shared >= least * every - 1e-9
+
+
+def around_pivots(rows: DataFrame, k: int, least: float, hot: int, ws: Workspace) -> tuple[list[DataFrame], DataFrame]:
+    """Links (a, b) to pivots, and rows (top, same, side, node, text) of the pairs that are still to be compared.
+
+    ``rows(top, node, text)``: pairs within a ``top``.  Of each top of more than ``hot`` rows one is the pivot, and every
+    row's Jaccard distance to it is counted.  With w the widest distance of a link, ring 0 holds the rows linked to the
+    pivot and ring i those between i and i + 1 times w.  Distances obey the triangle inequality: rows of rings that
+    are not neighbours cannot link.  Ring 0 is one component, so only neighbouring rings, near their common edge, and pairs within
+    other rings are left; the latter go through the next round as tops of their own.
+    """
+    rest, links, w = [], [], 1 - least + 1e-6
+
+    def measure(batches):
+        for t in by_key(batches, hot):
+            key, top, node = (t.column(n).to_numpy() for n in (0, 2, 3))
+            sets = [np.unique(shingle_hashes(x or b"", k)) for x in t.column(4).cast(pa.binary()).to_pylist()]
+            new = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+            for lo, hi in zip(new, [*new[1:], len(key)]):
+                d, near = to_pivot(sets[lo], sets[lo + 1 : hi], least) if hi > lo + 1 else (np.empty(0), np.empty(0, bool))
+                ring = np.where(near, 0, np.maximum(np.ceil(d / w) - 1, 1)).astype(np.int32)
+                part = t.slice(lo + 1, hi - lo - 1)
+                cols = [part.column(2), part.column(3), part.column(4), pa.array(np.full(len(d), node[lo])), pa.array(d), pa.array(ring)]
+                yield from pa.table(cols, names=["top", "node", "text", "pivot", "d", "ring"]).to_batches()
+
+    for turn in range(PIVOT_TURNS):
+        many = ws.save(rows.groupBy("top").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node")).alias("x"))
+                       .where(F.col("n") > hot).select("top", F.ceil(F.col("n") / hot).cast("int").alias("parts"), F.col("x.node").alias("pivot")), "pivots")
+        if many.isEmpty():
+            break
+        rest.append(rows.join(many.select("top"), "top", "left_anti").select("top", F.lit(True).alias("same"), F.lit(0).alias("side"), "node", "text"))
+        big = rows.join(many, "top")
+        # each part of a top meets a copy of the pivot, which is one of its rows too
+        part = F.pmod(F.xxhash64("node", F.lit(11)), "parts").cast("int")
+        members = big.select(F.xxhash64("top", part).alias("key"), F.lit(1).alias("side"), "top", "node", "text")
+        copies = big.where("node = pivot").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        copies = copies.select(F.xxhash64("top", "part").alias("key"), F.lit(0).alias("side"), "top", "node", "text")
+        met = members.unionByName(copies).repartition("key").sortWithinPartitions("key", "side")
+        far = ws.save(met.mapInArrow(measure, "top long, node long, text string, pivot long, d double, ring int"), "rings")
+        links.append(far.where("ring = 0 and node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")))
+        edge = ws.save(far.groupBy("top", "ring").agg(F.min("d").alias("low"), F.max("d").alias("high")), "ring-edges")
+        up = edge.select("top", (F.col("ring") - 1).alias("ring"), F.col("low").alias("next"))
+        down = edge.select("top", (F.col("ring") + 1).alias("ring"), F.col("high").alias("before"))
+        inner = far.join(up, ["top", "ring"]).where(F.col("d") >= F.col("next") - w).select("top", F.col("ring").alias("at"), F.lit(0).alias("side"), "node", "text")
+        outer = far.join(down, ["top", "ring"]).where(F.col("d") <= F.col("before") + w).select("top", (F.col("ring") - 1).alias("at"), F.lit(1).alias("side"), "node", "text")
+        rest.append(inner.unionByName(outer).select(F.xxhash64("top", "at", F.lit("across")).alias("top"), F.lit(False).alias("same"), "side", "node", "text"))
+        rows = far.where("ring > 0").select(F.xxhash64("top", "ring").alias("top"), "node", "text")
+    rest.append(rows.select("top", F.lit(True).alias("same"), F.lit(0).alias("side"), "node", "text"))
+    out = rest[0]
+    for more in rest[1:]:
+        out = out.unionByName(more)
+    return links, ws.save(out, "to-compare") if links else out
+
+
 def exact_links(groups: DataFrame, k: int, least: float, ws: Workspace, hot: int | None = None) -> DataFrame:
-    """Spanning links (a, b) of the pairs within ``groups(root, node, text)`` whose shingle sets are ``least`` alike."""
-    spark = groups.sparkSession
-    rows = groups.select(F.col("root").alias("top"), F.lit(True).alias("same"), F.lit(0).alias("side"), "node", "text")
-    counts = rows.groupBy("top").agg(F.count("*").alias("n"))
-    rows = dealt_as_grid(rows, hot or HOT_GROUP, ws, counts)
+    """Spanning links (a, b) of the pairs within ``groups(root, node, text)`` whose shingle sets are ``least`` alike.
+
+    Groups of many texts are first thinned out around pivots, without loss; only what is still many then is a grid of parts.
+    """
+    spark, hot = groups.sparkSession, hot or HOT_GROUP
+    small_batches(spark)
+    known, rows = around_pivots(groups.select(F.col("root").alias("top"), "node", "text"), k, least, hot, ws)
+    rows = dealt_as_grid(rows, hot, ws)
     rows = rows.select("key", "side", "node", "text").repartition("key").sortWithinPartitions("key", "side")
 
     def run(batches):
@@ -168,8 +237,10 @@ def exact_links(groups: DataFrame, k: int, least: float, ws: Workspace, hot: int
             i, j = exact_forest(key, side, sets, least)
             yield pa.RecordBatch.from_arrays([pa.array(node[i]), pa.array(node[j])], names=["a", "b"])
 
-    small_batches(spark)
-    return ws.save(rows.mapInArrow(run, "a long, b long"), "exact-links")
+    out = ws.save(rows.mapInArrow(run, "a long, b long"), "exact-links")
+    for more in known:
+        out = out.unionByName(more)
+    return out
 
 
 def signatures(docs: DataFrame, k: int = 4, checks: int = 0) -> DataFrame:
