@@ -162,35 +162,6 @@ def test_near_duplicates_are_exact_around_the_threshold(spark, hot):
     assert [got[i] for i in range(len(texts))] == want
 
 
-@pytest.mark.parametrize("hot", [None, 16, 5])
-def test_large_groups_are_compared_around_pivots_without_loss(spark, monkeypatch, hot):
-    """A ball, a chain, two balls apart, strangers and an empty text in one group of candidates, and a small group beside it."""
-    rng = random.Random(12)
-    base, long, other = words(rng, 100, 10**6), words(rng, 400, 10**6), words(rng, 100, 10**6)
-    ball = [" ".join(base[:k] + [f"x{k}"] + base[k + 1 :]) for k in range(100)]
-    chain = [" ".join(long[k : k + 60]) for k in range(0, 340, 4)]
-    second = [" ".join(base[:30] + other[30:k] + [f"y{k}"] + other[k + 1 :]) for k in range(30, 100, 2)]
-    third = [" ".join(other[:k] + [f"z{k}"] + other[k + 1 :]) for k in range(0, 100, 3)]
-    texts = ball + chain + second + third + [" ".join(words(rng, 30, 10**6)) for _ in range(30)] + [None]
-    rows = [(1, i, t) for i, t in enumerate(texts)]
-    texts += ball[:3]
-    rows += [(2, len(rows) + i, t) for i, t in enumerate(ball[:3])]
-    sets = [set(simhash.shingle_hashes((t or "").encode(), 5).tolist()) for t in texts]
-    near = [(i, j) for i in range(len(sets)) for j in range(i) if rows[i][0] == rows[j][0] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) - 1e-9]
-    dealt, grid = [], simhash.dealt_as_grid
-    monkeypatch.setattr(simhash, "dealt_as_grid", lambda rows, h, ws, counts=None: (dealt.append(rows.count()), grid(rows, h, ws, counts))[1])
-
-    def roots(some):
-        df = spark.createDataFrame(some, "root long, node long, text string")
-        found = simhash.exact_links(df, 5, 0.8, Workspace(spark, "t"), hot).where("a <> b").collect()
-        return np_components(len(texts), [r.a for r in found], [r.b for r in found]).tolist()
-
-    want = np_components(len(texts), [i for i, _ in near], [j for _, j in near]).tolist()
-    assert roots(rows) == want and len(set(want)) > 30
-    # a group whose copies lie about one text is done with its first pivot: work grows with its rows
-    assert len(set(roots(rows[:100])[:100])) == 1 and dealt[-1] == (100 if hot is None else 0)
-
-
 def toxic_corpus(spark, n=600):
     rng = random.Random(2)
     rows, labels = [], []
