@@ -6,8 +6,8 @@ is dealt again to its siblings, by weight, and only what all of them together la
 parent's siblings.  Each leaf then takes whole epochs of its documents, and of the epoch after them
 the prefix that fits, in an order drawn by hash from the seed and the epoch's number.
 
-The prefix of a leaf is cut by sums over ranges of the hash, then by running sums inside the one
-range where the cut falls, so no task holds a whole leaf.  Documents learn of it from a table of one
+The prefix of a leaf is cut by sums over ranges of the hash, found some bits at a time, then by running
+sums inside the one range where the cut falls, so no task holds a whole leaf or all its ranges.  Documents learn of it from a table of one
 row per leaf, so their texts are not shuffled while that table is small enough to be sent along.
 
 Defined cases: null and empty texts have no tokens, and come with the prefix in which they fall;
@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from keyloom.llm.common import Workspace
 
 WORDS = r"[^\x20\x09-\x0D]+"
-#: Rows in one range of a leaf's hash order, about.
-RANGE_ROWS = 1024
+#: Rows in one range of a leaf's hash order, about; bits of a range's number that are settled at once.
+RANGE_ROWS, STEP_BITS = 1024, 10
 
 
 def n_words(text: Column) -> Column:
@@ -74,6 +74,28 @@ def budgets(leaves: DataFrame, levels: list[str], weights: list[dict | None], bu
     return leaves.join(above.withColumnRenamed("budget", "target"), levels)
 
 
+def cuts_of(sums: DataFrame, names: list[str], bits: int, ws: Workspace) -> DataFrame:
+    """(names.., part, before): the range in which each leaf's ``rest`` ends, and the tokens of the ranges before it.
+
+    ``sums(names.., part, sum, rest)`` has a row for each range.  Its number is settled from the leading bits down,
+    so a window holds ``2 ** STEP_BITS`` sums of a leaf, however many ranges there are.
+    """
+    run = Window.partitionBy(*names).orderBy("head").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    if bits > STEP_BITS:
+        sums = ws.save(sums, "sums")
+    at = None
+    for left in range((bits - 1) // STEP_BITS * STEP_BITS, -1, -STEP_BITS):
+        here = sums.withColumn("before", F.lit(0).cast("long"))
+        if at is not None:
+            here = sums.join(at, names).where(F.shiftrightunsigned("part", left + STEP_BITS) == F.col("part_above")).drop("part_above")
+        here = here.groupBy(*names, F.shiftrightunsigned("part", left).alias("head")).agg(
+            F.sum("sum").alias("sum"), F.first("rest").alias("rest"), F.first("before").alias("before"))
+        here = here.withColumn("upto", F.col("before") + F.sum("sum").over(run)).where("upto > rest")
+        here = here.groupBy(*names).agg(F.min(F.struct("head", (F.col("upto") - F.col("sum")).alias("before"))).alias("x"))
+        at = ws.save(here.select(*names, F.col("x.head").alias("part_above"), F.col("x.before").alias("before")), "cut")
+    return at.withColumnRenamed("part_above", "part")
+
+
 def mixed(docs: DataFrame, levels: dict[str, Column], weights: list[dict | None], budget: float | None = None,
           share: float = 1.0, max_epochs: int = 1, seed: int = 17, tokens: Column | None = None) -> DataFrame:
     """``docs`` with ``n_tokens`` and ``epochs`` (how often a row is taken, 0 for not at all).
@@ -101,9 +123,7 @@ def mixed(docs: DataFrame, levels: dict[str, Column], weights: list[dict | None]
     # of a leaf's rows only number, hash and size are dealt out; leaves are few, so the plan is mostly sent along
     rows = sized.join(plan.where("rest > 0"), names).withColumn("h", drawn("whole")).withColumn("part", part)
     sums = rows.groupBy(*names, "part").agg(F.sum("tokens").alias("sum"), F.first("rest").alias("rest"))
-    run = Window.partitionBy(*names).orderBy("part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cut = sums.withColumn("upto", F.sum("sum").over(run)).where("upto > rest").groupBy(*names).agg(F.min(F.struct("part", (F.col("upto") - F.col("sum")).alias("before"))).alias("x"))
-    cut = ws.save(cut.select(*names, F.col("x.part").alias("part"), F.col("x.before").alias("before")), "cut")
+    cut = cuts_of(sums, names, bits, ws)
     inside = rows.join(cut, [*names, "part"])
     upto = Window.partitionBy(*names).orderBy("h", "doc_id").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     inside = inside.withColumn("upto", F.col("before") + F.sum("tokens").over(upto)).where("upto <= rest")

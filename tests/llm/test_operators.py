@@ -547,6 +547,29 @@ def test_mixing_budgets(spark, share, epochs):
     assert max(r.epochs for r in got) - 0 >= 0 and all(r.epochs >= 0 for r in got)
 
 
+@pytest.mark.parametrize("range_rows, step_bits", [(1024, 10), (1, 10), (1, 3), (4, 1)])
+def test_mixing_takes_the_prefix_of_the_hash_order(spark, monkeypatch, range_rows, step_bits):
+    monkeypatch.setattr(mixing, "RANGE_ROWS", range_rows)
+    monkeypatch.setattr(mixing, "STEP_BITS", step_bits)
+    rng = random.Random(9)
+    df = docs_of(spark, [" ".join(["w"] * rng.randrange(0, 9)) for _ in range(700)]).withColumn("source", F.when(F.col("doc_id") < 600, "hot").otherwise("cold"))
+    got = mixing.mixed(df, {"source": F.col("source")}, [{"hot": 2.0, "cold": 1.0}], share=1.6, max_epochs=3, seed=5).collect()
+    whole = {s: min(r.epochs for r in got if r.source == s) for s in ("hot", "cold")}
+    h = {r.doc_id: tuple(r)[1:] for r in spark.range(700).select(F.col("id").alias("doc_id"), *[F.xxhash64("id", F.lit(5), F.lit(n).cast("long")) for n in range(4)]).collect()}
+    every = sum(r.n_tokens for r in got)
+    have = {s: sum(r.n_tokens for r in got if r.source == s) for s in whole}
+    goal = water({s: (w, 3 * have[s]) for s, w in (("hot", 2.0), ("cold", 1.0))}, 1.6 * every)
+    for s in whole:
+        rest, taken = int(goal[s]) - whole[s] * have[s], set()
+        assert int(goal[s]) // have[s] == whole[s]
+        for r in sorted((r for r in got if r.source == s), key=lambda r: h[r.doc_id][whole[s]] % 2**64):
+            rest -= r.n_tokens
+            if rest < 0:
+                break
+            taken.add(r.doc_id)
+        assert {r.doc_id for r in got if r.source == s and r.epochs > whole[s]} == (taken if int(goal[s]) % have[s] else set())
+
+
 def test_mixing_edges(spark):
     df = docs_of(spark, [None, "", "a b", (5, "c d e"), (5, "c d e")])
     out = mixing.mixed(df, {"lang": F.col("lang")}, [None], share=1.0)
