@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from keyloom.functions import ids
+from keyloom.operators.routes import Routes, starts_of
 from keyloom.operators.shared import cut
 
 BUCKET = 20
 CONCURRENCY = 5
 #: A lookup that is still open after so many rounds is an error.
 MOST_ROUNDS = 64
+#: Up to so many nodes travel to the tasks with their tables.
+MOST_SENT = 2_000_000
 #: What a contact may bring along: it does not answer; it takes a child.
 FLAGS = ("dead", "accepts")
 
@@ -114,6 +118,94 @@ def lookup(asked: DataFrame, table: DataFrame, k: int = CONCURRENCY, until=None)
     return out.where(~failed & (F.col("rank") <= k)).select("lookup", "rank", "node", "rounds")
 
 
+def _words(limbs: Column, n: int) -> list[Column]:
+    """The 64-bit words of an id of ``n`` limbs, as signed bigints."""
+    at = [F.get(limbs, F.lit(i)) if i < n else F.lit(0).cast("long") for i in range(n + n % 2)]
+    return [F.shiftleft(at[i], ids.LIMB).bitwiseOR(at[i + 1]).alias(f"w{i // 2}") for i in range(0, len(at), 2)]
+
+
+def _routes(nodes: DataFrame, k: int, bits: int | None) -> Routes | None:
+    """The tables of ``edges(nodes)`` for lookups inside a task; None if they are too many or too much alike for that."""
+    first = nodes.select(F.size("node_id").alias("n")).first()
+    if first is None or nodes.schema["node"].dataType.simpleString() not in ("tinyint", "smallint", "int", "bigint") or nodes.count() > MOST_SENT:
+        return None
+    dead = F.col("dead") if "dead" in nodes.columns else F.lit(False).alias("dead")
+    words = _words(F.col("node_id"), first.n)
+    rows = nodes.orderBy("added", "node").select(F.col("node").cast("long"), dead, *words).dropna(subset=["node", "w0"]).toArrow()
+    if any(rows.column(i).null_count for i in range(rows.num_columns)):
+        return None
+    node, dead, *held = (c.to_numpy() for c in rows.columns)
+    out = Routes(node, np.stack(held, axis=1).view(np.uint64), dead, BUCKET, k, bits)
+    return out if out.fits else None
+
+
+def lookups(asked: DataFrame, nodes: DataFrame, target: Column, k: int = CONCURRENCY, bits: int | None = None, best: int | None = None) -> DataFrame:
+    """What ``lookup`` finds for ``asked(lookup, start)`` over the tables of ``edges(nodes)``, its first ``best`` ranks (None: all).
+
+    ``target``, a Column over ``lookup``, is the id looked for; a start that is no living node asks nothing.  A lookup
+    also ends when a node shares ``bits`` bits with its target.  Rows are dealt out once, by lookup, and each task takes its own from first to last
+    round over all tables, which hold a few numbers a node.  Beyond MOST_SENT nodes, or where ids share very many bits, the
+    tables are joined round by round, with the same results.
+    """
+    routes = _routes(nodes, k, bits)
+    best, most = best or k, MOST_ROUNDS
+    if routes is None or "accepts" in nodes.columns:
+        alive = nodes.where("not dead") if "dead" in nodes.columns else nodes
+        starts = asked.select("lookup", target.alias("target_id"), "start").join(alive.select(F.col("node").alias("start"), F.col("node_id").alias("start_id")), "start")
+        near = None if bits is None else ids.prefix_length(F.col("d"), ids.FULL_LIMBS) >= bits
+        return lookup(starts, edges(nodes), k, near).where(F.col("rank") <= best)
+    sent = nodes.sparkSession.sparkContext.broadcast(vars(routes))  # plain arrays: tasks may not have this package
+    width = routes.words.shape[1]
+    dealt = asked.select("lookup", F.col("start").cast("long").alias("start")).repartition("lookup").sortWithinPartitions("lookup")
+    kind, node = asked.schema["lookup"].dataType.simpleString(), nodes.schema["node"].dataType.simpleString()
+
+    def run(batches):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        routes, held = Routes.of(sent.value), None
+
+        def read(rows):
+            key, words = rows.column(0), [rows.column(i) for i in range(2, 2 + width)]
+            known = np.logical_and.reduce([pc.is_valid(w).to_numpy(zero_copy_only=False) for w in words])
+            words = np.stack([pc.fill_null(w, 0).to_numpy() for w in words], axis=1).view(np.uint64)
+            other = pc.fill_null(pc.not_equal(key[1:], key[:-1]), False).to_numpy(zero_copy_only=False)
+            null = pc.is_null(key).to_numpy(zero_copy_only=False)
+            first = np.r_[True, other | (null[1:] != null[:-1])]
+            place = np.where(pc.is_valid(rows.column(1)).to_numpy(zero_copy_only=False), routes.places(pc.fill_null(rows.column(1), 0).to_numpy()), -1)
+            return np.flatnonzero(first), words, known, place, starts_of(routes, first, words[:, 0], known, place)
+
+        def found(rows):
+            first, words, known, place, row = read(rows)
+            some = row[:, 0] >= 0
+            first, row = first[some], row[some]
+            starts, known = np.where(row >= 0, place[row], -1), known[first]
+            out, rounds = starts.copy(), np.zeros(len(first), np.int32)
+            if known.any():
+                out[known], rounds[known] = routes.lookups(words[first[known]], starts[known], most)
+            out = out[:, :best]
+            at, rank = np.nonzero(out >= 0)
+            columns = [rows.column(0).take(pa.array(first[at])), (rank + 1).astype(np.int32), routes.node[out[at, rank]], rounds[at]]
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["lookup", "rank", "node", "rounds"])
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            rows = b if held is None else pa.concat_batches([held, b])
+            first, _, _, _, row = read(rows)
+            last = int(first[-1])
+            if last:
+                yield found(rows.slice(0, last))
+            # of the last lookup more rows may follow: the starts that it would take so far, or any one of its rows
+            keep = row[-1][row[-1] >= 0]
+            held = rows.take(pa.array(keep if len(keep) else [last]))
+        if held is not None:
+            yield found(held)
+
+    out = dealt.select("lookup", "start", *_words(target, 2 * width)).mapInArrow(run, f"lookup {kind}, rank int, node long, rounds int")
+    return out.withColumn("node", F.col("node").cast(node))
+
+
 def churned(nodes: DataFrame, chance: float, seed: int) -> DataFrame:
     """``nodes`` with ``dead``: drawn from the seed and the node, the same in every run."""
     return nodes.withColumn("dead", F.pmod(F.xxhash64("node", F.lit(seed)), F.lit(10_000)) < int(chance * 10_000))

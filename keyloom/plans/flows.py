@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from keyloom.functions import control, ids
@@ -231,10 +231,19 @@ def bucket_histogram(suppliers: DataFrame) -> DataFrame:
     return overlay.edges(_nodes(suppliers)).groupBy("owner", "bucket").agg(F.count("*").alias("n"), F.sum("contact").alias("contacts"))
 
 
-def _asked(orders: DataFrame, nodes: DataFrame) -> DataFrame:
+def _target() -> Column:
+    """The id that a lookup looks for."""
+    return ids.md5_id(F.col("lookup"))
+
+
+def _keys(orders: DataFrame, nodes: DataFrame) -> DataFrame:
     """A lookup for every order key, from a node drawn by the customer's key."""
     n, low = nodes.agg(F.count("*"), F.min("node")).first()
-    keys = orders.select(F.col("o_orderkey").alias("lookup"), ids.md5_id(F.col("o_orderkey")).alias("target_id"), (F.pmod("o_custkey", F.lit(n)) + low).alias("start"))
+    return orders.select(F.col("o_orderkey").alias("lookup"), (F.pmod("o_custkey", F.lit(n)) + low).alias("start"))
+
+
+def _asked(orders: DataFrame, nodes: DataFrame) -> DataFrame:
+    keys = _keys(orders, nodes).withColumn("target_id", _target())
     return keys.join(nodes.select(F.col("node").alias("start"), F.col("node_id").alias("start_id")), "start")
 
 
@@ -242,7 +251,7 @@ def _asked(orders: DataFrame, nodes: DataFrame) -> DataFrame:
 def iterative_lookup_hops(orders: DataFrame, suppliers: DataFrame) -> DataFrame:
     """Iterative lookups over the routing tables: nodes found and rounds taken."""
     nodes = _nodes(suppliers)
-    return overlay.lookup(_asked(orders, nodes), overlay.edges(nodes))
+    return overlay.lookups(_keys(orders, nodes), nodes, _target())
 
 
 @query("orders", "supplier", oracle=f"select o_orderkey as lookup, arg_min(s_suppkey, {xor_sql('o.i', 's.i')}) as node from (select o_orderkey, {limbs_sql('o_orderkey')} as i from orders) o, (select s_suppkey, {limbs_sql('s_suppkey')} as i from supplier) s group by 1")

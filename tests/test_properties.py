@@ -308,6 +308,53 @@ def test_every_order_is_looked_up(spark, data, name):
     assert first == {o: min(nodes, key=lambda s: nodes[s] ^ int(hashlib.md5(str(o).encode()).hexdigest(), 16)) for o in orders}
 
 
+@pytest.mark.parametrize("chance, bits, n, kind", [(None, None, 3, ""), (None, None, 700, ""), (None, 6, 700, ""), (0.0, None, 300, ""), (0.4, None, 300, ""), (0.4, 5, 300, ""), (0.6, None, 12, ""),
+                                                   (None, None, 300, "close"), (0.4, None, 300, "close"), (None, 7, 300, "close"), (None, None, 60, "alike"), (0.3, None, 60, "alike")])
+def test_lookups_in_tasks_are_those_by_joins(spark, monkeypatch, chance, bits, n, kind):
+    """Nodes, ranks and rounds, from several starts too, with unknown starts, keys that repeat and keys that are null."""
+    rng = random.Random(n)
+
+    def limbs_of(i):
+        v = rng.getrandbits(128)
+        if kind == "close" and i % 4:  # most under few prefixes, so that buckets near a target overflow
+            v = v >> (17 if i % 4 == 1 else 9) | (0 if i % 2 else 1 << 127)
+        if kind == "alike" and i % 2:
+            v = v >> 90
+        return [v >> s & 0xFFFFFFFF for s in (96, 64, 32, 0)]
+
+    nodes = spark.createDataFrame([(3 * i, limbs_of(i), rng.randrange(50)) for i in range(n)], "node long, node_id array<long>, added long")
+    if chance is not None:
+        nodes = overlay.replaced(nodes, chance, 3)
+    nodes = nodes.localCheckpoint()
+    keys = [(i if i % 40 else None, 3 * rng.randrange(n) + (i % 25 == 0)) for i in [*range(400), *range(0, 400, 3), *range(0, 60)]] + [(7, 3 * i) for i in range(n)]
+    asked = spark.createDataFrame(keys, "lookup long, start long")
+    some = {r.node: r.node_id for r in nodes.collect()}
+    targets = spark.createDataFrame([(i, (some[3 * (i % n)] if i % 5 == 0 else limbs_of(i))) for i in range(400)], "lookup long, target_id array<long>").collect()
+    target = F.get(F.array(*[F.array(*[F.lit(x).cast("long") for x in r.target_id]) for r in targets]), F.col("lookup").cast("int"))
+    alive = nodes.where("not dead") if chance is not None else nodes
+    near = None if bits is None else ids.prefix_length(F.col("d"), 4) >= bits
+    starts = asked.distinct().withColumn("target_id", F.coalesce(target, F.array(*[F.lit(None).cast("long")] * 4))).join(alive.select(F.col("node").alias("start"), F.col("node_id").alias("start_id")), "start").localCheckpoint()
+    want = sorted(map(tuple, overlay.lookup(starts, overlay.edges(nodes), until=near).select("lookup", "rank", "node", "rounds").collect()), key=str)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    try:
+        if kind != "alike":
+            monkeypatch.setattr(overlay, "cut", None)  # no round is written out
+        got = sorted(map(tuple, overlay.lookups(asked, nodes, F.coalesce(target, F.array(*[F.lit(None).cast("long")] * 4)), bits=bits).collect()), key=str)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(want) > 300 and got == want
+
+
+@pytest.mark.parametrize("name", ["iterative_lookup_hops"])
+def test_lookups_write_nothing_out(spark, data, monkeypatch, name):
+    """Nothing a lookup sees goes to disk but its key and its start, once."""
+    from keyloom.plans import catalogue
+
+    monkeypatch.setattr(overlay, "cut", None)
+    plan = catalogue.QUERIES[name](spark, data)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression") == (3 if name == "churn_experiment" else 1) and "Join" not in plan and "Window" not in plan
+
+
 def test_lookup_without_nodes(spark):
     none = spark.createDataFrame([], "node long, node_id array<long>, added long")
     asked = spark.createDataFrame([], "lookup long, target_id array<long>, start long, start_id array<long>")
