@@ -265,8 +265,7 @@ def iterative_lookup_nearest(orders: DataFrame, suppliers: DataFrame) -> DataFra
 def lookup_until_near(orders: DataFrame, suppliers: DataFrame) -> DataFrame:
     """Lookups that end early, once a node shares ten bits with the target."""
     nodes = _nodes(suppliers)
-    near = ids.prefix_length(F.col("d"), 4) >= 10
-    return overlay.lookup(_asked(orders, nodes), overlay.edges(nodes), until=near)
+    return overlay.lookups(_keys(orders, nodes), nodes, _target(), bits=10)
 
 
 @query("orders", "supplier")
