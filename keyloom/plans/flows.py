@@ -258,7 +258,7 @@ def iterative_lookup_hops(orders: DataFrame, suppliers: DataFrame) -> DataFrame:
 def iterative_lookup_nearest(orders: DataFrame, suppliers: DataFrame) -> DataFrame:
     """The nearest node that each lookup ends with is the owner."""
     nodes = _nodes(suppliers)
-    return overlay.lookup(_asked(orders, nodes), overlay.edges(nodes)).where("rank = 1").select("lookup", "node")
+    return overlay.lookups(_keys(orders, nodes), nodes, _target(), best=1).select("lookup", "node")
 
 
 @query("orders", "supplier")
