@@ -221,16 +221,14 @@ def replaced(nodes: DataFrame, chance: float, seed: int) -> DataFrame:
     return marked.unionByName(new)
 
 
-def experiment(nodes: DataFrame, lookups: DataFrame, chances: list[float], seed: int = 5, k: int = CONCURRENCY) -> DataFrame:
-    """(dead_share, nodes, dead, lookups, min_rounds, avg_rounds, max_rounds): a share of the nodes dies and is replaced by
-    newcomers; the dead stay in the tables of others, and lookups from living nodes go round them."""
+def experiment(nodes: DataFrame, asked: DataFrame, target: Column, chances: list[float], seed: int = 5, k: int = CONCURRENCY) -> DataFrame:
+    """(dead_share, nodes, dead, lookups, min_rounds, avg_rounds, max_rounds) for ``asked(lookup, start)``: a share of the nodes dies and is
+    replaced by newcomers; the dead stay in the tables of others, and lookups from living nodes go round them."""
     parts = []
     for chance in chances:
-        everyone = cut(replaced(nodes, chance, seed))
+        everyone = replaced(nodes, chance, seed)
         n = everyone.agg(F.count("*").alias("all"), F.count_if("dead").alias("dead")).first()
-        alive = everyone.where("not dead")
-        asked = lookups.join(alive.select(F.col("node").alias("start"), F.col("node_id").alias("start_id")), "start").select("lookup", "target_id", "start", "start_id")
-        done = lookup(asked, edges(everyone), k).where("rank = 1")
+        done = lookups(asked, everyone, target, k, best=1)
         parts.append(done.agg(F.lit(chance).alias("dead_share"), F.lit(n["all"]).alias("nodes"), F.lit(n["dead"]).alias("dead"), F.count("*").alias("lookups"),
                               F.min("rounds").alias("min_rounds"), F.round(F.avg("rounds"), 6).alias("avg_rounds"), F.max("rounds").alias("max_rounds")))
     out = parts[0]

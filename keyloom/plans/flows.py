@@ -272,7 +272,7 @@ def lookup_until_near(orders: DataFrame, suppliers: DataFrame) -> DataFrame:
 def churn_experiment(orders: DataFrame, suppliers: DataFrame) -> DataFrame:
     """Rounds of lookups with shares of the nodes dead."""
     nodes = _nodes(suppliers)
-    return overlay.experiment(nodes, _asked(orders, nodes).select("lookup", "target_id", "start"), [0.0, 0.2, 0.5])
+    return overlay.experiment(nodes, _keys(orders, nodes), _target(), [0.0, 0.2, 0.5])
 
 
 @query("supplier")

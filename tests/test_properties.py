@@ -345,7 +345,7 @@ def test_lookups_in_tasks_are_those_by_joins(spark, monkeypatch, chance, bits, n
     assert len(want) > 300 and got == want
 
 
-@pytest.mark.parametrize("name", ["iterative_lookup_hops", "lookup_until_near", "iterative_lookup_nearest"])
+@pytest.mark.parametrize("name", ["iterative_lookup_hops", "lookup_until_near", "iterative_lookup_nearest", "churn_experiment"])
 def test_lookups_write_nothing_out(spark, data, monkeypatch, name):
     """Nothing a lookup sees goes to disk but its key and its start, once."""
     from keyloom.plans import catalogue
