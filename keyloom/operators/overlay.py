@@ -175,8 +175,7 @@ def lookups(asked: DataFrame, nodes: DataFrame, target: Column, k: int = CONCURR
             place = np.where(pc.is_valid(rows.column(1)).to_numpy(zero_copy_only=False), routes.places(pc.fill_null(rows.column(1), 0).to_numpy()), -1)
             return np.flatnonzero(first), words, known, place, starts_of(routes, first, words[:, 0], known, place)
 
-        def found(rows):
-            first, words, known, place, row = read(rows)
+        def found(rows, first, words, known, place, row):
             some = row[:, 0] >= 0
             first, row = first[some], row[some]
             starts, known = np.where(row >= 0, place[row], -1), known[first]
@@ -192,15 +191,15 @@ def lookups(asked: DataFrame, nodes: DataFrame, target: Column, k: int = CONCURR
             if not b.num_rows:
                 continue
             rows = b if held is None else pa.concat_batches([held, b])
-            first, _, _, _, row = read(rows)
+            first, words, known, place, row = read(rows)
             last = int(first[-1])
             if last:
-                yield found(rows.slice(0, last))
+                yield found(rows, first[:-1], words, known, place, row[:-1])
             # of the last lookup more rows may follow: the starts that it would take so far, or any one of its rows
             keep = row[-1][row[-1] >= 0]
             held = rows.take(pa.array(keep if len(keep) else [last]))
         if held is not None:
-            yield found(held)
+            yield found(held, *read(held))
 
     out = dealt.select("lookup", "start", *_words(target, 2 * width)).mapInArrow(run, f"lookup {kind}, rank int, node long, rounds int")
     return out.withColumn("node", F.col("node").cast(node))

@@ -10,8 +10,9 @@ from __future__ import annotations
 import numpy as np
 
 _TOP = np.uint64(2**64 - 1)
-#: Ids are told apart by so many bits at most, so that a distance and a place fit into 64.
-MOST_BITS = 57
+#: Ids are told apart by so many bits at most, so that a distance and a column fit into 64.
+MOST_BITS = 50
+_COLUMN = np.uint64(12)
 
 
 def shared_bits(x: np.ndarray) -> np.ndarray:
@@ -33,11 +34,12 @@ class Routes:
         self.dead = dead[order] if dead is not None and dead.any() else None
         self.word = np.ascontiguousarray(self.words[:, 0])
         self.by_node = np.argsort(self.node, kind="stable")
+        self.in_order = self.node[self.by_node]
         self.node_rank = np.empty(len(node), np.int64)
         self.node_rank[self.by_node] = np.arange(len(node))
         shared = shared_bits(self.word[1:] ^ self.word[:-1])
         self.most = int(shared.max(initial=0))
-        self.fits = self.most <= MOST_BITS and k <= size < 31 and (bits is None or bits <= 64)
+        self.fits = self.most <= MOST_BITS and k <= size and size + k < 1 << int(_COLUMN) and (bits is None or bits <= 64)
         self.shift = np.uint64(63 - min(self.most, 63))
         self.keys, self.lists = np.zeros(0, np.int64), np.zeros((0, size), np.int32)
         if self.fits:
@@ -70,7 +72,7 @@ class Routes:
         """Where living nodes are, else -1."""
         if not len(self.node):
             return np.full(len(node), -1)
-        at = self.by_node[np.minimum(np.searchsorted(self.node, node, sorter=self.by_node), len(self.node) - 1)]
+        at = self.by_node[np.minimum(np.searchsorted(self.in_order, node), len(self.node) - 1)]
         found = self.node[at] == node
         if self.dead is not None:
             found &= ~self.dead[at]
@@ -82,12 +84,17 @@ class Routes:
         return np.searchsorted(self.word, t & ~free), np.searchsorted(self.word, t | free, "right")
 
     def _nearest(self, t: np.ndarray, at: np.ndarray, there: np.ndarray, k: int) -> np.ndarray:
+        key, column = self._sorted(t, at, there, k)
+        return np.where(key == _TOP, -1, np.take_along_axis(at, column, 1))
+
+    def _sorted(self, t: np.ndarray, at: np.ndarray, there: np.ndarray, k: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The ``k`` least distances in order, the first column first where they are equal, and the columns that they stand in."""
         key = (self.word[at] ^ t[:, None]) >> self.shift
-        key = np.where(there, key << np.uint64(5) | np.arange(at.shape[1], dtype=np.uint64), _TOP)
+        key = np.where(there, key << _COLUMN | np.arange(at.shape[1], dtype=np.uint64), _TOP)
         key.sort(axis=1)
         key = key[:, :k]
-        out = np.take_along_axis(at, (key & np.uint64(31)).astype(np.int64) % at.shape[1], 1)
-        return np.where(key == _TOP, -1, out)
+        column = (key & np.uint64((1 << int(_COLUMN)) - 1)).astype(np.int64)
+        return np.where(key == _TOP, _TOP, key >> _COLUMN), np.minimum(column, at.shape[1] - 1)
 
     def _answers(self, t: np.ndarray, p: np.ndarray) -> np.ndarray:
         """What an owner that shares p - 1 bits with the target answers, if its bucket there holds k or more."""
@@ -101,26 +108,30 @@ class Routes:
 
     def _ends(self, t: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The longest prefix of a target under which there are k nodes; the k + 1 nearest of all; whether buckets hold
-        all nodes under the longest prefix of k + 1, so that owners there know them all."""
+        all nodes under the longest prefix of k + 1, so that owners there know them all.  Those on the target's side of that
+        prefix are k at most, so only the other side can be too large."""
         k, n = self.k, len(self.word)
         near = np.searchsorted(self.word, t)[:, None] + np.arange(-k - 1, k + 1)
         bits = np.where((near >= 0) & (near < n), shared_bits(self.word[np.clip(near, 0, n - 1)] ^ t[:, None]), -1)
         full = np.minimum(bits[:, : k + 3], bits[:, k - 1 :]).max(axis=1)
         more = np.maximum(np.minimum(bits[:, : k + 2], bits[:, k:]).max(axis=1), 0)
         low, high = self._under(t, more)
-        at = low[:, None] + np.arange(self.size + 1)
+        at = low[:, None] + np.arange(self.size + k)
         there = at < high[:, None]
         at[~there] = 0
-        return full, self._nearest(t, at, there, k + 1), high - low <= self.size + 1
+        return full, self._nearest(t, at, there, k + 1), high - low - (bits > more[:, None]).sum(axis=1) <= self.size
 
     def _found(self, at: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Whether a node ends the search: the target itself, alive, or one that shares enough bits."""
-        some, target = at >= 0, target if at.ndim == 1 else target[:, None]
-        hit = some & (self.words[at] == target).all(axis=-1)
+        first = target[:, 0] if at.ndim == 1 else target[:, :1]
+        some = at >= 0
+        hit = some & (self.word[at] == first)
+        row = np.nonzero(hit)
+        hit[row] = (self.words[at[row]] == target[row[0]]).all(axis=-1)
         if self.dead is not None:
             hit &= ~self.dead[at]
         if self.bits is not None:
-            hit |= some & (shared_bits(self.word[at] ^ target[..., 0]) >= self.bits)
+            hit |= some & (shared_bits(self.word[at] ^ first) >= self.bits)
         return hit
 
     def lookups(self, target: np.ndarray, starts: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -165,11 +176,13 @@ class Routes:
         now, since, asked = starts, np.zeros(starts.shape, np.int32), np.zeros(starts.shape, bool)
         for n in range(1, most + 2):
             some = now >= 0
-            failed = asked & self.dead[now] & some
+            failed = asked & self.dead[now]
             front = some & ~asked
             done = (self._found(now, target[left]) & ~failed).any(axis=1) | ~front.any(axis=1)
-            # the living come first, by distance; so the first k columns hold them, and then the failed
-            out[left[done]] = np.where(failed, -1, now)[done, :k]
+            best = some & ~failed & done[:, None]
+            rank = np.cumsum(best, axis=1)
+            row, column = np.nonzero(best & (rank <= k))
+            out[left[row], rank[row, column] - 1] = now[row, column]
             rounds[left[done]] = np.where(some, since, 0).max(axis=1)[done]
             left, now, since, asked, front = left[~done], now[~done], since[~done], asked[~done], front[~done]
             if not len(left):
@@ -183,36 +196,36 @@ class Routes:
             end = np.where(last.any(axis=1)[:, None], ends[left], -1)
             inside = (last[:, :, None] & (now[:, :, None] == end[:, None, :k])).any(axis=(1, 2))
             end[~inside, k] = -1
-            cells, first = [now, end], owner & ~last
+            # owners that share as many bits with the target give the same answer; by distance they stand together
+            ask, before = owner & ~last, np.full(len(left), -1)
             for w in range(now.shape[1]):
-                same = (first[:, :w] & (bits[:, :w] == bits[:, w : w + 1])).any(axis=1)
-                ask = np.flatnonzero(first[:, w] & ~same)
-                if len(ask):
-                    cell = np.full((len(left), k), -1, np.int64)
-                    cell[ask] = self._answers(mine[ask], bits[ask, w] + 1)
-                    cells.append(cell)
-            new = sum(c.shape[1] for c in cells[1:])
-            now = np.concatenate(cells, axis=1)
+                one = ask[:, w].copy()
+                ask[:, w] &= bits[:, w] != before
+                before[one] = bits[one, w]
+            row, column = np.nonzero(ask)
+            place = np.cumsum(ask, axis=1)
+            answers = np.full((len(left), int(place[:, -1].max()), k), -1, np.int64)
+            answers[row, place[row, column] - 1] = self._answers(mine[row], bits[row, column] + 1)
+            cells = np.concatenate([now, end, answers.reshape(len(left), -1)], axis=1)
+            new = cells.shape[1] - now.shape[1]
             since = np.pad(since, ((0, 0), (0, new)), constant_values=n)
             asked = np.pad(asked | front, ((0, 0), (0, new)))
-            now, since, asked = self._kept(mine, now, since, asked)
+            now, since, asked = self._kept(mine, cells, since, asked)
         raise RuntimeError(f"lookups are open after {most} rounds")
 
     def _kept(self, t, now, since, asked):
-        """Each node once, as first seen: the k nearest, the failed last, and all that were asked."""
-        key = np.where(now >= 0, (self.word[now] ^ t[:, None]) >> self.shift, _TOP)
-        key |= (asked & self.dead[now] & (now >= 0)).astype(np.uint64) << np.uint64(60)
-        # a node seen again comes after itself, where it failed after the same node without that mark
-        again = np.zeros(now.shape, bool)
-        for w in range(self.k, now.shape[1]):
-            again[:, w] = (now[:, :w] == now[:, w : w + 1]).any(axis=1)
-        key[again] = _TOP
-        by = np.argsort(key, axis=1, kind="stable")
-        now, since, asked, there = (np.take_along_axis(x, by, 1) for x in (now, since, asked, key != _TOP))
-        keep = there & ((np.arange(now.shape[1]) < self.k) | asked)
-        by = np.argsort(~keep, axis=1, kind="stable")[:, : max(self.k, int(keep.sum(axis=1).max()))]
-        now, since, asked, keep = (np.take_along_axis(x, by, 1) for x in (now, since, asked, keep))
-        return np.where(keep, now, -1), since, asked & keep
+        """By distance, each node once, as first seen: the k nearest that have not failed, and all that were asked."""
+        key, column = self._sorted(t, now, now >= 0)
+        now, since, asked = (np.take_along_axis(x, column, 1) for x in (now, since, asked))
+        once = key != _TOP
+        once[:, 1:] &= key[:, 1:] != key[:, :-1]
+        keep = once & (asked | (np.cumsum(once & ~(asked & self.dead[now]), axis=1) <= self.k))
+        place = np.cumsum(keep, axis=1)
+        row, column = np.nonzero(keep)
+        out = [np.full((len(t), max(int(place[:, -1].max()), self.k)), fill, x.dtype) for x, fill in ((now, -1), (since, 0), (asked, False))]
+        for x, y in zip(out, (now, since, asked)):
+            x[row, place[row, column] - 1] = y[row, column]
+        return out
 
     def _bucket(self, owner: int, j: int) -> list[int]:
         x = np.array([int(self.word[owner]) ^ (1 << (63 - j))], np.uint64)

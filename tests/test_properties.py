@@ -345,6 +345,33 @@ def test_lookups_in_tasks_are_those_by_joins(spark, monkeypatch, chance, bits, n
     assert len(want) > 300 and got == want
 
 
+@pytest.mark.parametrize("seed", range(8))
+def test_lookups_of_arrays_are_those_one_by_one(seed):
+    """Many lookups at once end as each does bucket by bucket, also where prefixes are crowded and nodes are dead."""
+    import numpy as np
+
+    from keyloom.operators.routes import Routes
+
+    rng = np.random.default_rng(seed)
+    n, k = int(rng.integers(1, 2000)), int(rng.integers(1, 9))
+    words = rng.integers(0, 2**64, (n, 2), dtype=np.uint64)
+    words[:, 0] = np.where(rng.random(n) < 0.6 * (seed % 2), words[:, 0] >> np.uint64(6), words[:, 0])
+    dead = rng.random(n) < [0, 0.05, 0.4, 0.8][seed % 4]
+    dead[0] = False
+    routes = Routes(np.arange(n), words, dead, 20, k, 9 if seed > 5 else None)
+    assert routes.fits
+    target = rng.integers(0, 2**64, (150, 2), dtype=np.uint64)
+    target[:30], target[30:80, 0] = words[rng.integers(0, n, 30)], target[30:80, 0] >> np.uint64(5)
+    alive, starts = np.flatnonzero(routes.places(routes.node) >= 0), np.full((150, k), -1)
+    for i in range(150):
+        some = rng.choice(alive, min(len(alive), 1 + i % k), replace=False)
+        starts[i, : len(some)] = some[np.argsort(routes.word[some] ^ target[i, 0])]
+    out, rounds = Routes.of(vars(routes)).lookups(target, starts, 64)
+    for i in range(150):
+        best, n_rounds = routes._one([int(x) for x in target[i]], [int(x) for x in starts[i] if x >= 0], 64)
+        assert out[i].tolist() == best + [-1] * (k - len(best)) and rounds[i] == n_rounds
+
+
 @pytest.mark.parametrize("name", ["iterative_lookup_hops", "lookup_until_near", "iterative_lookup_nearest", "churn_experiment"])
 def test_lookups_write_nothing_out(spark, data, monkeypatch, name):
     """Nothing a lookup sees goes to disk but its key and its start, once."""
