@@ -223,7 +223,8 @@ def replaced(nodes: DataFrame, chance: float, seed: int) -> DataFrame:
 def experiment(nodes: DataFrame, asked: DataFrame, target: Column, chances: list[float], seed: int = 5, k: int = CONCURRENCY) -> DataFrame:
     """(dead_share, nodes, dead, lookups, min_rounds, avg_rounds, max_rounds) for ``asked(lookup, start)``: a share of the nodes dies and is
     replaced by newcomers; the dead stay in the tables of others, and lookups from living nodes go round them."""
-    parts = []
+    parts, last = [], nodes.agg(F.max("node")).first()[0]
+    asked = asked.where(F.col("start") <= F.lit(last))  # newcomers, whose numbers are above, ask nothing
     for chance in chances:
         everyone = replaced(nodes, chance, seed)
         n = everyone.agg(F.count("*").alias("all"), F.count_if("dead").alias("dead")).first()

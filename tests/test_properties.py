@@ -382,6 +382,14 @@ def test_lookups_write_nothing_out(spark, data, monkeypatch, name):
     assert plan.count("RepartitionByExpression") == (3 if name == "churn_experiment" else 1) and "Join" not in plan and "Window" not in plan
 
 
+def test_newcomers_ask_nothing(spark):
+    """A start that is no node at first asks nothing, though a newcomer may have its number later."""
+    nodes = spark.range(20).select(F.col("id").alias("node"), ids.md5_id(F.col("id")).alias("node_id"), F.col("id").alias("added"))
+    asked = spark.range(40).select(F.col("id").alias("lookup"), F.col("id").alias("start"))
+    got = overlay.experiment(nodes, asked, ids.md5_id(F.col("lookup")), [0.5]).first()
+    assert 0 < got.dead < 20 and got.lookups == 20 - got.dead
+
+
 def test_lookup_without_nodes(spark):
     none = spark.createDataFrame([], "node long, node_id array<long>, added long")
     asked = spark.createDataFrame([], "lookup long, target_id array<long>, start long, start_id array<long>")
