@@ -581,6 +581,16 @@ def test_mixing_edges(spark):
     assert sum(e for _, e in one) == sum(e for _, e in two) == 50 and one != two
 
 
+def test_op7_counts_words_once(spark, data):
+    got = registry.op7_mixing(spark, data)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema" in plan and "text:string" not in plan and "regexp" not in plan
+    docs, levels = table(spark, data, "documents"), {"domain": registry.domain(), "lang": F.col("lang"), "source": F.col("source")}
+    want = mixing.mixed(docs, levels, [registry.DOMAIN_WEIGHTS, None, None], share=1.0, max_epochs=2)
+    want = want.select("doc_id", registry.domain().alias("domain"), "lang", "source", "n_tokens", "epochs")
+    assert got.dtypes == want.dtypes and sorted(got.collect(), key=str) == sorted(want.collect(), key=str)
+
+
 # ---- 8 ----
 
 def text_key(t):
