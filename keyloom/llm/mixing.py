@@ -23,13 +23,16 @@ from pyspark.sql import functions as F
 
 from keyloom.llm.common import Workspace
 
-WORDS = r"[^\x20\x09-\x0D]+"
+#: A word and the white space after it; the white space characters.
+WORD, SPACES = r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*", " \t\n\x0b\x0c\r"
 #: Rows in one range of a leaf's hash order, about; bits of a range's number that are settled at once.
 RANGE_ROWS, STEP_BITS = 1024, 10
 
 
 def n_words(text: Column) -> Column:
-    return F.coalesce(F.regexp_count(text.cast("string"), F.lit(WORDS)), F.lit(0)).cast("long")
+    """The number of words; each becomes one character, as a list of all words of a text would take much more memory."""
+    marks = F.regexp_replace(F.ltrim(text.cast("string"), F.lit(SPACES)), WORD, "x")
+    return F.coalesce(F.length(marks), F.lit(0)).cast("long")
 
 
 def weight_of(col: Column, weights: dict[str, float] | None) -> Column:

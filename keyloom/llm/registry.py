@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keyloom.llm import bpe, html, lattice, media, mixing, oracles, shards, simhash, substring, toxicity, warc
-from keyloom.llm.common import Workspace, spread, table
+from keyloom.llm.common import Workspace, small_reads, spread, table
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,7 +45,8 @@ DOMAIN_WEIGHTS = {"english": 0.6, "other": 0.4}
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     # no text is returned, so the texts are read and their words counted once only
     counted = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", mixing.n_words(F.col("text")).alias("words"))
-    docs = Workspace(spark, "mixing-words").save(counted, "words")
+    with small_reads(spark):
+        docs = Workspace(spark, "mixing-words").save(counted, "words")
     levels = {"domain": domain(), "lang": F.col("lang"), "source": F.col("source")}
     out = mixing.mixed(docs, levels, [DOMAIN_WEIGHTS, None, None], share=1.0, max_epochs=2, tokens=F.col("words"))
     return out.select("doc_id", domain().alias("domain"), "lang", "source", "n_tokens", "epochs")

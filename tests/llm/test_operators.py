@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -14,7 +15,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from keyloom.llm import bpe, html, lattice, media, mixing, registry, shards, simhash, substring, toxicity, warc
-from keyloom.llm.common import Workspace, components, np_components, spread, table
+from keyloom.llm.common import Workspace, components, np_components, small_reads, spread, table
 
 LINES = bpe.rank_file(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, node string, fp int, h double, key string, top int, start int, h2 int"
@@ -581,6 +582,24 @@ def test_mixing_edges(spark):
     assert sum(e for _, e in one) == sum(e for _, e in two) == 50 and one != two
 
 
+def test_mixing_counts_words_as_the_pattern_does(spark):
+    rng = random.Random(12)
+    signs = [*"abx$\\ \t\n\x0b\x0c\r \x1c\x85\xa0", "\u3000", "\u2028", "é", "\U0001f600", "\0"]
+    texts = [None, "", " ", " x", "x \r\n", "w " * 100000, "w" * 500000, " " * 500000, *["".join(rng.choices(signs, k=rng.randrange(40))) for _ in range(3000)]]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").select("text", mixing.n_words(F.col("text")).alias("n"))
+    assert [r.n for r in df.collect()] == [len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for t in texts]
+    assert "regexp_extract_all" not in df._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+def test_small_reads_end_with_the_block(spark):
+    key = "spark.sql.parquet.columnarReaderBatchSize"
+    before = spark.conf.get(key)
+    with pytest.raises(ValueError), small_reads(spark, 7):
+        assert spark.conf.get(key) == "7"
+        raise ValueError
+    assert spark.conf.get(key) == before
+
+
 def test_op7_counts_words_once(spark, data):
     got = registry.op7_mixing(spark, data)
     plan = got._jdf.queryExecution().executedPlan().toString()
